@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import _store, bpe, chat, token_files, warc
+from loomgraph.llm import _store, bpe, chat, jaccard, token_files, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -69,6 +69,10 @@ FROM f
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = _store.Workspace(spark, "op9")
     path = space.path("tokens", keep=True)
@@ -83,6 +87,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
