@@ -18,6 +18,15 @@ class _Codes(dict):
         self.pending.append(key)
         return code
 
+    def shrink(self, limit: int) -> None:
+        """Forget the latest keys: what came first is the most frequent part of a text's words."""
+        drop_latest(self, limit)
+
+
+def drop_latest(table: dict, limit: int) -> None:
+    for _ in range(len(table) - limit):
+        table.popitem()
+
 
 class RaggedTable:
     """Chunk -> integer sequence, computed once per chunk; at most ``limit`` chunks between batches.
@@ -27,16 +36,15 @@ class RaggedTable:
 
     def __init__(self, compute: Callable[[list], Sequence[Sequence[int]]], limit: int = 300_000):
         self.compute, self.limit = compute, limit
-        self.clear()
-
-    def clear(self) -> None:
         self.codes = _Codes()
         self.flat, self.size, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def expand(self, documents: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """All sequences of all documents, one after the other, and the length of each document."""
         if len(self.codes) > self.limit:
-            self.clear()
+            self.codes.shrink(self.limit)
+            self.start, self.size = self.start[: self.limit], self.size[: self.limit]
+            self.flat = self.flat[: int(self.start[-1] + self.size[-1])]
         get = self.codes.__getitem__
         counts = np.fromiter(map(len, documents), np.int64, len(documents))
         code = np.fromiter((get(c) for d in documents for c in d), np.int64, int(counts.sum()))

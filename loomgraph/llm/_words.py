@@ -24,15 +24,13 @@ class WordHashes:
 
     def __init__(self, limit: int = 500_000):
         self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
         self.codes, self.hashes = _Codes(), np.zeros(0, np.uint64)
 
     def lookup(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words of all documents, one after the other, and each document's number of words."""
         if len(self.codes) > self.limit:
-            self.clear()
+            self.codes.shrink(self.limit)
+            self.hashes = self.hashes[: self.limit]
         get = self.codes.__getitem__
         counts = np.fromiter(map(len, documents), np.int64, len(documents))
         code = np.fromiter((c for d in documents for c in map(get, d)), np.int64, int(counts.sum()))

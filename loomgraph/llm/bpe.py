@@ -49,10 +49,13 @@ class SpeculativeBPE:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         #: (left id, right id) -> (rank, merged id)
         self.merge = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
+        self.none = len(merges)
         self.longest: dict[str, int] = {}
         for token in self.vocab:
             self.longest[token[0]] = max(self.longest.get(token[0], 0), len(token))
         self.n = max([*self.vocab.values(), *self.special.values()]) + 1
+        self.rank = {a * self.n + b: rank for (a, b), (rank, _) in self.merge.items()}
         unit = {c: b for b, c in _byte_alphabet().items()}
         self.alphabet = dict(_byte_alphabet())
         self.bytes = [b""] * self.n
@@ -99,7 +102,22 @@ class SpeculativeBPE:
         return [i for i, x in zip(ids, alive, strict=True) if x]
 
     def exact(self, word: str) -> list[int]:
-        return self.merged([self.vocab[c] for c in word])
+        ids = [self.vocab[c] for c in word]
+        return self.merged(ids) if len(ids) > 40 else self._merged_short(ids)
+
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        """As ``merged``, without a heap: for a short word the ranks of all pairs are looked over each time."""
+        n, rank, none = self.n, self.rank.get, self.none
+        ranks = [rank(a * n + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none:
+            k = ranks.index(low)
+            ids[k] = self.made[low]
+            del ids[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank(ids[k] * n + ids[k + 1], none)
+            if k:
+                ranks[k - 1] = rank(ids[k - 1] * n + ids[k], none)
+        return ids
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Propose all, test all adjacent pairs at once, merge the failing words exactly."""
@@ -109,8 +127,7 @@ class SpeculativeBPE:
         owner = np.repeat(np.arange(len(words)), size)
         inside = owner[1:] == owner[:-1]
         pairs, inverse = np.unique((flat[:-1] * self.n + flat[1:])[inside], return_inverse=True)
-        if len(self.pair_ok) > 2_000_000:
-            self.pair_ok.clear()
+        _chunks.drop_latest(self.pair_ok, 2_000_000)
         ok = np.fromiter(map(self._compatible, pairs.tolist()), bool, len(pairs))
         for k in np.unique(owner[1:][inside][~ok[inverse]]).tolist():
             proposed[k] = self.exact(words[k])
@@ -127,8 +144,7 @@ class SpeculativeBPE:
     def _encode_chunks(self, chunks: list) -> list[list[int]]:
         """Chunks are texts between safe cuts; an int stands for a special token."""
         split = [() if isinstance(c, int) else self._split(c) for c in chunks]
-        if len(self.words) > 300_000:
-            self.words.clear()
+        _chunks.drop_latest(self.words, 300_000)
         new = list({w for ws in split for w in ws if w not in self.words})
         fresh = dict(zip(new, self.encode_words(new), strict=True))
         self.words.update((w, ids) for w, ids in fresh.items() if len(w) <= _LONG)

@@ -10,6 +10,7 @@ their text; a null doc_id comes first; no rows give a data set without rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +24,17 @@ from loomgraph.llm import _chunks, _store
 SCHEMA = "doc_id long, ids array<int>, n_tokens long"
 
 
+#: A word in Western letters and marks after it: two words of a pre-tokenizer that parts letters and marks.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)")
+
+
 class ChunkEncoder:
     """The library's ids, computed once for each text between spaces or newlines.
 
-    Right for tokenizers that drop white space before merging and never join what stands on its two sides.
-    Chunks with special tokens or other white space are left whole, so the library sees them as they are.
+    Right for tokenizers that drop white space before merging, never join what stands on its two sides,
+    part letters from marks and end every word with a token of its own kind (``</w>``).  New words go to the
+    library in lines of many; the tokens that end words part its answer.  Other chunks (special tokens, other
+    white space, other scripts) go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -36,10 +43,31 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")}
+        self.words: dict[str, list[int]] = {"": []}
         self.table = _chunks.RaggedTable(self._new)
 
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], line: int = 500) -> None:
+        lines = [words[k : k + line] for k in range(0, len(words), line)]
+        for own, ids in zip(lines, self._library([" ".join(w) for w in lines]), strict=True):
+            parts, at = [], 0
+            for k, i in enumerate(ids, 1):
+                if i in self.ends:
+                    parts.append(ids[at:k])
+                    at = k
+            self.words.update(zip(own, parts if len(parts) == len(own) else self._library(own), strict=True))
+
     def _new(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        _chunks.drop_latest(self.words, 300_000)
+        match = _PLAIN.fullmatch
+        split = [m.groups() if (m := match(c)) and len(c) < 200 else None for c in chunks]
+        words = self.words
+        self._learn(list({w for s in split if s for w in s if w not in words}))
+        other = iter(self._library([c for c, s in zip(chunks, split, strict=True) if not s]))
+        return [words[s[0]] + words[s[1]] if s else next(other) for s in split]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.table.expand([t.replace("\n", " ").split(" ") for t in texts])
