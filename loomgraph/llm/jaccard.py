@@ -9,11 +9,13 @@ The order is cut into fragments of equal mass.
 * Candidates: if two sets reach the threshold, all but p-1 of the shingles of either are shared, p = n -
   ceil(t n) + 1.  So of the first q = p + l - 1 shingles of a set that has any partner, at least l are also
   among the first q of another document.  Few texts pass this test; only they go on.
-* Links: documents that share a prefix shingle meet in a star around one of them, a new one each round.
-  Partial overlaps are counted for each fragment alone and summed for each pair.  Components are merged
-  between rounds, so members of a group of near copies are not paired with each other again; at last every
-  pair of candidates that still lies in two components is counted.  No link between components is lost, no
-  bucket is cut short.
+* Pairs: a pair's first common shingle stands in both sets at a place of at most n - a, where a is the
+  overlap that the pair's sizes ask for; only such places bring two documents together.
+* Links: where a prefix shingle brings many documents together, they first meet in a star around one of
+  them, a new one each round.  Partial overlaps are counted for each fragment alone and summed for each
+  pair.  Components are merged between rounds, so members of a group of near copies are not paired with
+  each other again.  When the pairs left between components are few for the number of rows, or stars merge
+  no more, each pair left is counted.  No link between components is lost, no bucket is cut short.
 
 Defined results: null or empty text has no shingles and is linked with nothing; fewer than k words are one
 shingle; repeated rows are equal sets; a component is named by its smallest doc_id.
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm import _store, _words, graph
 
 CLASS_BITS = 18
+#: l is a SHARED-th part of the prefix length p: a larger l lengthens prefixes and leaves fewer candidates.
+SHARED = 2
 FRAGMENTS = 8
 _STATE: dict[str, _words.WordHashes] = {}
 
@@ -88,16 +92,16 @@ def class_ranks(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _prefix_sizes(n: np.ndarray | int, num: int, den: int):
     """(p, l): prefix length, and how many of the first p + l - 1 must be shared."""
     p = n - -(-num * n // den) + 1
-    return p, -(-p // 6)
+    return p, -(-p // SHARED)
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
-    """(token, doc_id): the first p + l - 1 shingles of every set; equal sets of one task count once."""
+    """(token, doc_id, pos): the first p + l - 1 shingles of every set; equal sets of one task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, seen = rank.value, set()
         for ids, sets in _sets(batches, k):
-            tokens, owners = [], []
+            tokens, owners, places = [], [], []
             for doc, own in zip(ids, sets, strict=True):
                 if not len(own) or doc is None:
                     continue
@@ -109,10 +113,11 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
                 order = np.lexsort((own, ranks[_class_of(own)]))[:q]
                 tokens.append(own[order])
                 owners.append(np.full(q, doc, np.int64))
+                places.append(np.arange(q, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], ["token", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["token", "doc_id", "pos"])
 
-    return docs.mapInArrow(run, "token long, doc_id long")
+    return docs.mapInArrow(run, "token long, doc_id long, pos int")
 
 
 def segments(docs: DataFrame, k: int, fragment) -> DataFrame:
@@ -137,25 +142,30 @@ def segments(docs: DataFrame, k: int, fragment) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-    """(a, b, overlap): partial overlaps of the fragments of both, counted alone and summed for each pair."""
-    left = pairs.join(cut.select(F.col("doc").alias("a"), "fragment", F.col("shingles").alias("sa")), "a")
-    both = left.join(cut.select(F.col("doc").alias("b"), "fragment", F.col("shingles").alias("sb")), ["b", "fragment"])
-    return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part")).groupBy("a", "b").agg(F.sum("part").alias("overlap"))
+    """(a, b, na, nb, overlap): partial overlaps of the fragments of both, counted alone and summed for each pair."""
+    left = pairs.join(cut.select(F.col("sig").alias("sig_a"), "fragment", F.col("shingles").alias("sa")), "sig_a").drop("sig_a")
+    both = left.join(cut.select(F.col("sig").alias("sig_b"), "fragment", F.col("shingles").alias("sb")), ["sig_b", "fragment"])
+    parts = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("part"))
+    return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
 
 
-def _links(pairs: DataFrame, cut: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+def _links(pairs: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs at or over the threshold: den * overlap >= num * union."""
-    counted = overlaps(pairs.select("a", "b"), cut)
-    size_a, size_b = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
-    return counted.join(size_a, "a").join(size_b, "b").where(den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    return overlaps(pairs, cut).where(den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def _size_ok(x: str, y: str, num: int, den: int):
-    return den * F.least(x, y) >= num * F.greatest(x, y)
+def _may_meet(x: str, y: str, num: int, den: int):
+    """The places of a common shingle leave room for the overlap that the two sizes ask for."""
+    need = f"((({num} * (n{x} + n{y}) + {num + den - 1}) div {num + den}))"
+    return F.expr(f"pos{x} <= n{x} - {need} AND pos{y} <= n{y} - {need}")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, star_rounds: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of (doc_id, text); linked at Jaccard >= num / den."""
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, star_rounds: int = 6, few: int = 3) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of (doc_id, text); linked at Jaccard >= num / den.
+
+    Stars are made, at most ``star_rounds`` times, while more than ``few`` times as many pairs as rows lie
+    between components; neither number changes the result.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with _store.Workspace(spark, "jaccard") as space:
@@ -167,47 +177,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         classes = space.table(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
 
         prefix = space.table(prefixes(docs, k, num, den, rank), "prefix")
-        shared = space.table(prefix.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("token"), "shared")
+        shared = space.table(prefix.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "shared")
         hits = space.table(prefix.join(shared, "token", "left_semi"), "hits")
         per_doc = space.table(hits.groupBy("doc_id").agg(F.count("*").alias("found")), "per_doc")
         # of q = min(n, p + l - 1) prefix shingles, q - (p - 1) or more are shared
         p = F.expr(f"n - (({num} * n + {den} - 1) div {den}) + 1")
-        q = F.least(F.col("n"), p + F.ceil(p / 6) - 1)
+        q = F.least(F.col("n"), p + F.ceil(p / SHARED) - 1)
         possible = per_doc.join(rows, "doc_id").where(F.col("found") >= q - p + 1).select("doc_id", "sig").distinct()
         # copies fall together in their class
         keyed = space.table(possible.join(classes, "sig").select("doc_id", "doc", "n", "sig", "rep"), "keyed")
-        bucket = space.table(hits.join(keyed, "doc_id").select("token", "doc", "n").distinct(), "bucket")
+        bucket = space.table(hits.join(keyed, "doc_id").where(F.col("pos") < p).select("token", "doc", "n", "pos").distinct(), "bucket")
         sizes = space.table(keyed.select("doc", "n", "sig", "rep").distinct(), "sizes")
         wanted = docs.join(sizes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        cut = space.table(segments(wanted, k, fragment).join(sizes.select("sig", "doc"), "sig").select("doc", "fragment", "shingles"), "cut")
-        if not cut.groupBy("doc", "fragment").count().where("count > 1").isEmpty():  # repeated rows
-            cut = space.table(cut.dropDuplicates(["doc", "fragment"]), "cut")
+        cut = space.table(segments(wanted, k, fragment), "cut")
+        if not cut.groupBy("sig", "fragment").count().where("count > 1").isEmpty():  # repeated rows
+            cut = space.table(cut.dropDuplicates(["sig", "fragment"]), "cut")
 
         assigned = space.table(sizes.select("doc", F.col("doc").alias("comp")), "assigned")
+        side = lambda x: sizes.select(F.col("doc").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("sig_" + x))
+        before, idle = float("inf"), 0
         for turn in range(star_rounds + 1):
             member = space.table(bucket.join(assigned, "doc"), "member")
-            open_tokens = space.table(member.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "open")
-            if open_tokens.isEmpty():
+            held = space.table(member.groupBy("token", "comp").agg(F.count("*").alias("m")), "held")
+            tokens = space.table(held.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("comps")).where("comps > 1"), "tokens")
+            rows_left, pairs_left = tokens.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()
+            if not rows_left:
                 break
-            member = space.table(member.join(open_tokens, "token", "left_semi"), "member")
-            if turn < star_rounds:
+            idle, before = idle + 1 if pairs_left > 0.95 * before else 0, pairs_left
+            final = turn == star_rounds or pairs_left <= few * rows_left or idle == 2
+            if final:
+                held = held.join(tokens.select("token"), "token", "left_semi")
+                sides = space.table(held.select("token", "comp").join(held.select("token", F.col("comp").alias("other")), "token").where("comp < other"), "sides")
+                first = sides.join(member.select("token", "comp", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("posx")), ["token", "comp"])
+                second = member.select("token", F.col("comp").alias("other"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("posy"))
+                pairs = first.join(second, ["token", "other"]).where(_may_meet("x", "y", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            else:
                 # one document of each (shingle, size band) is the centre; another in each round
                 band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))) if num < den else F.col("n")
-                banded = member.withColumn("band", band.cast("long")).withColumn("order", F.xxhash64("doc", F.lit(turn)))
-                centre = space.table(banded.groupBy("token", "band").agg(F.min(F.struct("order", "doc", "n", "comp")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", "band", F.col("c.doc").alias("cd"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc")), "centre")
-                pairs = banded.join(centre, ["token", "band"]).where("comp <> cc").where(_size_ok("n", "cn", num, den))
-                pairs = pairs.select(F.least("doc", "cd").alias("a"), F.greatest("doc", "cd").alias("b"))
-            else:
-                held = space.table(member.groupBy("token", "comp").agg(F.count("*").alias("m")).select("token", "comp"), "held")
-                sides = space.table(held.join(held.select("token", F.col("comp").alias("other")), "token").where("comp < other"), "sides")
-                first = sides.join(member.select("token", "comp", F.col("doc").alias("a"), F.col("n").alias("na")), ["token", "comp"])
-                second = member.select("token", F.col("comp").alias("other"), F.col("doc").alias("b"), F.col("n").alias("nb"))
-                pairs = first.join(second, ["token", "other"]).where(_size_ok("na", "nb", num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = space.table(pairs.distinct(), "pairs")
-            links = space.table(_links(pairs, cut, sizes, num, den), "links")
+                banded = member.join(tokens.select("token"), "token", "left_semi").withColumn("band", band.cast("long")).withColumn("order", F.xxhash64("doc", F.lit(turn)))
+                centre = banded.groupBy("token", "band").agg(F.min(F.struct("order", "doc", "n", "comp", "pos")).alias("c"), F.count("*").alias("m")).where("m > 1")
+                centre = space.table(centre.select("token", "band", F.col("c.doc").alias("cd"), F.col("c.n").alias("nc"), F.col("c.comp").alias("cc"), F.col("c.pos").alias("posc")), "centre")
+                banded = space.table(banded.withColumnsRenamed({"n": "nm", "pos": "posm"}), "banded")
+                pairs = banded.join(centre, ["token", "band"]).where("comp <> cc").where(_may_meet("m", "c", num, den)).select(F.least("doc", "cd").alias("a"), F.greatest("doc", "cd").alias("b")).distinct()
+            pairs = space.table(space.table(pairs, "pairs").join(side("a"), "a").join(side("b"), "b"), "pairs")
+            links = space.table(_links(pairs, cut, num, den), "links")
             ends = links.join(assigned.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a").join(assigned.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b")
             merged = graph.components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), space)
             assigned = space.table(assigned.join(merged.select(F.col("node").alias("comp"), "label"), "comp", "left").select("doc", F.coalesce("label", "comp").alias("comp")), "assigned")
+            if final:
+                break
 
         placed = space.table(classes.join(assigned, "doc", "left").select("sig", "rep", F.coalesce("comp", "doc").alias("comp")), "placed")
         least = space.table(placed.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
