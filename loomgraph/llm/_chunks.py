@@ -61,3 +61,25 @@ class RaggedTable:
         upto = np.concatenate([[0], ends])
         last = np.cumsum(counts)
         return self.flat[where], upto[last] - upto[last - counts]
+
+
+class ColumnTable:
+    """Chunk -> one number in each of several columns, computed once per chunk."""
+
+    def __init__(self, compute: Callable[[list], Sequence[np.ndarray]], limit: int = 500_000):
+        self.compute, self.limit, self.codes = compute, limit, _Codes()
+        self.columns = [np.asarray(c) for c in compute([])]
+
+    def lookup(self, documents: list[list]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The columns for all chunks of all documents, one after the other, and each document's number of chunks."""
+        if len(self.codes) > self.limit:
+            self.codes.shrink(self.limit)
+            self.columns = [c[: self.limit] for c in self.columns]
+        get = self.codes.__getitem__
+        counts = np.fromiter(map(len, documents), np.int64, len(documents))
+        code = np.fromiter((c for d in documents for c in map(get, d)), np.int64, int(counts.sum()))
+        if self.codes.pending:
+            new = self.compute(self.codes.pending)
+            self.columns = [np.concatenate([c, n]) for c, n in zip(self.columns, new, strict=True)]
+            self.codes.pending.clear()
+        return [c[code] for c in self.columns], counts

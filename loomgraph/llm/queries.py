@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import _store, bpe, chat, jaccard, token_files, warc
+from loomgraph.llm import _store, bpe, chat, jaccard, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -73,6 +73,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), usable=third != 1)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = _store.Workspace(spark, "op9")
     path = space.path("tokens", keep=True)
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
 }
