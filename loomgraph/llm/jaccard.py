@@ -12,8 +12,9 @@ The order is cut into fragments of equal mass.
 * Pairs: a pair's first common shingle stands in both sets at a place of at most n - a, where a is the
   overlap that the pair's sizes ask for; only such places bring two documents together.
 * Links: where a prefix shingle brings many documents together, they first meet in a star around one of
-  them, a new one each round.  Partial overlaps are counted for each fragment alone and summed for each
-  pair.  Components are merged between rounds, so members of a group of near copies are not paired with
+  them: the one in which it stands first, which has the fewest shingles of its own, then others.  Pairs whose
+  counts of shingles by piece of the order rule the overlap out are left.  For the others, partial overlaps
+  are counted for each fragment alone and summed for each pair.  Components are merged between rounds, so members of a group of near copies are not paired with
   each other again.  When the pairs left between components are few for the number of rows, or stars merge
   no more, each pair left is counted.  No link between components is lost, no bucket is cut short.
 
@@ -36,7 +37,9 @@ from loomgraph.llm import _store, _words, graph
 CLASS_BITS = 18
 #: l is a SHARED-th part of the prefix length p: a larger l lengthens prefixes and leaves fewer candidates.
 SHARED = 2
-FRAGMENTS = 8
+FRAGMENTS = 4
+#: Finer pieces of the order, 16 to a fragment: their counts alone bound an overlap from above.
+SLOTS = 64
 _STATE: dict[str, _words.WordHashes] = {}
 
 
@@ -76,7 +79,7 @@ def summarise(docs: DataFrame, k: int) -> DataFrame:
 
 
 def class_ranks(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of every hash class in the global order and its fragment; 2^18 numbers, whatever the corpus."""
+    """Rank of every hash class in the global order and its slot; 2^18 numbers, whatever the corpus."""
     found = summary.where("class IS NOT NULL").groupBy("class").agg(F.sum("count").alias("count")).toPandas()
     counts = np.zeros(1 << CLASS_BITS, np.int64)
     counts[found["class"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
@@ -84,9 +87,9 @@ def class_ranks(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     mass = np.cumsum(counts[order])
-    fragment = np.empty(len(order), np.int8)
-    fragment[order] = np.minimum(FRAGMENTS - 1, (mass - 1) * FRAGMENTS // max(1, mass[-1]))
-    return rank, fragment
+    slot = np.empty(len(order), np.int8)
+    slot[order] = np.clip((mass - 1) * SLOTS // max(1, mass[-1]), 0, SLOTS - 1)
+    return rank, slot
 
 
 def _prefix_sizes(n: np.ndarray | int, num: int, den: int):
@@ -120,19 +123,23 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, rank) -> DataFrame:
     return docs.mapInArrow(run, "token long, doc_id long, pos int")
 
 
-def segments(docs: DataFrame, k: int, fragment) -> DataFrame:
-    """(sig, fragment, shingles): every set cut at the borders of the global order's fragments."""
+def segments(docs: DataFrame, k: int, slot) -> DataFrame:
+    """(sig, fragment, shingles): every set cut at the borders of the global order's fragments.
+
+    Fragment -1 holds, instead of shingles, how many the set has in each slot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = fragment.value
+        cut = slot.value
         for _, sets in _sets(batches, k):
             doc, frag, parts = [], [], []
             for own in sets:
-                of = cut[_class_of(own)]
-                for f in np.unique(of).tolist():
-                    doc.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sig, slots = xxhash.xxh3_128_digest(own.tobytes()), cut[_class_of(own)]
+                of = slots // (SLOTS // FRAGMENTS)
+                for f in (-1, *np.unique(of).tolist()):
+                    doc.append(sig)
                     frag.append(f)
-                    parts.append(own[of == f])
+                    parts.append(own[of == f] if f >= 0 else np.bincount(slots, minlength=SLOTS).astype(np.uint64))
             if doc:
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
@@ -149,9 +156,13 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
 
 
-def _links(pairs: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
+def _links(pairs: DataFrame, cut: DataFrame, num: int, den: int, space: _store.Workspace) -> DataFrame:
     """Pairs at or over the threshold: den * overlap >= num * union."""
-    return overlaps(pairs, cut).where(den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    counts = cut.where("fragment = -1")
+    both = pairs.join(counts.select(F.col("sig").alias("sig_a"), F.col("shingles").alias("ca")), "sig_a").join(counts.select(F.col("sig").alias("sig_b"), F.col("shingles").alias("cb")), "sig_b")
+    bound = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    open_pairs = space.table(both.where(den * bound >= num * (F.col("na") + F.col("nb") - bound)).drop("ca", "cb"), "open_pairs")
+    return overlaps(open_pairs, cut.where("fragment >= 0")).where(den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
 def _may_meet(x: str, y: str, num: int, den: int):
@@ -170,8 +181,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with _store.Workspace(spark, "jaccard") as space:
         summary = space.table(summarise(docs, k), "summary")
-        rank, fragment = class_ranks(summary)
-        rank, fragment = spark.sparkContext.broadcast(rank), spark.sparkContext.broadcast(fragment)
+        rank, slot = class_ranks(summary)
+        rank, slot = spark.sparkContext.broadcast(rank), spark.sparkContext.broadcast(slot)
         rows = summary.where("class IS NULL").select("doc_id", "n", "sig")
         classes = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
         classes = space.table(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
@@ -189,7 +200,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         bucket = space.table(hits.join(keyed, "doc_id").where(F.col("pos") < p).select("token", "doc", "n", "pos").distinct(), "bucket")
         sizes = space.table(keyed.select("doc", "n", "sig", "rep").distinct(), "sizes")
         wanted = docs.join(sizes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        cut = space.table(segments(wanted, k, fragment), "cut")
+        cut = space.table(segments(wanted, k, slot), "cut")
         if not cut.groupBy("sig", "fragment").count().where("count > 1").isEmpty():  # repeated rows
             cut = space.table(cut.dropDuplicates(["sig", "fragment"]), "cut")
 
@@ -212,15 +223,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                 second = member.select("token", F.col("comp").alias("other"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("posy"))
                 pairs = first.join(second, ["token", "other"]).where(_may_meet("x", "y", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             else:
-                # one document of each (shingle, size band) is the centre; another in each round
+                # one document of each (shingle, size band) is the centre; others in each round
                 band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))) if num < den else F.col("n")
-                banded = member.join(tokens.select("token"), "token", "left_semi").withColumn("band", band.cast("long")).withColumn("order", F.xxhash64("doc", F.lit(turn)))
+                banded = member.join(tokens.select("token"), "token", "left_semi").withColumn("band", band.cast("long")).withColumn("order", F.struct(F.col("pos") if turn == 0 else F.lit(0), F.xxhash64("doc", F.lit(turn), F.pmod("token", F.lit(4)))))
                 centre = banded.groupBy("token", "band").agg(F.min(F.struct("order", "doc", "n", "comp", "pos")).alias("c"), F.count("*").alias("m")).where("m > 1")
                 centre = space.table(centre.select("token", "band", F.col("c.doc").alias("cd"), F.col("c.n").alias("nc"), F.col("c.comp").alias("cc"), F.col("c.pos").alias("posc")), "centre")
                 banded = space.table(banded.withColumnsRenamed({"n": "nm", "pos": "posm"}), "banded")
                 pairs = banded.join(centre, ["token", "band"]).where("comp <> cc").where(_may_meet("m", "c", num, den)).select(F.least("doc", "cd").alias("a"), F.greatest("doc", "cd").alias("b")).distinct()
             pairs = space.table(space.table(pairs, "pairs").join(side("a"), "a").join(side("b"), "b"), "pairs")
-            links = space.table(_links(pairs, cut, num, den), "links")
+            links = space.table(_links(pairs, cut, num, den, space), "links")
             ends = links.join(assigned.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a").join(assigned.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b")
             merged = graph.components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), space)
             assigned = space.table(assigned.join(merged.select(F.col("node").alias("comp"), "label"), "comp", "left").select("doc", F.coalesce("label", "comp").alias("comp")), "assigned")
