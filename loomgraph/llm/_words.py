@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-from loomgraph.llm._chunks import _Codes
+from loomgraph.llm._chunks import ColumnTable, texts_of
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -19,36 +21,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _R31)
 
 
-class WordHashes:
-    """Hashes of words, each computed once; at most ``limit`` words are kept between batches."""
+#: The hash of the empty piece before or after white space at the ends of a text.
+_EMPTY = np.uint64(xxhash.xxh3_64_intdigest(b""))
 
-    def __init__(self, limit: int = 500_000):
-        self.limit = limit
-        self.codes, self.hashes = _Codes(), np.zeros(0, np.uint64)
 
-    def lookup(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of all documents, one after the other, and each document's number of words."""
-        if len(self.codes) > self.limit:
-            self.codes.shrink(self.limit)
-            self.hashes = self.hashes[: self.limit]
-        get = self.codes.__getitem__
-        counts = np.fromiter(map(len, documents), np.int64, len(documents))
-        code = np.fromiter((c for d in documents for c in map(get, d)), np.int64, int(counts.sum()))
-        if self.codes.pending:
-            new = np.fromiter(map(xxhash.xxh3_64_intdigest, self.codes.pending), np.uint64, len(self.codes.pending))
-            self.hashes = np.concatenate([self.hashes, new])
-            self.codes.pending.clear()
-        return self.hashes[code], counts
+class WordHashes(ColumnTable):
+    """Hashes of words, each computed once."""
+
+    def __init__(self, limit: int = 500_000):
+        super().__init__(lambda new: [np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in new), np.uint64, len(new))], limit)
 
 
-def split(text: str | None) -> list[bytes]:
-    """Lower-case (A-Z) words between ASCII white space."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
+def split(texts: pa.Array) -> pa.ListArray:
+    """Lower-case (A-Z) words between ASCII white space; empty pieces are left in and stand for nothing."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts_of(texts)))
 
 
-def shingle_sets(documents: list[list[bytes]], k: int, words: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int, words: WordHashes) -> list[np.ndarray]:
     """Each document's distinct k-word shingles, sorted; fewer words are one shingle, no words none."""
-    flat, counts = words.lookup(documents)
+    (flat,), counts = words.lookup(split(texts))
+    real = flat != _EMPTY
+    counts = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(counts)])])
+    flat = flat[real]
     ends = np.cumsum(counts)
     z = flat.copy()
     for j in range(1, k):

@@ -20,15 +20,17 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from loomgraph.llm import _chunks, _store
 
-#: White space other than space and newline: texts that hold it take the slow, general way.
-_ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　\0]")
+#: Texts with white space that meets white space, but for one empty line, or that is neither space nor newline.
+_APART = r"  | \n|\n |\n\n\n|\n\n\z|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A word in Western letters, perhaps after a space, and marks after it: two words of the pre-tokenizer.
 _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)")
 _LONG = 200  # longer words are not kept in tables
@@ -141,15 +143,15 @@ class SpeculativeBPE:
         return known
 
     # -- texts ---------------------------------------------------------------------------------
-    def _encode_chunks(self, chunks: list) -> list[list[int]]:
-        """Chunks are texts between safe cuts; an int stands for a special token."""
-        split = [() if isinstance(c, int) else self._split(c) for c in chunks]
+    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of texts between safe cuts."""
+        split = [self._split(c) for c in chunks]
         _chunks.drop_latest(self.words, 300_000)
         new = list({w for ws in split for w in ws if w not in self.words})
         fresh = dict(zip(new, self.encode_words(new), strict=True))
         self.words.update((w, ids) for w, ids in fresh.items() if len(w) <= _LONG)
         get = self.words.get
-        return [[c] if isinstance(c, int) else [i for w in ws for i in (get(w) or fresh[w])] for c, ws in zip(chunks, split, strict=True)]
+        return [[i for w in ws for i in (get(w) or fresh[w])] for ws in split]
 
     def _split(self, chunk: str) -> list[str]:
         """The words of a chunk in the alphabet of the vocabulary."""
@@ -157,23 +159,32 @@ class SpeculativeBPE:
             return [w.encode().decode("latin-1").translate(self.alphabet) for w in plain.groups() if w]
         return [w for w, _ in self.pre.pre_tokenize_str(chunk)]
 
-    def chunks(self, text: str) -> list:
-        """Cut where the pre-tokenizer always cuts: before a space between visible characters, around a newline."""
-        if self.splitter and self.splitter.search(text):
-            return [c for part in self.splitter.split(text) for c in ([self.special[part]] if part in self.special else self.chunks(part))]
-        if not text:
-            return []
-        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n") or _ODD_SPACE.search(text):
-            return self._general(text)
-        return [c for c in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if c]
-
-    def _general(self, text: str) -> list[str]:
-        spans = [s for _, s in self.pre.pre_tokenize_str(text)]
-        return [text[a:b] for a, b in spans]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and each text's number of ids."""
-        return self.table.expand([self.chunks(t) for t in texts])
+    def _encode_any(self, text: str) -> list[int]:
+        """Special tokens and any white space, a text at a time."""
+        parts = self.splitter.split(text) if self.splitter else [text]
+        return [i for p in parts for i in ([self.special[p]] if p in self.special else chain.from_iterable(self._encode_chunks([p])))]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and each text's number of ids.
+
+        Texts are cut where the pre-tokenizer always cuts: before a space between visible characters, and
+        around a newline.  Texts in which white space meets white space in other ways are encoded apart.
+        """
+        texts = _chunks.texts_of(texts)
+        apart = pc.match_substring_regex(texts, _APART)
+        for token in self.special:
+            apart = pc.or_(apart, pc.match_substring(texts, token))
+        cut = pc.replace_substring(pc.replace_substring(pc.if_else(apart, "", texts), " ", "\0 "), "\n", "\0\n\0")
+        ids, size = self.table.expand(pc.split_pattern(cut, "\0"))
+        if slow := np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+            at = np.cumsum(size) - size
+            own = [self._encode_any(texts[k].as_py()) for k in slow]
+            pieces, last = [], 0
+            for k, new in zip(slow, own, strict=True):
+                pieces += [ids[last : at[k]], np.array(new, np.int64)]
+                last, size[k] = at[k], len(new)
+            ids = np.concatenate([*pieces, ids[last:]])
+        return ids, size
 
     def decode(self, ids: list[int]) -> str:
         """As the library with ``skip_special_tokens=False``; invalid UTF-8 becomes U+FFFD."""
@@ -200,7 +211,7 @@ def load(path: str) -> SpeculativeBPE:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     bpe = load(path)
     for part in _store.slices(batches, "text"):
-        ids, size = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+        ids, size = bpe.encode(part.column("text"))
         yield part.column("doc_id"), ids, size
 
 

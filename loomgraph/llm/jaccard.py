@@ -49,7 +49,7 @@ def _hashes() -> _words.WordHashes:
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     for part in _store.slices(batches, "text"):
-        yield part.column("doc_id").to_pylist(), _words.shingle_sets([_words.split(t) for t in part.column("text").to_pylist()], k, _hashes())
+        yield part.column("doc_id").to_pylist(), _words.shingle_sets(part.column("text"), k, _hashes())
 
 
 def _class_of(hashes: np.ndarray) -> np.ndarray:

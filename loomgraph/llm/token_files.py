@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,24 +45,25 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")}
-        self.words: dict[str, list[int]] = {"": []}
-        self.table = _chunks.RaggedTable(self._new)
+        self.words: dict[str, tuple[int, ...]] = {"": ()}
+        self.table = _chunks.RaggedTable(self._new, limit=200_000)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str], line: int = 500) -> None:
-        lines = [words[k : k + line] for k in range(0, len(words), line)]
-        for own, ids in zip(lines, self._library([" ".join(w) for w in lines]), strict=True):
+        for k in range(0, len(words), line):
+            own = words[k : k + line]
+            ids = self._library([" ".join(own)])[0]
             parts, at = [], 0
-            for k, i in enumerate(ids, 1):
+            for stop, i in enumerate(ids, 1):
                 if i in self.ends:
-                    parts.append(ids[at:k])
-                    at = k
-            self.words.update(zip(own, parts if len(parts) == len(own) else self._library(own), strict=True))
+                    parts.append(tuple(ids[at:stop]))
+                    at = stop
+            self.words.update(zip(own, parts if len(parts) == len(own) else map(tuple, self._library(own)), strict=True))
 
     def _new(self, chunks: list[str]) -> list[list[int]]:
-        _chunks.drop_latest(self.words, 300_000)
+        _chunks.drop_latest(self.words, 200_000)
         match = _PLAIN.fullmatch
         split = [m.groups() if (m := match(c)) and len(c) < 200 else None for c in chunks]
         words = self.words
@@ -69,8 +71,9 @@ class ChunkEncoder:
         other = iter(self._library([c for c, s in zip(chunks, split, strict=True) if not s]))
         return [words[s[0]] + words[s[1]] if s else next(other) for s in split]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.table.expand([t.replace("\n", " ").split(" ") for t in texts])
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and each text's number of ids."""
+        return self.table.expand(pc.split_pattern(pc.replace_substring(_chunks.texts_of(texts), "\n", " "), " "))
 
 
 _loaded: dict[str, ChunkEncoder] = {}
@@ -91,8 +94,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for part in _store.slices(batches, "text"):
-            ids, size = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+        for part in _store.slices(batches, "text", 2 << 20):
+            ids, size = encoder.encode(part.column("text"))
             ends = np.cumsum(size)
             flat = np.insert(ids, ends, end_id).astype(np.int32)
             offsets = np.concatenate([[0], ends + np.arange(1, len(size) + 1)]).astype(np.int32)

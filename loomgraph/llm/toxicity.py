@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,16 +112,18 @@ class _Scorer:
     def value(self, word: str) -> float:
         return next((v for f in features(word) if (v := self.model.scores.get(f))), 0.0)
 
-    def segments(self, texts: list[str]) -> list[tuple[list[tuple[int, int, float]], int]]:
-        (score,), counts = self.table.lookup([t.split() for t in texts])
-        ends = np.cumsum(counts)
+    def segments(self, texts: pa.Array) -> list[tuple[list[tuple[int, int, float]], int]]:
+        """Each text's maximal segments, counted in its ``split()`` chunks, and its number of chunks."""
+        texts = _chunks.texts_of(texts)
+        (score,), counts = self.table.lookup(pc.utf8_split_whitespace(texts))
         out: list = [([], int(n)) for n in counts]
-        hit = np.searchsorted(ends, np.flatnonzero(score > 0), side="right")
+        hit = np.searchsorted(np.cumsum(counts), np.flatnonzero(score > 0), side="right")
         for d in np.unique(hit).tolist():
-            out[d] = (_scan(score[ends[d] - counts[d] : ends[d]], self.model.drift), int(counts[d]))
+            own = np.array([self.value(token(c)) for c in texts[d].as_py().split()], np.float64)
+            out[d] = (_scan(own, self.model.drift), len(own))
         return out
 
-    def score(self, texts: list[str]) -> list[float]:
+    def score(self, texts: pa.Array) -> list[float]:
         return [self.model.probability(*self.model.evidence(s, n)) for s, n in self.segments(texts)]
 
 
@@ -187,8 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_la
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorers = [_Scorer(m) for m in broadcast.value]
             for part in _store.slices(batches, "text"):
-                texts, folds = part.column("text").to_pylist(), part.column("fold").to_pylist()
-                found = [scorers[f].segments([t])[0] for t, f in zip(texts, folds, strict=True)]
+                both = [s.segments(part.column("text")) for s in scorers]
+                found = [both[f][k] for k, f in enumerate(part.column("fold").to_pylist())]
                 lists = [[s for _, _, s in segments] for segments, _ in found]
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([m for _, m in found], pa.int64()), pa.array(lists, pa.list_(pa.float64()))], ["toxic", "tokens", "segments"])
 
@@ -232,11 +235,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         m = scorer.model
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
         for part in _store.slices(batches, "text"):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            scores, passages = [], []
-            for text, (segments, n) in zip(texts, scorer.segments(texts), strict=True):
+            texts, scores, passages = part.column("text"), [], []
+            for k, (segments, n) in enumerate(scorer.segments(texts)):
                 scores.append(m.probability(*m.evidence(segments, n)))
-                spans = [x.span() for x in re.finditer(r"\S+", text)] if segments else []
+                spans = [x.span() for x in re.finditer(r"\S+", texts[k].as_py())] if segments else []
                 passages.append([{"start": spans[a][0], "end": spans[b - 1][1], "score": s, "e_value": m.k * n * math.exp(-m.lam * s)} for a, b, s in segments])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "passages"])
 
@@ -252,7 +254,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(broadcast.value)
         for part in _store.slices(batches, "text"):
-            scores = scorer.score([t or "" for t in part.column("text").to_pylist()])
+            scores = scorer.score(part.column("text"))
             yield part.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
