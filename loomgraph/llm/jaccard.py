@@ -10,7 +10,8 @@ The order is cut into fragments of equal mass.
   ceil(t n) + 1.  So of the first q = p + l - 1 shingles of a set that has any partner, at least l are also
   among the first q of another document.  Few texts pass this test; only they go on.
 * Pairs: a pair's first common shingle stands in both sets at a place of at most n - a, where a is the
-  overlap that the pair's sizes ask for; only such places bring two documents together.
+  overlap that the pair's sizes ask for; only such places bring two documents together.  (For the shorter set
+  these are early places, n - ceil(2 t n / (1 + t)) at most.)
 * Links: where a prefix shingle brings many documents together, they first meet in a star around one of
   them: the one in which it stands first, which has the fewest shingles of its own, then others.  Pairs whose
   counts of shingles by piece of the order rule the overlap out are left.  For the others, partial overlaps
@@ -40,6 +41,8 @@ SHARED = 2
 FRAGMENTS = 4
 #: Finer pieces of the order, 16 to a fragment: their counts alone bound an overlap from above.
 SLOTS = 64
+#: At most so many ids of candidate documents are broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
 _STATE: dict[str, _words.WordHashes] = {}
 
 
@@ -197,9 +200,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         possible = per_doc.join(rows, "doc_id").where(F.col("found") >= q - p + 1).select("doc_id", "sig").distinct()
         # copies fall together in their class
         keyed = space.table(possible.join(classes, "sig").select("doc_id", "doc", "n", "sig", "rep"), "keyed")
-        bucket = space.table(hits.join(keyed, "doc_id").where(F.col("pos") < p).select("token", "doc", "n", "pos").distinct(), "bucket")
+        bucket = hits.join(keyed, "doc_id").where(F.col("pos") < p).select("token", "doc", "n", "pos").distinct()
+        bucket = bucket.withColumn("early", F.expr(f"pos <= n - ((2 * {num} * n + {num + den - 1}) div {num + den})"))
+        # the largest set that this place leaves room for
+        bucket = space.table(bucket.withColumn("cap", F.expr(f"({num + den} * (n - pos) - {num} * n) div {num}")), "bucket")
         sizes = space.table(keyed.select("doc", "n", "sig", "rep").distinct(), "sizes")
-        wanted = docs.join(sizes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        ids = space.table(sizes.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+        # few candidates are sent to the texts, not the texts to them; beyond the bound both are shuffled
+        wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
         cut = space.table(segments(wanted, k, slot), "cut")
         if not cut.groupBy("sig", "fragment").count().where("count > 1").isEmpty():  # repeated rows
             cut = space.table(cut.dropDuplicates(["sig", "fragment"]), "cut")
@@ -209,19 +217,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         before, idle = float("inf"), 0
         for turn in range(star_rounds + 1):
             member = space.table(bucket.join(assigned, "doc"), "member")
-            held = space.table(member.groupBy("token", "comp").agg(F.count("*").alias("m")), "held")
-            tokens = space.table(held.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("comps")).where("comps > 1"), "tokens")
-            rows_left, pairs_left = tokens.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()
+            held = space.table(member.groupBy("token", "comp").agg(F.count("*").alias("m"), F.sum(F.col("early").cast("long")).alias("e"), F.max("cap").alias("cap"), F.min("n").alias("low")), "held")
+            tokens = held.groupBy("token").agg(F.sum("m").alias("m"), F.sum("e").alias("e"), F.sum(F.col("m") * F.col("e")).alias("me")).where("m * e > me")
+            tokens = space.table(tokens, "tokens")
+            rows_left, pairs_left = tokens.agg(F.sum("m"), F.sum(F.col("m") * F.col("e") - F.col("me"))).first()
             if not rows_left:
                 break
             idle, before = idle + 1 if pairs_left > 0.95 * before else 0, pairs_left
-            final = turn == star_rounds or pairs_left <= few * rows_left or idle == 2
+            final = turn == star_rounds or (turn and pairs_left <= few * rows_left) or idle == 2
             if final:
-                held = held.join(tokens.select("token"), "token", "left_semi")
-                sides = space.table(held.select("token", "comp").join(held.select("token", F.col("comp").alias("other")), "token").where("comp < other"), "sides")
-                first = sides.join(member.select("token", "comp", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("posx")), ["token", "comp"])
+                # the shorter of two sets meets the other in one of its early places
+                held = space.table(held.join(tokens.select("token"), "token", "left_semi"), "held")
+                sides = held.where("e > 0").select("token", "comp", F.col("cap").alias("xcap"), F.col("low").alias("xlow")).join(held.select("token", F.col("comp").alias("other"), F.col("cap").alias("ycap"), F.col("low").alias("ylow")), "token")
+                sides = space.table(sides.where("comp <> other AND xlow <= ycap AND ylow <= xcap").select("token", "comp", "other", "ycap", "ylow"), "sides")
+                early = member.where("early").select("token", "comp", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("posx"), F.col("cap").alias("capx"))
+                first = sides.join(early, ["token", "comp"]).where("nx <= ycap AND ylow <= capx").drop("ycap", "ylow", "capx")
                 second = member.select("token", F.col("comp").alias("other"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("posy"))
-                pairs = first.join(second, ["token", "other"]).where(_may_meet("x", "y", num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                pairs = first.join(second, ["token", "other"]).where(_may_meet("x", "y", num, den)).where("nx < ny OR (nx = ny AND x < y)")
+                pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             else:
                 # one document of each (shingle, size band) is the centre; others in each round
                 band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))) if num < den else F.col("n")
