@@ -94,7 +94,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        for part in _store.slices(batches, "text", 2 << 20):
+        for part in _store.slices(batches, "text", 4 << 20):
             ids, size = encoder.encode(part.column("text"))
             ends = np.cumsum(size)
             flat = np.insert(ids, ends, end_id).astype(np.int32)
@@ -123,7 +123,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitio
         "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
         "parquet.page.row.count.limit": 1000,
     }
-    tokens.write.mode("overwrite").options(**options).parquet(path)
+    with _store.small_batches(docs.sparkSession):
+        tokens.write.mode("overwrite").options(**options).parquet(path)
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
