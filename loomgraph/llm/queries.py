@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import _store, bpe, chat, jaccard, token_files, toxicity, warc
+from loomgraph.llm import _store, bpe, chat, decontamination, jaccard, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -73,6 +73,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_decontamination": op4_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
