@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import _store, ann, bpe, chat, decontamination, jaccard, token_files, toxicity, warc
+from loomgraph.llm import _store, ann, bpe, chat, decontamination, jaccard, pii, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -81,6 +81,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
     "op6_ann": op6_ann,
+    "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
