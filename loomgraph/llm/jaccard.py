@@ -41,8 +41,8 @@ SHARED = 2
 FRAGMENTS = 4
 #: Finer pieces of the order, 16 to a fragment: their counts alone bound an overlap from above.
 SLOTS = 64
-#: At most so many ids of candidate documents are broadcast (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: A written table of at most so many narrow rows (tens of bytes each) is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
 _STATE: dict[str, _words.WordHashes] = {}
 
 
@@ -174,6 +174,11 @@ def _may_meet(x: str, y: str, num: int, den: int):
     return F.expr(f"pos{x} <= n{x} - {need} AND pos{y} <= n{y} - {need}")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows are few enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, star_rounds: int = 6, few: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text); linked at Jaccard >= num / den.
 
@@ -200,14 +205,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         possible = per_doc.join(rows, "doc_id").where(F.col("found") >= q - p + 1).select("doc_id", "sig").distinct()
         # copies fall together in their class
         keyed = space.table(possible.join(classes, "sig").select("doc_id", "doc", "n", "sig", "rep"), "keyed")
-        bucket = hits.join(keyed, "doc_id").where(F.col("pos") < p).select("token", "doc", "n", "pos").distinct()
+        bucket = hits.join(_small(keyed.select("doc_id", "doc", "n")), "doc_id").where(F.col("pos") < p).select("token", "doc", "n", "pos").distinct()
         bucket = bucket.withColumn("early", F.expr(f"pos <= n - ((2 * {num} * n + {num + den - 1}) div {num + den})"))
         # the largest set that this place leaves room for
         bucket = space.table(bucket.withColumn("cap", F.expr(f"({num + den} * (n - pos) - {num} * n) div {num}")), "bucket")
         sizes = space.table(keyed.select("doc", "n", "sig", "rep").distinct(), "sizes")
         ids = space.table(sizes.select(F.col("rep").alias("doc_id")).distinct(), "ids")
         # few candidates are sent to the texts, not the texts to them; beyond the bound both are shuffled
-        wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        wanted = docs.join(_small(ids), "doc_id", "left_semi")
         cut = space.table(segments(wanted, k, slot), "cut")
         if not cut.groupBy("sig", "fragment").count().where("count > 1").isEmpty():  # repeated rows
             cut = space.table(cut.dropDuplicates(["sig", "fragment"]), "cut")
@@ -216,7 +221,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         side = lambda x: sizes.select(F.col("doc").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("sig_" + x))
         before, idle = float("inf"), 0
         for turn in range(star_rounds + 1):
-            member = space.table(bucket.join(assigned, "doc"), "member")
+            member = space.table(bucket.join(_small(assigned), "doc"), "member")
             held = space.table(member.groupBy("token", "comp").agg(F.count("*").alias("m"), F.sum(F.col("early").cast("long")).alias("e"), F.max("cap").alias("cap"), F.min("n").alias("low")), "held")
             tokens = held.groupBy("token").agg(F.sum("m").alias("m"), F.sum("e").alias("e"), F.sum(F.col("m") * F.col("e")).alias("me")).where("m * e > me")
             tokens = space.table(tokens, "tokens")
@@ -227,7 +232,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             final = turn == star_rounds or (turn and pairs_left <= few * rows_left) or idle == 2
             if final:
                 # the shorter of two sets meets the other in one of its early places
-                held = space.table(held.join(tokens.select("token"), "token", "left_semi"), "held")
+                held = space.table(held.join(_small(tokens.select("token")), "token", "left_semi"), "held")
                 sides = held.where("e > 0").select("token", "comp", F.col("cap").alias("xcap"), F.col("low").alias("xlow")).join(held.select("token", F.col("comp").alias("other"), F.col("cap").alias("ycap"), F.col("low").alias("ylow")), "token")
                 sides = space.table(sides.where("comp <> other AND xlow <= ycap AND ylow <= xcap").select("token", "comp", "other", "ycap", "ylow"), "sides")
                 early = member.where("early").select("token", "comp", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("posx"), F.col("cap").alias("capx"))
@@ -238,11 +243,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             else:
                 # one document of each (shingle, size band) is the centre; others in each round
                 band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))) if num < den else F.col("n")
-                banded = member.join(tokens.select("token"), "token", "left_semi").withColumn("band", band.cast("long")).withColumn("order", F.struct(F.col("pos") if turn == 0 else F.lit(0), F.xxhash64("doc", F.lit(turn), F.pmod("token", F.lit(4)))))
+                banded = member.join(_small(tokens.select("token")), "token", "left_semi").withColumn("band", band.cast("long")).withColumn("order", F.struct(F.col("pos") if turn == 0 else F.lit(0), F.xxhash64("doc", F.lit(turn), F.pmod("token", F.lit(4)))))
                 centre = banded.groupBy("token", "band").agg(F.min(F.struct("order", "doc", "n", "comp", "pos")).alias("c"), F.count("*").alias("m")).where("m > 1")
                 centre = space.table(centre.select("token", "band", F.col("c.doc").alias("cd"), F.col("c.n").alias("nc"), F.col("c.comp").alias("cc"), F.col("c.pos").alias("posc")), "centre")
                 banded = space.table(banded.withColumnsRenamed({"n": "nm", "pos": "posm"}), "banded")
-                pairs = banded.join(centre, ["token", "band"]).where("comp <> cc").where(_may_meet("m", "c", num, den)).select(F.least("doc", "cd").alias("a"), F.greatest("doc", "cd").alias("b")).distinct()
+                pairs = banded.join(_small(centre), ["token", "band"]).where("comp <> cc").where(_may_meet("m", "c", num, den)).select(F.least("doc", "cd").alias("a"), F.greatest("doc", "cd").alias("b")).distinct()
             pairs = space.table(space.table(pairs, "pairs").join(side("a"), "a").join(side("b"), "b"), "pairs")
             links = space.table(_links(pairs, cut, num, den, space), "links")
             ends = links.join(assigned.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a").join(assigned.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b")
