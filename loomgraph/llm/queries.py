@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import _store, ann, bpe, chat, decontamination, jaccard, pii, token_files, toxicity, warc
+from loomgraph.llm import _store, ann, bpe, chat, decontamination, jaccard, pii, quality, token_files, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -77,6 +77,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), usable=third != 1)
+    return quality.score(docs, model).withColumn("held_out", F.coalesce(third == 1, F.lit(False)))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op6_ann": op6_ann,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
