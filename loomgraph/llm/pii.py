@@ -149,8 +149,9 @@ def detect(docs: DataFrame, space: _store.Workspace, min_docs: int = 5, confiden
         return stage.withColumn("_pii_spans", F.col("_pii_base"))
     keys = useful.select("pattern").distinct()
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    every = F.transform(words, lambda w, i: F.when(w.rlike("[:=#]$"), w).otherwise(F.concat_ws(" ", F.get(words, i - 1), w)))
-    counted = docs.select(F.explode(every).alias("pattern"))
+    # each word with the one before it; the arrays are built once, outside of the function of a pair
+    every = F.zip_with(words, F.concat(F.array(F.lit(None).cast("string")), words), lambda w, before: F.when(w.rlike("[:=#]$"), w).otherwise(F.concat_ws(" ", before, w)))
+    counted = docs.select(F.explode(every).alias("pattern")).where("pattern IS NOT NULL")
     small = keys.count() <= 100_000
     counted = counted.join(F.broadcast(keys) if small else keys, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
     patterns = space.table(useful.join(counted, "pattern"), "patterns")
