@@ -8,11 +8,11 @@ split when one key is hot.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,8 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Long texts meet in Arrow batches; Spark cuts a batch at this size (a session setting, lowered, never raised).
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it was not installed on them."""
+    """Let Python workers import this package when it was not installed on them, and bound Arrow batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key, "67108864b").rstrip("b") if spark.conf.get(key, "67108864b").rstrip("b").isdigit() else BATCH_BYTES + 1)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
@@ -30,6 +38,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_CACHED: dict[str, object] = {}
+
+
+def cached(key: str, make: Callable[[], object]):
+    """One object for each worker process, kept from task to task; another key's object is let go first.
+
+    Workers are used again by later stages; without this the tables of all operators would add up in them.
+    """
+    if key not in _CACHED:
+        _CACHED.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _CACHED[key] = make()
+    return _CACHED[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset (tests, local mode) a local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -39,18 +63,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of few rows for the actions in this block, so that long texts do not add up."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 class Workspace:
     """Tables of one operator call.  Leaving the block deletes all but the kept ones."""
 

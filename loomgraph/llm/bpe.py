@@ -198,14 +198,9 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-_loaded: dict[str, SpeculativeBPE] = {}
-
-
 def load(path: str) -> SpeculativeBPE:
     """One encoder for each file and worker process."""
-    if path not in _loaded:
-        _loaded[path] = SpeculativeBPE(path)
-    return _loaded[path]
+    return _store.cached(f"bpe {path}", lambda: SpeculativeBPE(path))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:

@@ -59,7 +59,7 @@ class Templates:
     """Template tokens of whole batches of texts."""
 
     def __init__(self) -> None:
-        self.table = _chunks.ColumnTable(_described)
+        self.table = _chunks.ColumnTable(_described, 300_000)
 
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(template hashes, literal hashes, tokens of each text).  They differ in slots."""
@@ -157,7 +157,6 @@ class Index:
 
 
 SCHEMA = "doc_id long, item_id long, windows long, item_windows long, literal_run long, slots_changed long, kind string"
-_TEMPLATES: dict[str, Templates] = {}
 
 
 def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[list[tuple[int, str]]]:
@@ -193,7 +192,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: fl
         index = spark.sparkContext.broadcast(Index(items, window))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            templates = _TEMPLATES.setdefault("all", Templates())
+            templates = _store.cached("templates", Templates)
             for part in _store.slices(batches, "text"):
                 ids = part.column("doc_id")
                 found = [m for m in index.value.search(*templates.tokens(part.column("text"))) if _leaks(m, window, coverage)]
@@ -211,7 +210,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage:
         index = spark.sparkContext.broadcast(Index(items, window))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            templates = _TEMPLATES.setdefault("all", Templates())
+            templates = _store.cached("templates", Templates)
             for part in _store.slices(batches, "text"):
                 bad = {m[0] for m in index.value.search(*templates.tokens(part.column("text"))) if _leaks(m, window, coverage)}
                 yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))

@@ -43,11 +43,10 @@ FRAGMENTS = 4
 SLOTS = 64
 #: A written table of at most so many narrow rows (tens of bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
-_STATE: dict[str, _words.WordHashes] = {}
 
 
 def _hashes() -> _words.WordHashes:
-    return _STATE.setdefault("words", _words.WordHashes())
+    return _store.cached("words", lambda: _words.WordHashes(300_000))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:

@@ -53,7 +53,7 @@ class Views:
     """Feature matrices of batches of documents."""
 
     def __init__(self) -> None:
-        self.table = _chunks.ColumnTable(_words)
+        self.table = _chunks.ColumnTable(_words, 300_000)
 
     def text(self, texts: pa.Array) -> np.ndarray:
         texts = _chunks.texts_of(texts)

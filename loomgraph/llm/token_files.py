@@ -10,6 +10,7 @@ their text; a null doc_id comes first; no rows give a data set without rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -76,16 +77,9 @@ class ChunkEncoder:
         return self.table.expand(pc.split_pattern(pc.replace_substring(_chunks.texts_of(texts), "\n", " "), " "))
 
 
-_loaded: dict[str, ChunkEncoder] = {}
-
-
 def _encoder(path: str) -> ChunkEncoder:
-    if path not in _loaded:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _loaded[path] = ChunkEncoder(path)
-    return _loaded[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return _store.cached(f"chunks {path}", lambda: ChunkEncoder(path))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -123,8 +117,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitio
         "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
         "parquet.page.row.count.limit": 1000,
     }
-    with _store.small_batches(docs.sparkSession):
-        tokens.write.mode("overwrite").options(**options).parquet(path)
+    tokens.write.mode("overwrite").options(**options).parquet(path)
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:

@@ -107,7 +107,7 @@ def _scan(score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
 class _Scorer:
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.table = _chunks.ColumnTable(lambda new: [np.array([self.value(token(c)) for c in new], np.float64)])
+        self.table = _chunks.ColumnTable(lambda new: [np.array([self.value(token(c)) for c in new], np.float64)], 300_000)
 
     def value(self, word: str) -> float:
         return next((v for f in features(word) if (v := self.model.scores.get(f))), 0.0)
