@@ -178,7 +178,7 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, star_rounds: int = 6, few: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, star_rounds: int = 6, few: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text); linked at Jaccard >= num / den.
 
     Stars are made, at most ``star_rounds`` times, while more than ``few`` times as many pairs as rows lie
