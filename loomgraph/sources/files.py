@@ -36,9 +36,9 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",") ->
 
 def read_txt(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """(line, x): a row of numbers for each line, numbered from 0 within its file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "t")).where(F.trim("t") != "")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "t")).where(F.trim("t") != "")
     parts = F.split(F.trim("t"), r"\s+" if sep is None else re.escape(sep))
-    return text.select("file", "line", F.transform(parts, lambda p: F.trim(p).cast("double")).alias("x"))
+    return text.select("file", "line", F.transform(parts, lambda p: F.trim(p).try_cast("double")).alias("x"))
 
 
 def write_txt(rows: DataFrame, path: str, order: Sequence[str], column: str = "x", sep: str = " ") -> None:
@@ -85,7 +85,7 @@ def csr_edges(arrays: DataFrame, prefix: str = "adj_") -> DataFrame:
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(graph_id, file, value): whole text files, numbered in the order of their paths."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return rows.withColumn("graph_id", F.row_number().over(Window.orderBy("file")).cast("long") - 1)
 
 
@@ -95,7 +95,7 @@ def read_off(spark: SparkSession, path: str) -> GraphSet:
     A face of four corners (a, b, c, d) stands for (a, b, c) and (a, b, d).
     """
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: (F.trim(s) != "") & ~s.startswith("#"))
-    rows = _files(spark, path).withColumn("lines", F.transform(lines, F.trim))
+    rows = _files(spark, path).withColumn("lines", F.transform(lines, lambda s: F.trim(s)))
     # some files write the counts behind the first word
     joined = F.length(F.col("lines")[0]) > 3
     rows = rows.withColumn("counts", F.when(joined, F.substr(F.col("lines")[0], F.lit(4))).otherwise(F.col("lines")[1])).withColumn("body", F.when(joined, F.slice("lines", 2, F.size("lines"))).otherwise(F.slice("lines", 3, F.size("lines"))))
@@ -115,7 +115,7 @@ def read_off(spark: SparkSession, path: str) -> GraphSet:
 
 def read_sdf(spark: SparkSession, path: str, amount: int | None = None) -> DataFrame:
     """(file, ordinal, name, atoms, bonds, data) of every molecule; bonds count atoms from 0."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\r", ""), r"\$\$\$\$[^\n]*\n?")).alias("ordinal", "record"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\r", ""), r"\$\$\$\$[^\n]*\n?")).alias("ordinal", "record"))
     rows = whole.where(F.trim("record") != "")
     rows = rows if amount is None else rows.where(F.col("ordinal") < amount)
     lines = F.split("record", "\n")
@@ -282,12 +282,12 @@ def read_tu(spark: SparkSession, folder: str, name: str) -> GraphSet:
 def read_node_link(spark: SparkSession, graph: str, id_map: str, class_map: str | None = None, features: DataFrame | None = None, n_features: int = 0) -> GraphSet:
     """A node-link JSON graph with its id and class maps: undirected edges of weight 1, masks from node flags."""
     schema = "nodes array<struct<id:string,val:boolean,test:boolean>>, links array<struct<source:string,target:string>>"
-    j = spark.read.option("wholetext", True).text(graph).select(F.from_json("value", schema).alias("g"))
-    number = spark.read.option("wholetext", True).text(id_map).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("id", "node_id"))
+    j = spark.read.text(graph, wholetext=True).select(F.from_json("value", schema).alias("g"))
+    number = spark.read.text(id_map, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("id", "node_id"))
     n = j.select(F.explode("g.nodes").alias("n")).select("n.id", F.coalesce("n.val", F.lit(False)).alias("mask_va"), F.coalesce("n.test", F.lit(False)).alias("mask_te")).join(number, "id")
     n = n.withColumn("mask_tr", ~F.col("mask_va") & ~F.col("mask_te"))
     if class_map is not None:
-        c = spark.read.option("wholetext", True).text(class_map).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "c"))
+        c = spark.read.text(class_map, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "c"))
         c = c.select("id", F.coalesce(F.from_json("c", "array<double>"), F.array(F.col("c").try_cast("double"))).alias("y"))
         n = n.join(c, "id", "left")
     n = n.join(features, "node_id", "left") if features is not None else n.withColumn("x", F.array().cast("array<double>"))
