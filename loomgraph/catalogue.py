@@ -442,3 +442,12 @@ a AS (SELECT y, sum(n) AS na FROM c GROUP BY 1), b AS (SELECT c, sum(n) AS nb FR
 m AS (SELECT (SELECT sum(n / t * ln(n * t / (na * nb))) FROM c JOIN a USING (y) JOIN b USING (c), t) AS mi, (SELECT -sum(na / t * ln(na / t)) FROM a, t) AS ha, (SELECT -sum(nb / t * ln(nb / t)) FROM b, t) AS hb)"""
 _add("cluster_metrics", lambda s, d: models.cluster_metrics(X.table(s, d, "orders").select(F.col("o_orderpriority").alias("y"), F.col("o_orderstatus").alias("c"))).select(*[F.round(c, 9).alias(c) for c in ("homogeneity", "completeness", "v_measure", "nmi")]), q(_MET, select="SELECT round(mi / ha, 9) AS homogeneity, round(mi / hb, 9) AS completeness, round(2 * (mi / ha) * (mi / hb) / (mi / ha + mi / hb), 9) AS v_measure, round(2 * mi / (ha + hb), 9) AS nmi FROM m"))
 _add("mask_weights", _S(lambda g: models.mask_weights(g.nodes.select("graph_id", "node_id", (F.col("node_id") < 2).alias("mask")))), q(X.SESSIONS, select="SELECT graph_id, node_id, node_id < 2 AS mask, (node_id < 2)::INT / 2.0 AS sample_weight FROM nodes"))
+
+_add("graph_masking", lambda s, d: wide(layouts.masked(layouts.padded_nodes(X.turns(s, d), True), 3), 2, ("graph_id", "pos")), q(X.TURNS, select="SELECT graph_id, node_id AS pos, x0, x1 FROM nodes"))
+_add("sparse_dropout", _trade(lambda g: coo(linalg.sparse_dropout(g.edges, 0.5, 3))))
+_add("flip_edges", lambda s, d: coo(T.flip_edges(X.turns(s, d).edges, X.turns(s, d).nodes, 0.1)))
+_add("random_graphs", lambda s, d: coo(T.random_graphs(s, 50, 20, 0.2).edges))
+_add("ds_shuffle", lambda s, d: X.turns(s, d).shuffled(1).counts())
+_add("loader_shuffled", _O(lambda g: layouts.batches(g.nodes.select("graph_id").distinct(), 32, 2, True, 7)))
+_add("largest_eigenvalue", lambda s, d: filters.largest_eigenvalue(filters.normalized_laplacian(X.turns(s, d).edges, X.turns(s, d).nodes)).select("graph_id", F.round("lmax", 6).alias("lmax")))
+_add("gat_attention", lambda s, d: conv.gat_conv(X.knn(s, d), 2, return_attention=True)[1].select("graph_id", "src", "dst", F.round("alpha", 6).alias("alpha")))

@@ -75,3 +75,20 @@ def mode_of(x_rank: int, a_rank: int) -> str:
     if (x_rank, a_rank) not in modes:
         raise ValueError(f"no layout has ranks {x_rank} and {a_rank}")
     return modes[x_rank, a_rank]
+
+
+def masked(nodes: DataFrame, n: int) -> DataFrame:
+    """Splits the last of n features off as ``valid`` and drops rows that are padding."""
+    return nodes.withColumn("valid", F.col("x")[n - 1] != 0).withColumn("x", F.slice("x", 1, n - 1)).where("valid")
+
+
+def single(g: GraphSet, sample_weights: DataFrame | None = None) -> GraphSet:
+    """The one graph of a set, with optional (graph_id, node_id, sample_weight); several graphs raise."""
+    if g.ids().limit(2).count() != 1:
+        raise ValueError("exactly one graph is needed")
+    return g if sample_weights is None else g.with_x(g.nodes.join(sample_weights, ["graph_id", "node_id"], "left"), g.n_features)
+
+
+def padded_labels(labels: DataFrame, width: int) -> DataFrame:
+    """(graph_id, pos, y): node labels padded like ``padded_nodes``."""
+    return padded_nodes(GraphSet(labels.withColumnRenamed("y", "x"), labels.limit(0), None, width)).select("graph_id", "pos", F.col("x").alias("y"))
