@@ -47,7 +47,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")}
         self.words: dict[str, tuple[int, ...]] = {"": ()}
-        self.table = _chunks.RaggedTable(self._new, limit=200_000)
+        self.table = _chunks.RaggedTable(self._new, limit=400_000)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,7 +64,7 @@ class ChunkEncoder:
             self.words.update(zip(own, parts if len(parts) == len(own) else map(tuple, self._library(own)), strict=True))
 
     def _new(self, chunks: list[str]) -> list[list[int]]:
-        _chunks.drop_latest(self.words, 200_000)
+        _chunks.drop_latest(self.words, 250_000)
         match = _PLAIN.fullmatch
         split = [m.groups() if (m := match(c)) and len(c) < 200 else None for c in chunks]
         words = self.words
