@@ -28,6 +28,15 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
         ORACLE[name] = sql
 
 
+def _add_knn(name: str, make: Callable, sql: str | None = None) -> None:
+    """A query of neighbours by the prefix that its SQL has, and ``.._whole`` of neighbours by whole embeddings."""
+    if sql is not None:
+        _add(name, make(X.knn), sql)
+        _add(f"{name}_whole", make(X.knn_whole), sql.replace(X.KNN, X.KNN_WHOLE))
+    else:
+        _add(name, make(X.knn_whole))
+
+
 def wide(rows: DataFrame, n: int, keys: tuple[str, ...] = ("graph_id", "node_id"), column: str = "x") -> DataFrame:
     return rows.select(*keys, *[F.round(F.col(column)[i], 6).alias(f"x{i}") for i in range(n)])
 
@@ -195,12 +204,11 @@ for _how, _f, _empty in (("sum", "sum", "0"), ("mean", "avg", "0"), ("max", "max
     _add(f"scatter_{_how}", _scatter(_how), f"SELECT 0 AS graph_id, o_orderkey AS node_id, round(coalesce(v, {_empty}), 6) AS x0 FROM orders LEFT JOIN (SELECT l_orderkey, {_f}({_v}) AS v FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 
 
-def _seg_softmax(s: SparkSession, d: str) -> DataFrame:
-    g = X.knn(s, d)
+def _seg_softmax(g: GraphSet) -> DataFrame:
     return linalg.segment_softmax(g.edges, "dst", F.col("e")[0]).select("graph_id", "src", "dst", F.round("alpha", 6).alias("alpha"))
 
 
-_add("segment_softmax", _seg_softmax, q(X.KNN, select="SELECT graph_id, src, dst, round(exp(e0 - m) / (sum(exp(e0 - m)) OVER (PARTITION BY graph_id, dst) + 1e-9), 6) AS alpha FROM (SELECT *, max(e0) OVER (PARTITION BY graph_id, dst) AS m FROM edges)"))
+_add_knn("segment_softmax", lambda x: lambda s, d: _seg_softmax(x(s, d)), q(X.KNN, select="SELECT graph_id, src, dst, round(exp(e0 - m) / (sum(exp(e0 - m)) OVER (PARTITION BY graph_id, dst) + 1e-9), 6) AS alpha FROM (SELECT *, max(e0) OVER (PARTITION BY graph_id, dst) AS m FROM edges)"))
 _add("segment_topk", lambda s, d: linalg.segment_top_k(X.orders(s, d).nodes, F.col("x")[0], 0.5).select("graph_id", "node_id", F.col("rank").cast("long").alias("rank")), q(X.ORDERS, select="SELECT graph_id, node_id, rank FROM (SELECT n.graph_id, node_id, row_number() OVER (PARTITION BY n.graph_id ORDER BY x0 DESC, node_id) AS rank, n FROM nodes n JOIN sizes USING (graph_id)) WHERE rank <= ceil(0.5 * n)"))
 
 
@@ -222,26 +230,26 @@ _add("minkowski_product_whole", lambda s, d: coo(linalg.minkowski_product(X.vect
 
 # -- building edges ------------------------------------------------------------------------------------------
 
-_add("knn_graph", lambda s, d: X.knn(s, d).edges.select("graph_id", "src", "dst", F.round(F.col("e")[0], 6).alias("d2")), q(X.KNN, select="SELECT graph_id, src, dst, round(e0, 6) AS d2 FROM edges"))
-_add("symmetrize_clip", lambda s, d: coo(T.symmetrised(X.knn(s, d).edges)), q(X.KNN, select="SELECT graph_id, src, dst, 1.0::DOUBLE AS w FROM edges UNION SELECT graph_id, dst, src, 1.0 FROM edges"))
+_add_knn("knn_graph", lambda x: lambda s, d: x(s, d).edges.select("graph_id", "src", "dst", F.round(F.col("e")[0], 6).alias("d2")), q(X.KNN, select="SELECT graph_id, src, dst, round(e0, 6) AS d2 FROM edges"))
+_add_knn("symmetrize_clip", lambda x: lambda s, d: coo(T.symmetrised(x(s, d).edges)), q(X.KNN, select="SELECT graph_id, src, dst, 1.0::DOUBLE AS w FROM edges UNION SELECT graph_id, dst, src, 1.0 FROM edges"))
 _add("edge_reorder", _S(lambda g: coo(T.reordered(g.edges))), q(X.SESSIONS, select="SELECT graph_id, src, dst, w FROM edges ORDER BY 1, 2, 3"))
 _add("coo_dedup", lambda s, d: coo(filters.summed(X.table(s, d, "lineitem").select(F.lit(0).cast("long").alias("graph_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("w")))), "SELECT 0 AS graph_id, l_suppkey AS src, l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY ALL HAVING sum(l_quantity) <> 0")
 
 # -- transforms ------------------------------------------------------------------------------------------------
 
-_K = lambda f: lambda s, d: f(X.knn(s, d))
+_K = lambda f: lambda x: lambda s, d: f(x(s, d))
 _add("t_constant", _S(lambda g: wide(T.constant(g, 7.0).nodes, 3)), q(X.SESSIONS, select="SELECT graph_id, node_id, x0, x1, 7.0::DOUBLE AS x2 FROM nodes"))
 _add("t_degree_onehot", lambda s, d: wide(T.degree_one_hot(X.orders(s, d), 2).nodes, 5), q(X.ORDERS, deg(), select="SELECT graph_id, node_id, x0, x1, (d = 0)::INT::DOUBLE AS x2, (d = 1)::INT::DOUBLE AS x3, (d = 2)::INT::DOUBLE AS x4 FROM nodes JOIN deg USING (graph_id, node_id)"))
 _add("t_max_degree", lambda s, d: T.max_degree(X.orders(s, d)), q(X.ORDERS, deg(), select="SELECT graph_id, max(d) AS max_degree FROM deg GROUP BY 1"))
 UND = "u AS (SELECT DISTINCT graph_id, least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), both_ AS (SELECT graph_id, a, b FROM u UNION ALL SELECT graph_id, b, a FROM u), k AS (SELECT graph_id, a AS node_id, count(*) AS k FROM both_ GROUP BY ALL), tri AS (SELECT x.graph_id, x.a AS node_id, count(*) / 2 AS t FROM both_ x JOIN both_ y ON y.graph_id = x.graph_id AND y.a = x.a AND x.b <> y.b JOIN both_ z ON z.graph_id = x.graph_id AND z.a = x.b AND z.b = y.b GROUP BY ALL)"
-_add("t_clustering_coeff", _K(lambda g: wide(T.clustering_coefficient(g).nodes, 4)), q(X.KNN, UND, select="SELECT n.graph_id, n.node_id, x0, x1, x2, round(CASE WHEN coalesce(k.k, 0) < 2 THEN 0.0 ELSE 2.0 * coalesce(t, 0) / (k.k * (k.k - 1)) END, 6) AS x3 FROM nodes n LEFT JOIN k USING (graph_id, node_id) LEFT JOIN tri USING (graph_id, node_id)"))
+_add_knn("t_clustering_coeff", _K(lambda g: wide(T.clustering_coefficient(g).nodes, 4)), q(X.KNN, UND, select="SELECT n.graph_id, n.node_id, x0, x1, x2, round(CASE WHEN coalesce(k.k, 0) < 2 THEN 0.0 ELSE 2.0 * coalesce(t, 0) / (k.k * (k.k - 1)) END, 6) AS x3 FROM nodes n LEFT JOIN k USING (graph_id, node_id) LEFT JOIN tri USING (graph_id, node_id)"))
 _add("t_normalize_one", _trade(lambda g: wide(T.normalize_one(g).nodes, 3)), q(X.TRADE, select="SELECT graph_id, node_id, " + ", ".join(f"round(x{i} / (CASE WHEN x0 + x1 + x2 = 0 THEN 1.0 ELSE x0 + x1 + x2 END), 6) AS x{i}" for i in range(3)) + " FROM nodes"))
 _add("t_normalize_sphere", lambda s, d: wide(T.normalize_sphere(X.orders(s, d)).nodes, 2), q(X.ORDERS, select="SELECT graph_id, node_id, " + ", ".join(f"round((x{i} - avg(x{i}) OVER g) / max(greatest(abs(x0), abs(x1))) OVER g, 6) AS x{i}" for i in range(2)) + " FROM nodes WINDOW g AS (PARTITION BY graph_id)"))
 _add("t_one_hot_labels", lambda s, d: wide(T.one_hot_labels(X.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("graph_id"), F.col("r_name").alias("l")), F.col("l"), labels=["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]), 5, ("graph_id",), "y"), "SELECT r_regionkey::BIGINT AS graph_id, " + ", ".join(f"(r_name = '{v}')::INT::DOUBLE AS x{i}" for i, v in enumerate(["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])) + " FROM region")
-_add("t_gcn_filter", _K(lambda g: coo(T.gcn_filter(g).edges)), q(X.KNN, GCN, select=OUT_W.format("ahat")))
-_add("t_normalize_adj", _K(lambda g: coo(T.normalize_adj(g).edges)), q(X.KNN, deg(), norm("na"), select=OUT_W.format("na")))
+_add_knn("t_gcn_filter", _K(lambda g: coo(T.gcn_filter(g).edges)), q(X.KNN, GCN, select=OUT_W.format("ahat")))
+_add_knn("t_normalize_adj", _K(lambda g: coo(T.normalize_adj(g).edges)), q(X.KNN, deg(), norm("na"), select=OUT_W.format("na")))
 _add("t_sgc_filter", _S(lambda g: coo(T.sgc_filter(g, 2).edges)), q(X.SESSIONS, MM, select=OUT_W.format("mm")))
-_add("t_laplacian_pe", lambda s, d: wide(T.laplacian_pe(X.knn(s, d, 2).with_edges(T.symmetrised(X.knn(s, d, 2).edges)), 2).nodes, 4))
+_add_knn("t_laplacian_pe", lambda x: lambda s, d: wide(T.laplacian_pe(x(s, d, 2).with_edges(T.symmetrised(x(s, d, 2).edges)), 2).nodes, 4))
 _add("t_delaunay", lambda s, d: coo(T.delaunay(X.knn(s, d, 2)).edges))
 
 # -- collections ---------------------------------------------------------------------------------------------------
@@ -284,10 +292,6 @@ def _conv(name: str, f: Callable[[GraphSet], DataFrame], n: int, fixture: Callab
     return lambda s, d: wide(f(conv.preprocess(name, fixture(s, d))), n)
 
 
-def _kn(s: SparkSession, d: str) -> GraphSet:
-    return X.knn(s, d)
-
-
 def _add2(cols: list[str], others: list[str]) -> list[str]:
     return [f"({a} + {b})" for a, b in zip(cols, others, strict=True)]
 
@@ -334,14 +338,14 @@ def l2(cols: list[str]) -> str:
     return f"sqrt(greatest({' + '.join(f'{c} * {c}' for c in cols)}, 1e-12))"
 
 
-_add("conv_message_passing", lambda s, d: wide(conv.message_passing(_kn(s, d)), 3), q(X.KNN, PAIR, gathered("h", xs(3, "s")), select=out_x("h", 3)))
+_add_knn("conv_message_passing", lambda x: lambda s, d: wide(conv.message_passing(x(s, d)), 3), q(X.KNN, PAIR, gathered("h", xs(3, "s")), select=out_x("h", 3)))
 _SAGE = lin(xs(3) + xs(3, "y"), W(6, 2))
-_add("conv_sage", _conv("sage", lambda g: conv.sage_conv(g, 2, activation="relu"), 2, _kn), q(X.KNN, "le AS (SELECT graph_id, src, dst, w FROM edges UNION ALL SELECT graph_id, node_id, node_id, 1.0 FROM nodes)", spmm("h", "le", "nodes", 3, "dst", "", "avg"), proj("z", both("nodes", "h", 3, 3), _SAGE), proj("r", "z", [f"greatest(x{i} / {l2(xs(2))}, 0.0)" for i in range(2)]), select=out_x("r", 2)))
-_add("conv_gin", _conv("gin", lambda g: conv.gin_conv(g, 2, 0.5, activation="relu"), 2, _kn), q(X.KNN, PAIR, gathered("h", xs(3, "s")), proj("r", both("nodes", "h", 3, 3), [act(c, "relu") for c in lin([f"(1.5 * x{i} + y{i})" for i in range(3)], W(3, 2))]), select=out_x("r", 2)))
-_add("conv_gin_batch", _conv("gin_batch", lambda g: conv.gin_conv_batch(g, 2, 0.5, activation="relu"), 2, _kn), q(X.KNN, spmm("h", "edges", "nodes", 3), proj("r", both("nodes", "h", 3, 3), [act(c, "relu") for c in lin([f"(1.5 * x{i} + y{i})" for i in range(3)], W(3, 2))]), select=out_x("r", 2)))
-_add("conv_edge", _conv("edge", lambda g: conv.edge_conv(g, 2, activation="relu", aggregate="max"), 2, _kn), q(X.KNN, PAIR, gathered("h", [act(c, "relu") for c in lin(xs(3, "t") + [f"(s{i} - t{i})" for i in range(3)], W(6, 2))], how="max").replace("0.0) AS x", f"{linalg.LOWEST}) AS x"), select=out_x("h", 2)))
+_add_knn("conv_sage", lambda x: _conv("sage", lambda g: conv.sage_conv(g, 2, activation="relu"), 2, x), q(X.KNN, "le AS (SELECT graph_id, src, dst, w FROM edges UNION ALL SELECT graph_id, node_id, node_id, 1.0 FROM nodes)", spmm("h", "le", "nodes", 3, "dst", "", "avg"), proj("z", both("nodes", "h", 3, 3), _SAGE), proj("r", "z", [f"greatest(x{i} / {l2(xs(2))}, 0.0)" for i in range(2)]), select=out_x("r", 2)))
+_add_knn("conv_gin", lambda x: _conv("gin", lambda g: conv.gin_conv(g, 2, 0.5, activation="relu"), 2, x), q(X.KNN, PAIR, gathered("h", xs(3, "s")), proj("r", both("nodes", "h", 3, 3), [act(c, "relu") for c in lin([f"(1.5 * x{i} + y{i})" for i in range(3)], W(3, 2))]), select=out_x("r", 2)))
+_add_knn("conv_gin_batch", lambda x: _conv("gin_batch", lambda g: conv.gin_conv_batch(g, 2, 0.5, activation="relu"), 2, x), q(X.KNN, spmm("h", "edges", "nodes", 3), proj("r", both("nodes", "h", 3, 3), [act(c, "relu") for c in lin([f"(1.5 * x{i} + y{i})" for i in range(3)], W(3, 2))]), select=out_x("r", 2)))
+_add_knn("conv_edge", lambda x: _conv("edge", lambda g: conv.edge_conv(g, 2, activation="relu", aggregate="max"), 2, x), q(X.KNN, PAIR, gathered("h", [act(c, "relu") for c in lin(xs(3, "t") + [f"(s{i} - t{i})" for i in range(3)], W(6, 2))], how="max").replace("0.0) AS x", f"{linalg.LOWEST}) AS x"), select=out_x("h", 2)))
 _Z = xs(3, "t") + xs(3, "s") + ["e0"]
-_add("conv_crystal", _conv("crystal", lambda g: conv.crystal_conv(g), 3, _kn), q(X.KNN, PAIR, gathered("h", [f"{act(a, 'sigmoid')} * {act(b, 'softplus')}" for a, b in zip(lin(_Z, W(7, 3, 0)), lin(_Z, W(7, 3, 1)), strict=True)]), proj("r", both("nodes", "h", 3, 3), _add2(xs(3), xs(3, "y"))), select=out_x("r", 3)))
+_add_knn("conv_crystal", lambda x: _conv("crystal", lambda g: conv.crystal_conv(g), 3, x), q(X.KNN, PAIR, gathered("h", [f"{act(a, 'sigmoid')} * {act(b, 'softplus')}" for a, b in zip(lin(_Z, W(7, 3, 0)), lin(_Z, W(7, 3, 1)), strict=True)]), proj("r", both("nodes", "h", 3, 3), _add2(xs(3), xs(3, "y"))), select=out_x("r", 3)))
 _COS = f"({' + '.join(f's{i} * t{i}' for i in range(3))}) / {l2(xs(3, 's'))} / {l2(xs(3, 't'))}"
 
 
@@ -349,7 +353,7 @@ def weighed(score: str, src: str = "pr", out: str = "wt") -> str:
     return f"{out} AS (SELECT *, exp(sc - m) / (sum(exp(sc - m)) OVER (PARTITION BY graph_id, dst) + 1e-9) AS alpha FROM (SELECT *, max(sc) OVER (PARTITION BY graph_id, dst) AS m FROM (SELECT *, {score} AS sc FROM {src})))"
 
 
-_add("conv_agnn", _conv("agnn", lambda g: conv.agnn_conv(g), 3, _kn), q(X.KNN, PAIR, weighed(_COS), gathered("h", [f"alpha * s{i}" for i in range(3)], "wt"), select=out_x("h", 3)))
+_add_knn("conv_agnn", lambda x: _conv("agnn", lambda g: conv.agnn_conv(g), 3, x), q(X.KNN, PAIR, weighed(_COS), gathered("h", [f"alpha * s{i}" for i in range(3)], "wt"), select=out_x("h", 3)))
 
 
 def _gat_sql() -> str:
@@ -361,11 +365,11 @@ def _gat_sql() -> str:
     return q(*parts, select="SELECT graph_id, node_id, round(a.x0, 6) AS x0, round(a.x1, 6) AS x1, round(b.x0, 6) AS x2, round(b.x1, 6) AS x3 FROM h0 a JOIN h1 b USING (graph_id, node_id)")
 
 
-_add("conv_gat", _conv("gat", lambda g: conv.gat_conv(g, 2, 2), 4, _kn), _gat_sql())
+_add_knn("conv_gat", lambda x: _conv("gat", lambda g: conv.gat_conv(g, 2, 2), 4, x), _gat_sql())
 _PRELU = lambda c: f"greatest({c}, 0.0)"
-_add("conv_general", _conv("general", lambda g: conv.general_conv(g, 2), 2, _kn), q(X.KNN, PAIR, gathered("h", [_PRELU(c) for c in lin(xs(3, "s"), W(3, 2))]), select=out_x("h", 2)))
+_add_knn("conv_general", lambda x: _conv("general", lambda g: conv.general_conv(g, 2), 2, x), q(X.KNN, PAIR, gathered("h", [_PRELU(c) for c in lin(xs(3, "s"), W(3, 2))]), select=out_x("h", 2)))
 _ECCK = W(1, 6)
-_add("conv_ecc", _conv("ecc", lambda g: conv.ecc_conv(g, 2), 2, _kn), q(X.KNN, PAIR, gathered("h", [" + ".join(f"s{i} * e0 * ({_ECCK[0][i * 2 + j]})" for i in range(3)) for j in range(2)]), proj("r", both("h", "nodes", 2, 3), _add2(xs(2), lin(xs(3, "y"), W(3, 2, 1)))), select=out_x("r", 2)))
+_add_knn("conv_ecc", lambda x: _conv("ecc", lambda g: conv.ecc_conv(g, 2), 2, x), q(X.KNN, PAIR, gathered("h", [" + ".join(f"s{i} * e0 * ({_ECCK[0][i * 2 + j]})" for i in range(3)) for j in range(2)]), proj("r", both("h", "nodes", 2, 3), _add2(xs(2), lin(xs(3, "y"), W(3, 2, 1)))), select=out_x("r", 2)))
 _add("conv_gated", lambda s, d: wide(conv.gated_conv(X.turns(s, d), 3, 2), 3))
 _add("conv_xenet", lambda s, d: wide(conv.xenet_conv(X.turns(s, d), 3, 2, 2)[0], 2))
 _add("conv_xenet_edges", lambda s, d: conv.xenet_conv(X.turns(s, d), 3, 2, 2)[1].select("graph_id", "src", "dst", F.round(F.col("e")[0], 6).alias("x0"), F.round(F.col("e")[1], 6).alias("x1")))
@@ -438,7 +442,7 @@ _add("khop_subgraph", lambda s, d: coo(models.k_hop_subgraph(X.trade(s, d).edges
 _WALK = """, walk AS (SELECT graph_id, node_id, node_id AS component FROM nodes
   UNION SELECT w.graph_id, b.dst, w.component FROM walk w JOIN b ON b.graph_id = w.graph_id AND b.src = w.node_id)
 SELECT graph_id, node_id, min(component) AS component FROM walk GROUP BY 1, 2"""
-_add("connected_components", lambda s, d: (lambda g: models.connected_components(g.edges, g.nodes))(X.knn(s, d, 3)), q(X.KNN, "b AS (SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst, src FROM edges)", select="").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + _WALK)
+_add_knn("connected_components", lambda x: lambda s, d: (lambda g: models.connected_components(g.edges, g.nodes))(x(s, d, 3)), q(X.KNN, "b AS (SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst, src FROM edges)", select="").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + _WALK)
 _MET = """c AS (SELECT o_orderpriority AS y, o_orderstatus AS c, count(*)::DOUBLE AS n FROM orders GROUP BY ALL), t AS (SELECT sum(n) AS t FROM c),
 a AS (SELECT y, sum(n) AS na FROM c GROUP BY 1), b AS (SELECT c, sum(n) AS nb FROM c GROUP BY 1),
 m AS (SELECT (SELECT sum(n / t * ln(n * t / (na * nb))) FROM c JOIN a USING (y) JOIN b USING (c), t) AS mi, (SELECT -sum(na / t * ln(na / t)) FROM a, t) AS ha, (SELECT -sum(nb / t * ln(nb / t)) FROM b, t) AS hb)"""
@@ -452,4 +456,4 @@ _add("random_graphs", lambda s, d: coo(T.random_graphs(s, 50, 20, 0.2).edges))
 _add("ds_shuffle", lambda s, d: X.turns(s, d).shuffled(1).counts())
 _add("loader_shuffled", _O(lambda g: layouts.batches(g.nodes.select("graph_id").distinct(), 32, 2, True, 7)))
 _add("largest_eigenvalue", lambda s, d: filters.largest_eigenvalue(filters.normalized_laplacian(X.turns(s, d).edges, X.turns(s, d).nodes)).select("graph_id", F.round("lmax", 6).alias("lmax")))
-_add("gat_attention", lambda s, d: conv.gat_conv(X.knn(s, d), 2, return_attention=True)[1].select("graph_id", "src", "dst", F.round("alpha", 6).alias("alpha")))
+_add_knn("gat_attention", lambda x: lambda s, d: conv.gat_conv(x(s, d), 2, return_attention=True)[1].select("graph_id", "src", "dst", F.round("alpha", 6).alias("alpha")))

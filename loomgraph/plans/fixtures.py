@@ -62,6 +62,16 @@ def knn(spark: SparkSession, d: str, dims: int = 3, k: int = 5) -> GraphSet:
     return GraphSet(nodes, edges, None, dims, 1)
 
 
+def knn_whole(spark: SparkSession, d: str, dims: int = 3, k: int = 5) -> GraphSet:
+    """Like ``knn``, with distances over whole embeddings; the first ``dims`` components stay as features."""
+    from loomgraph.operators.transforms import knn_edges
+
+    e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("graph_id"), F.col("vec_id").alias("node_id"), "embedding")
+    x = F.transform("embedding", lambda v: F.floor(v.cast("double") * 64 + 0.5) / 64)
+    edges = knn_edges(e.select("graph_id", "node_id", x.alias("x")), 0, k).select("graph_id", "src", "dst", "w", F.array("d2").alias("e"))
+    return GraphSet(vectors(spark, d, dims), edges, None, dims, 1)
+
+
 def knn_sql(dims: int = 3, k: int = 5) -> str:
     xs = ", ".join(f"floor(embedding[{i + 1}]::DOUBLE * 64 + 0.5) / 64 AS x{i}" for i in range(dims))
     d2 = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(dims))
@@ -74,6 +84,18 @@ edges AS (SELECT graph_id, src, dst, 1.0::DOUBLE AS w, d2 AS e0 FROM (
 KNN = knn_sql()
 
 
+def knn_whole_sql(dims: int = 3, k: int = 5) -> str:
+    xs = ", ".join(f"v[{i + 1}] AS x{i}" for i in range(dims))
+    return f"""whole AS (SELECT label::BIGINT AS graph_id, vec_id AS node_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 64 + 0.5) / 64) AS v FROM embeddings),
+nodes AS (SELECT graph_id, node_id, {xs} FROM whole),
+apart AS (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS d2
+  FROM whole a JOIN whole b ON a.graph_id = b.graph_id AND a.node_id <> b.node_id),
+edges AS (SELECT graph_id, src, dst, 1.0::DOUBLE AS w, d2 AS e0 FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY d2, dst) AS r FROM apart) WHERE r <= {k})"""
+
+
+KNN_WHOLE = knn_whole_sql()
+
+
 def sessions(spark: SparkSession, d: str) -> tuple[GraphSet, DataFrame]:
     """Event types with transitions between a user's successive events as weights, and each user's counts as signals."""
     ev = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")

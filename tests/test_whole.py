@@ -24,3 +24,12 @@ def test_products_of_all_nodes(spark, name, last, least):
     got = {(r["graph_id"], r["src"], r["dst"]): r["w"] for r in catalogue.QUERIES[name](spark, DATA).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - (w if least is None else min(least, w))) < 1e-5 for k, w in want.items())
+
+
+@needs_tables
+def test_neighbours_by_whole_embeddings(spark):
+    rows = stored(spark)
+    want = {(g, a, b) for g, a, x in rows for _, b in sorted((float(((x - y) ** 2).sum()), b) for h, b, y in rows if g == h and a != b)[:5]}
+    assert {(r["graph_id"], r["src"], r["dst"]) for r in catalogue.QUERIES["knn_graph_whole"](spark, DATA).collect()} == want
+    ends = {(r["graph_id"], r["src"], r["dst"]) for r in catalogue.QUERIES["gat_attention"](spark, DATA).where("src <> dst").collect()}
+    assert ends == want
