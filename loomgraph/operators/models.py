@@ -60,27 +60,31 @@ def k_hop_subgraph(edges: DataFrame, node: int, k: int, graph_id: int = 0) -> Da
     return a.select("graph_id", "src", "dst", "w").unionByName(b.select("graph_id", "src", "dst", "w")).distinct().withColumn("w", F.signum("w"))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 64, every: int = 4) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph_id, node_id, component): the smallest node reachable over edges of either direction.
 
-    Labels of neighbours and the label's own label are taken in turn; lineage is cut by checkpoint() every
-    few rounds where a checkpoint folder is set.
+    Each round takes the smallest label among neighbours, hands it to the node whose label is replaced as well
+    (so long paths take few rounds), and then takes the label's own label, until no label changes.  Lineage is
+    cut in every round, by checkpoint() where a checkpoint folder is set.
     """
     e = edges.select("graph_id", "src", "dst").unionByName(linalg.transpose(edges.select("graph_id", "src", "dst"))).distinct().cache()
     sc = nodes.sparkSession.sparkContext
     saved = sc._jsc.sc().getCheckpointDir().isDefined()
     state = nodes.select("graph_id", "node_id", F.col("node_id").alias("component"))
     before = None
-    for turn in range(rounds):
-        near = e.join(state.select("graph_id", F.col("node_id").alias("dst"), "component"), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("node_id"), "component")
-        state = state.unionByName(near).groupBy("graph_id", "node_id").agg(F.min("component").alias("component"))
+    while True:
+        near = e.join(state.select("graph_id", F.col("node_id").alias("dst"), "component"), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("node_id"), "component", F.lit(None).cast("long").alias("_old"))
+        low = state.withColumn("_old", F.col("component")).unionByName(near).groupBy("graph_id", "node_id").agg(F.min("component").alias("component"), F.min("_old").alias("_old"))
+        roots = low.where("component < _old").select("graph_id", F.col("_old").alias("node_id"), "component")
+        state = low.drop("_old").unionByName(roots).groupBy("graph_id", "node_id").agg(F.min("component").alias("component"))
         over = state.select("graph_id", F.col("node_id").alias("component"), F.col("component").alias("_c"))
         state = state.join(over, ["graph_id", "component"]).select("graph_id", "node_id", F.least("component", "_c").alias("component"))
-        state = state.checkpoint() if saved and turn % every == every - 1 else state.cache()
+        state = state.checkpoint() if saved else state.localCheckpoint()
         now = state.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
+    e.unpersist()
     return state
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from loomgraph import catalogue
+from loomgraph.operators import models
 
 DATA = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -33,3 +34,12 @@ def test_neighbours_by_whole_embeddings(spark):
     assert {(r["graph_id"], r["src"], r["dst"]) for r in catalogue.QUERIES["knn_graph_whole"](spark, DATA).collect()} == want
     ends = {(r["graph_id"], r["src"], r["dst"]) for r in catalogue.QUERIES["gat_attention"](spark, DATA).where("src <> dst").collect()}
     assert ends == want
+
+
+def test_components_of_long_paths(spark):
+    n = 200
+    path = [0, *range(n, 0, -1)]
+    edges = spark.createDataFrame([(g, a, b) for g in (0, 1) for a, b in zip(path, path[1:], strict=False) if g == 0 or a != 90], "graph_id long, src long, dst long")
+    nodes = spark.createDataFrame([(g, i) for g in (0, 1) for i in range(n + 1)], "graph_id long, node_id long")
+    got = {(r["graph_id"], r["node_id"]): r["component"] for r in models.connected_components(edges, nodes).collect()}
+    assert got == {(g, i): int(g == 1 and 1 <= i < 90) for g in (0, 1) for i in range(n + 1)}
