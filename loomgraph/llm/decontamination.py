@@ -3,8 +3,9 @@
 Texts and benchmark items become sequences of template tokens: numbers, units after numbers, and names
 (capitalised words inside a sentence) are replaced by typed placeholders, other words are lower-cased and
 stripped of marks.  Windows of ``window`` template tokens are hashed and joined by hash.  Windows that match
-one item at one offset are lined up, and the slots under them are compared: within an item, equal values
-must stand for equal values.  A text that repeats an item is "verbatim" if all slots agree, "filled anew" if
+one item at one offset are lined up, and the slots under them are compared: within an occurrence, equal values
+must stand for equal values.  Each offset, each run of near offsets and all together are judged; a text repeats
+an item if one of them passes, and that one is reported: "verbatim" if all slots agree, "filled anew" if
 slots differ consistently; matches whose slots contradict each other count only where ``window`` or more
 literal tokens in a row agree.
 
@@ -118,8 +119,8 @@ class Index:
             self.bits[w] = np.zeros(1 << 20, bool)
             self.bits[w][(keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def search(self, token: np.ndarray, literal: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int, int, int, int, str]]:
-        """(text, item id, windows found, windows of the item, longest literal run, slots that differ, kind)."""
+    def search(self, token: np.ndarray, literal: np.ndarray, size: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int, int, str]]:
+        """(text, item id, windows found, windows of the item, longest literal run, slots that differ, kind) of texts that repeat an item."""
         ends = np.cumsum(size)
         hits: dict[tuple[int, int], dict[int, list[int]]] = {}
         for w, keys in self.sorted.items():
@@ -132,29 +133,43 @@ class Index:
                     hits.setdefault((d, k), {}).setdefault(p - i, []).append(i)
         out = []
         for (d, k), lines in sorted(hits.items()):
-            item, own, own_literal = self.items[k]
-            w = min(self.window, len(own))
-            found, run, map_to, clash, differ = set(), 0, {}, False, 0
-            for offset, places in lines.items():
-                covered = np.zeros(len(own), bool)
-                for i in places:
-                    covered[i : i + w] = True
-                inside = np.flatnonzero(covered)
-                same = own_literal[inside] == literal[inside + offset]
-                longest = here = 0
-                for x, y in zip(inside.tolist(), same.tolist(), strict=True):
-                    here = here + 1 if y and (x == 0 or covered[x - 1]) else int(y)
-                    longest = max(longest, here)
-                run = max(run, longest)
-                slots = inside[own[inside] != own_literal[inside]]
-                for a, b, t in zip(own_literal[slots].tolist(), literal[slots + offset].tolist(), own[slots].tolist(), strict=True):
-                    clash |= map_to.setdefault((t, a), b) != b
-                    differ += a != b
-                found.update(places)
-            kind = "inconsistent" if clash else "filled anew" if differ else "verbatim"
-            out.append((d, item, len(found), len(own) - w + 1, run, int(differ), kind))
+            judged = (self._judged(d, k, {o: lines[o] for o in offsets}, literal) for offsets in _occurrences(lines, self.window))
+            leaks = [m for m in judged if _leaks(m, self.window, coverage)]
+            if leaks:
+                out.append(max(leaks, key=lambda m: (m[6] != "inconsistent", m[2], -m[5], m[4])))
         return out
 
+    def _judged(self, d: int, k: int, lines: dict[int, list[int]], literal: np.ndarray) -> tuple[int, int, int, int, int, int, str]:
+        """What the windows of one occurrence amount to."""
+        item, own, own_literal = self.items[k]
+        w = min(self.window, len(own))
+        found, run, map_to, clash, differ = set(), 0, {}, False, 0
+        for offset, places in lines.items():
+            covered = np.zeros(len(own), bool)
+            for i in places:
+                covered[i : i + w] = True
+            inside = np.flatnonzero(covered)
+            same = own_literal[inside] == literal[inside + offset]
+            longest = here = 0
+            for x, y in zip(inside.tolist(), same.tolist(), strict=True):
+                here = here + 1 if y and (x == 0 or covered[x - 1]) else int(y)
+                longest = max(longest, here)
+            run = max(run, longest)
+            slots = inside[own[inside] != own_literal[inside]]
+            for a, b, t in zip(own_literal[slots].tolist(), literal[slots + offset].tolist(), own[slots].tolist(), strict=True):
+                clash |= map_to.setdefault((t, a), b) != b
+                differ += a != b
+            found.update(places)
+        kind = "inconsistent" if clash else "filled anew" if differ else "verbatim"
+        return d, item, len(found), len(own) - w + 1, run, int(differ), kind
+
+
+def _occurrences(lines: dict[int, list[int]], near: int) -> list[tuple[int, ...]]:
+    """Offsets that may be one occurrence: each alone, runs of near ones (words put in or left out), and all (long passages between)."""
+    offsets = sorted(lines)
+    cuts = [0, *(j for j in range(1, len(offsets)) if offsets[j] - offsets[j - 1] > near), len(offsets)]
+    return list(dict.fromkeys([*((o,) for o in offsets), *(tuple(offsets[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)), tuple(offsets)]))
+
 
 SCHEMA = "doc_id long, item_id long, windows long, item_windows long, literal_run long, slots_changed long, kind string"
 
@@ -195,7 +210,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: fl
             templates = _store.cached("templates", Templates)
             for part in _store.slices(batches, "text"):
                 ids = part.column("doc_id")
-                found = [m for m in index.value.search(*templates.tokens(part.column("text"))) if _leaks(m, window, coverage)]
+                found = index.value.search(*templates.tokens(part.column("text")), coverage)
                 columns = [ids.take(pa.array([m[0] for m in found], pa.int64())), *(pa.array([m[k] for m in found], pa.int64()) for k in range(1, 6)), pa.array([m[6] for m in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "windows", "item_windows", "literal_run", "slots_changed", "kind"])
 
@@ -212,7 +227,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage:
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             templates = _store.cached("templates", Templates)
             for part in _store.slices(batches, "text"):
-                bad = {m[0] for m in index.value.search(*templates.tokens(part.column("text"))) if _leaks(m, window, coverage)}
+                bad = {m[0] for m in index.value.search(*templates.tokens(part.column("text")), coverage)}
                 yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
