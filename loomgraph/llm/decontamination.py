@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts and benchmark items become sequences of template tokens: numbers, units after numbers, and names
-(capitalised words inside a sentence) are replaced by typed placeholders, other words are lower-cased and
-stripped of marks.  Windows of ``window`` template tokens are hashed and joined by hash.  Windows that match
+(capitalised words) are replaced by typed placeholders, other words are lower-cased and stripped of marks.
+There are four readings: capitalised words are names inside a sentence only, everywhere, or nowhere (case does
+not matter then), and all tokens are literal.  Windows of ``window`` tokens of every reading are hashed and
+joined by hash, so a name or number that one reading takes wrongly does not hide the others.  Windows that match
 one item at one offset are lined up, and the slots under them are compared: within an occurrence, equal values
-must stand for equal values.  Each offset, each run of near offsets and all together are judged; a text repeats
-an item if one of them passes, and that one is reported: "verbatim" if all slots agree, "filled anew" if
+must stand for equal values.  Each offset, each run of near offsets and all together are judged, also without the
+readings that take every capitalised word for a name; a text repeats an item if one of them passes, and that one is reported: "verbatim" if all slots agree, "filled anew" if
 slots differ consistently; matches whose slots contradict each other count only where ``window`` or more
 literal tokens in a row agree.
 
@@ -37,6 +39,8 @@ _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,/:]*(?:st|nd|rd|th)?%?")
 UNITS = frozenset("km m cm mm mi miles mile feet ft inches inch kg g mg lb lbs pounds pound tons ton l ml liters litres gallons hours hour hrs minutes minute min seconds second sec days day weeks week months month years year dollars dollar cents cent euros euro percent degrees mph kph kmh".split())
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NUM, UNIT, NAME = (np.uint64(xxhash.xxh3_64_intdigest(p)) for p in ("<num>", "<unit>", "<name>"))
+#: Sets of readings (bits) that are judged together: all, all but names at sentence starts, and names inside sentences.
+_TOGETHER = (0b1111, 0b1101, 0b0001)
 _TITLE, _ENDS, _IS_NUM, _IS_UNIT, _BLANK = 1, 2, 4, 8, 16
 
 
@@ -47,7 +51,7 @@ def _describe(chunk: str) -> tuple[int, int]:
     if not word:
         return 0, _BLANK | (ends if chunk == "\n" else 0)
     low = word.lower()
-    flags = ends | (_TITLE if word[0].isupper() and word[1:].islower() else 0) | (_IS_NUM if _NUMBER.fullmatch(word) else 0) | (_IS_UNIT if low in UNITS else 0)
+    flags = ends | (_TITLE if word[0].isupper() and word[1:].islower() else 0) | (_IS_NUM if _NUMBER.fullmatch(low) else 0) | (_IS_UNIT if low in UNITS else 0)
     return xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")), flags
 
 
@@ -62,8 +66,8 @@ class Templates:
     def __init__(self) -> None:
         self.table = _chunks.ColumnTable(_described, 300_000)
 
-    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hashes, literal hashes, tokens of each text).  They differ in slots."""
+    def tokens(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(template hashes of every reading, literal hashes, tokens of each text).  They differ in slots."""
         cut = pc.split_pattern(pc.replace_substring(_chunks.texts_of(texts), "\n", " \n "), " ")
         (literal, flags), counts = self.table.lookup(cut)
         first = np.cumsum(counts) - counts
@@ -80,8 +84,10 @@ class Templates:
         unit = (flags & _IS_UNIT) > 0
         unit[1:] &= number[:-1]
         unit[:1] = False
-        name = ((flags & _TITLE) > 0) & ~starts
-        return np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, literal))), literal, sizes
+        title = (flags & _TITLE) > 0
+        plain = np.where(number, NUM, np.where(unit, UNIT, literal))
+        free = ~(number | unit)
+        return [np.where(title & ~starts & free, NAME, plain), np.where(title & free, NAME, plain), plain, literal], literal, sizes
 
 
 def window_hashes(tokens: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
@@ -89,9 +95,15 @@ def window_hashes(tokens: np.ndarray, sizes: np.ndarray, window: int) -> np.ndar
     n = len(tokens)
     if n < window:
         return np.zeros(n, np.uint64)
-    h = tokens[: n - window + 1].copy()
-    for j in range(1, window):
-        h = mix(h) * _G + tokens[j : n - window + 1 + j]
+    # hashes of 1, 2, 4, .. tokens; a window is put together of those that its length has as bits
+    part, span, h, held = tokens, 1, None, 0
+    while True:
+        if window & span:
+            h = part if h is None else mix(h[: n - held - span + 1]) * _G + part[held : n - span + 1]
+            held += span
+        if held == window:
+            break
+        part, span = mix(part[: len(part) - span]) * _G + part[span:], 2 * span
     h = np.concatenate([mix(h) | np.uint64(1), np.zeros(window - 1, np.uint64)])
     ends = np.repeat(np.cumsum(sizes), sizes)
     h[np.arange(n) + window > ends] = 0
@@ -104,50 +116,72 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], window: int):
         templates = Templates()
         self.window = window
-        token, literal, size = templates.tokens(pa.array([t for _, t in items], pa.string()))
+        readings, literal, size = templates.tokens(pa.array([t for _, t in items], pa.string()))
         ends = np.cumsum(size)
-        self.items = [(i, token[e - n : e], literal[e - n : e]) for (i, _), e, n in zip(items, ends.tolist(), size.tolist(), strict=True)]
-        self.by_size: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for k, (_, own, _) in enumerate(self.items):
-            w = min(window, len(own))
+        self.items = [(i, [r[e - n : e] for r in readings], literal[e - n : e]) for (i, _), e, n in zip(items, ends.tolist(), size.tolist(), strict=True)]
+        # (item, place, bits of the readings that have this hash there)
+        self.by_size: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
+        for k, (_, own, plain) in enumerate(self.items):
+            w = min(window, len(plain))
             if w:
-                for at, h in enumerate(window_hashes(own, np.array([len(own)]), w)[: len(own) - w + 1].tolist()):
-                    self.by_size.setdefault(w, {}).setdefault(h, []).append((k, at))
+                table = self.by_size.setdefault(w, {})
+                hashes = [window_hashes(r, np.array([len(plain)]), w)[: len(plain) - w + 1].tolist() for r in own]
+                for at, there in enumerate(zip(*hashes, strict=True)):
+                    for h in set(there):
+                        table.setdefault(h, []).append((k, at, sum(1 << r for r, other in enumerate(there) if other == h)))
         self.sorted = {w: np.array(sorted(t), np.uint64) for w, t in self.by_size.items()}
         self.bits = {}
         for w, keys in self.sorted.items():
             self.bits[w] = np.zeros(1 << 20, bool)
             self.bits[w][(keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def search(self, token: np.ndarray, literal: np.ndarray, size: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int, int, str]]:
+    def search(self, readings: list[np.ndarray], literal: np.ndarray, size: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int, int, str]]:
         """(text, item id, windows found, windows of the item, longest literal run, slots that differ, kind) of texts that repeat an item."""
         ends = np.cumsum(size)
-        hits: dict[tuple[int, int], dict[int, list[int]]] = {}
+        hits: dict[tuple[int, int], dict[int, set[tuple[int, int]]]] = {}
         for w, keys in self.sorted.items():
-            h = window_hashes(token, size, w)
-            at = np.flatnonzero(self.bits[w][(h >> np.uint64(44)).astype(np.int64)] & (h > 0))
-            at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
-            doc = np.searchsorted(ends, at, side="right")
-            for d, p in zip(doc.tolist(), at.tolist(), strict=True):
-                for k, i in self.by_size[w][int(h[p])]:
-                    hits.setdefault((d, k), {}).setdefault(p - i, []).append(i)
+            before: list[np.ndarray] = []
+            for token in readings:
+                h = window_hashes(token, size, w)
+                at = np.flatnonzero(self.bits[w][(h >> np.uint64(44)).astype(np.int64)] & (h > 0))
+                for other in before:
+                    at = at[other[at] != h[at]]
+                before.append(h)
+                at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
+                doc = np.searchsorted(ends, at, side="right")
+                for d, p in zip(doc.tolist(), at.tolist(), strict=True):
+                    for k, i, bits in self.by_size[w][int(h[p])]:
+                        hits.setdefault((d, k), {}).setdefault(p - i, set()).add((i, bits))
         out = []
         for (d, k), lines in sorted(hits.items()):
-            judged = (self._judged(d, k, {o: lines[o] for o in offsets}, literal) for offsets in _occurrences(lines, self.window))
-            leaks = [m for m in judged if _leaks(m, self.window, coverage)]
+            seen, leaks = set(), []
+            for wanted in _TOGETHER:
+                chosen = {o: frozenset(v for v in places if v[1] & wanted) for o, places in lines.items()}
+                chosen = {o: places for o, places in chosen.items() if places}
+                for offsets in _occurrences(chosen, self.window):
+                    one = tuple((o, chosen[o]) for o in offsets)
+                    if one and one not in seen:
+                        seen.add(one)
+                        m = self._judged(d, k, dict(one), literal, wanted)
+                        if _leaks(m, self.window, coverage):
+                            leaks.append(m)
             if leaks:
                 out.append(max(leaks, key=lambda m: (m[6] != "inconsistent", m[2], -m[5], m[4])))
         return out
 
-    def _judged(self, d: int, k: int, lines: dict[int, list[int]], literal: np.ndarray) -> tuple[int, int, int, int, int, int, str]:
+    def _judged(self, d: int, k: int, lines: dict[int, frozenset[tuple[int, int]]], literal: np.ndarray, wanted: int) -> tuple[int, int, int, int, int, int, str]:
         """What the windows of one occurrence amount to."""
-        item, own, own_literal = self.items[k]
-        w = min(self.window, len(own))
+        item, readings, own_literal = self.items[k]
+        w = min(self.window, len(own_literal))
         found, run, map_to, clash, differ = set(), 0, {}, False, 0
         for offset, places in lines.items():
-            covered = np.zeros(len(own), bool)
-            for i in places:
+            covered, slot, own = np.zeros(len(own_literal), bool), np.zeros(len(own_literal), bool), own_literal.copy()
+            for i, bits in places:
+                token = readings[((bits & wanted) & -(bits & wanted)).bit_length() - 1][i : i + w]
+                here = token != own_literal[i : i + w]
                 covered[i : i + w] = True
+                slot[i : i + w] |= here
+                own[i : i + w][here] = token[here]
             inside = np.flatnonzero(covered)
             same = own_literal[inside] == literal[inside + offset]
             longest = here = 0
@@ -155,16 +189,16 @@ class Index:
                 here = here + 1 if y and (x == 0 or covered[x - 1]) else int(y)
                 longest = max(longest, here)
             run = max(run, longest)
-            slots = inside[own[inside] != own_literal[inside]]
+            slots = inside[slot[inside]]
             for a, b, t in zip(own_literal[slots].tolist(), literal[slots + offset].tolist(), own[slots].tolist(), strict=True):
                 clash |= map_to.setdefault((t, a), b) != b
                 differ += a != b
-            found.update(places)
+            found.update(i for i, _ in places)
         kind = "inconsistent" if clash else "filled anew" if differ else "verbatim"
-        return d, item, len(found), len(own) - w + 1, run, int(differ), kind
+        return d, item, len(found), len(own_literal) - w + 1, run, int(differ), kind
 
 
-def _occurrences(lines: dict[int, list[int]], near: int) -> list[tuple[int, ...]]:
+def _occurrences(lines: dict, near: int) -> list[tuple[int, ...]]:
     """Offsets that may be one occurrence: each alone, runs of near ones (words put in or left out), and all (long passages between)."""
     offsets = sorted(lines)
     cuts = [0, *(j for j in range(1, len(offsets)) if offsets[j] - offsets[j - 1] > near), len(offsets)]
