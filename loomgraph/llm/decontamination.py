@@ -8,7 +8,7 @@ joined by hash, so a name or number that one reading takes wrongly does not hide
 one item at one offset are lined up, and the slots under them are compared: within an occurrence, equal values
 must stand for equal values.  Each offset, each run of near offsets and all together are judged, also without the
 readings that take every capitalised word for a name; a text repeats an item if one of them passes, and that one is reported: "verbatim" if all slots agree, "filled anew" if
-slots differ consistently; matches whose slots contradict each other count only where ``window`` or more
+slots differ consistently.  ``running`` literal tokens in a row always count; matches whose slots contradict each other count only where ``window`` or more
 literal tokens in a row agree.
 
 The item side of the join is bounded: items go to the executors in blocks of at most ``block_windows``
@@ -135,7 +135,7 @@ class Index:
             self.bits[w] = np.zeros(1 << 20, bool)
             self.bits[w][(keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def search(self, readings: list[np.ndarray], literal: np.ndarray, size: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int, int, str]]:
+    def search(self, readings: list[np.ndarray], literal: np.ndarray, size: np.ndarray, coverage: float, running: int) -> list[tuple[int, int, int, int, int, int, str]]:
         """(text, item id, windows found, windows of the item, longest literal run, slots that differ, kind) of texts that repeat an item."""
         ends = np.cumsum(size)
         hits: dict[tuple[int, int], dict[int, set[tuple[int, int]]]] = {}
@@ -163,7 +163,7 @@ class Index:
                     if one and one not in seen:
                         seen.add(one)
                         m = self._judged(d, k, dict(one), literal, wanted)
-                        if _leaks(m, self.window, coverage):
+                        if _leaks(m, self.window, coverage, running):
                             leaks.append(m)
             if leaks:
                 out.append(max(leaks, key=lambda m: (m[6] != "inconsistent", m[2], -m[5], m[4])))
@@ -223,16 +223,17 @@ def _blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[l
         yield items
 
 
-def _leaks(found: tuple, window: int, coverage: float) -> bool:
-    """Enough of the item's windows, with consistent slots or a literal run of a window's length."""
+def _leaks(found: tuple, window: int, coverage: float, running: int) -> bool:
+    """``running`` literal tokens in a row, or enough of the item's windows, with consistent slots or a literal run of a window's length."""
     _, _, n, total, run, _, kind = found
-    return n >= coverage * total and (kind != "inconsistent" or run >= min(window, total))
+    return run >= running or n >= coverage * total and (kind != "inconsistent" or run >= min(window, total))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.4, block_windows: int = 2_000_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.4, block_windows: int = 2_000_000, running: int = 13) -> DataFrame:
     """One row for each document and item that it repeats: ``SCHEMA``.
 
-    ``coverage``: share of an item's windows that must stand in the text.
+    ``coverage``: share of an item's windows that must stand in the text, unless ``running`` (at least ``window``)
+    literal tokens of it stand there in a row, however long the item is.
     """
     spark = _store.prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -244,7 +245,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: fl
             templates = _store.cached("templates", Templates)
             for part in _store.slices(batches, "text"):
                 ids = part.column("doc_id")
-                found = index.value.search(*templates.tokens(part.column("text")), coverage)
+                found = index.value.search(*templates.tokens(part.column("text")), coverage, running)
                 columns = [ids.take(pa.array([m[0] for m in found], pa.int64())), *(pa.array([m[k] for m in found], pa.int64()) for k in range(1, 6)), pa.array([m[6] for m in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "windows", "item_windows", "literal_run", "slots_changed", "kind"])
 
@@ -252,7 +253,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: fl
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.4, block_windows: int = 2_000_000) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.4, block_windows: int = 2_000_000, running: int = 13) -> DataFrame:
     """The rows of ``docs`` that repeat no item, with all their columns; nothing is shuffled."""
     spark = _store.prepare(docs.sparkSession)
     for items in _blocks(benchmark, window, block_windows):
@@ -261,7 +262,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage:
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             templates = _store.cached("templates", Templates)
             for part in _store.slices(batches, "text"):
-                bad = {m[0] for m in index.value.search(*templates.tokens(part.column("text")), coverage)}
+                bad = {m[0] for m in index.value.search(*templates.tokens(part.column("text")), coverage, running)}
                 yield part.filter(pa.array([k not in bad for k in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -45,3 +45,10 @@ def test_window_hashes_see_every_token():
             other[j] += np.uint64(100)
             changed = np.flatnonzero(decontamination.window_hashes(other, np.array([25, 15]), w) != whole)
             assert changed.tolist() == [i for i in range(j - w + 1, j + 1) if i >= 0 and whole[i]]
+
+
+def test_long_passages_of_long_items(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    texts = [" ".join(["before", *words[60 : 60 + n], "after"]) for n in (84, 27, 13, 12)]
+    found = leaks(spark, texts, [" ".join(words)])
+    assert {d: r["literal_run"] for (d, _), r in found.items()} == {0: 84, 1: 27, 2: 13}
