@@ -278,7 +278,16 @@ FRAME = "frame AS (SELECT graph_id, unnest(range((SELECT max(n) FROM (SELECT cou
 _PADSQL = q(X.TURNS, FRAME, select="SELECT f.graph_id, f.pos, coalesce(x0, 0.0) AS x0, coalesce(x1, 0.0) AS x1{} FROM frame f LEFT JOIN nodes n ON n.graph_id = f.graph_id AND n.node_id = f.pos")
 _add("batch_pad", lambda s, d: wide(layouts.padded_nodes(X.turns(s, d)), 2, ("graph_id", "pos")), _PADSQL.format(""))
 _add("batch_mask", lambda s, d: wide(layouts.padded_nodes(X.turns(s, d), True), 3, ("graph_id", "pos")), _PADSQL.format(", (n.node_id IS NOT NULL)::INT::DOUBLE AS x2"))
-_add("packed_pad", lambda s, d: wide(layouts.padded_nodes(X.turns(s, d), n_max=9), 2, ("graph_id", "pos")), q(X.TURNS, "frame AS (SELECT graph_id, unnest(range(9)) AS pos FROM (SELECT DISTINCT graph_id FROM nodes))", select="SELECT f.graph_id, f.pos, coalesce(x0, 0.0) AS x0, coalesce(x1, 0.0) AS x1 FROM frame f LEFT JOIN nodes n ON n.graph_id = f.graph_id AND n.node_id = f.pos"))
+
+
+def _packed(s: SparkSession, d: str) -> DataFrame:
+    g = X.turns(s, d)
+    largest = g.nodes.groupBy("graph_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    # nine places at least, as in the SQL; more where a conversation is longer
+    return wide(layouts.padded_nodes(g, n_max=max(9, largest)), 2, ("graph_id", "pos"))
+
+
+_add("packed_pad", _packed, q(X.TURNS, "frame AS (SELECT graph_id, unnest(range(9)) AS pos FROM (SELECT DISTINCT graph_id FROM nodes))", select="SELECT f.graph_id, f.pos, coalesce(x0, 0.0) AS x0, coalesce(x1, 0.0) AS x1 FROM frame f LEFT JOIN nodes n ON n.graph_id = f.graph_id AND n.node_id = f.pos"))
 _add("batch_adjacency", lambda s, d: layouts.padded_adjacency(X.turns(s, d)), q(X.TURNS, select="SELECT graph_id, src AS i, dst AS j, w FROM edges"))
 _add("mixed_layout", lambda s, d: (lambda g: wide(layouts.mixed(g[1], g[0].edges, 2), 2))(X.sessions(s, d)), q(X.SESSIONS, select="SELECT s.graph_id, e.src AS node_id, sum(e.w * s.x0) AS x0, sum(e.w * s.x1) AS x1 FROM edges e JOIN signals s ON s.node_id = e.dst GROUP BY ALL"))
 _add("loader_batches", _O(lambda g: layouts.batches(g.nodes.select("graph_id").distinct(), 32, 2)), q(X.ORDERS, select="SELECT epoch, (row_number() OVER (PARTITION BY epoch ORDER BY graph_id) - 1) // 32 AS batch_id, graph_id FROM sizes, (VALUES (0), (1)) t(epoch)"))

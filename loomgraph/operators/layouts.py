@@ -42,15 +42,16 @@ def disjoint(g: GraphSet) -> GraphSet:
 def padded_nodes(g: GraphSet, mask: bool = False, n_max: int | None = None) -> DataFrame:
     """(graph_id, pos, x, valid): nodes in order, then rows of zeros up to the largest graph (or ``n_max``).
 
-    With ``mask`` the validity is also the last feature.
+    With ``mask`` the validity is also the last feature.  A graph of more than ``n_max`` nodes raises.
     """
     local = g.nodes.join(_local(g), ["graph_id", "node_id"]).select("graph_id", F.col("new_id").alias("pos"), "x")
+    sizes = g.nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
     if n_max is None:
-        sizes = g.nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
         top = sizes.agg(F.max("n").alias("m"))
         frame = sizes.select("graph_id").join(F.broadcast(top)).select("graph_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("pos"))
     else:
-        frame = g.nodes.select("graph_id").distinct().select("graph_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_max - 1).cast("long"))).alias("pos"))
+        last = F.when(F.col("n") > n_max, F.raise_error(F.concat(F.lit("a graph has more nodes than n_max: "), F.col("n").cast("string"))).cast("long")).otherwise(n_max - 1)
+        frame = sizes.select("graph_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("pos"))
     out = frame.join(local, ["graph_id", "pos"], "left").withColumn("valid", F.col("x").isNotNull())
     x = F.coalesce("x", F.array_repeat(F.lit(0.0), F.lit(g.n_features)))
     return out.withColumn("x", F.concat(x, F.array(F.col("valid").cast("double"))) if mask else x)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from loomgraph import catalogue
-from loomgraph.operators import models
+from loomgraph.operators import layouts, models
+from loomgraph.operators.model import GraphSet
 
 DATA = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -43,3 +44,15 @@ def test_components_of_long_paths(spark):
     nodes = spark.createDataFrame([(g, i) for g in (0, 1) for i in range(n + 1)], "graph_id long, node_id long")
     got = {(r["graph_id"], r["node_id"]): r["component"] for r in models.connected_components(edges, nodes).collect()}
     assert got == {(g, i): int(g == 1 and 1 <= i < 90) for g in (0, 1) for i in range(n + 1)}
+
+
+def test_padding_loses_no_node(spark, tmp_path):
+    turns = [(c, t, "user", "x" * 64 * (t + 1)) for c, n in ((0, 12), (1, 2)) for t in range(n)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["graph_id"], r["pos"]): r["x0"] for r in catalogue.QUERIES["packed_pad"](spark, str(tmp_path)).collect()}
+    assert got == {(c, t): float(t + 1 if t < n else 0) for c, n in ((0, 12), (1, 2)) for t in range(12)}
+    nodes = spark.createDataFrame([(0, i, [1.0]) for i in range(4)], "graph_id long, node_id long, x array<double>")
+    g = GraphSet(nodes, nodes.limit(0), None, 1)
+    assert layouts.padded_nodes(g, n_max=5).count() == 5
+    with pytest.raises(Exception, match="more nodes than n_max"):
+        layouts.padded_nodes(g, n_max=3).collect()
