@@ -1,26 +1,33 @@
 """Personal data: base patterns and bootstrapped contextual extraction, in built-in functions only.
 
-Base spans come from four patterns and their checks.  They are also the seeds of a bootstrap:
-
-* A mention is a token with a digit or an at sign.  Its lexical pattern is the token before it where that
-  ends with ``:``, ``=`` or ``#``, else the two tokens before it.  Mentions in which a base span starts are
-  seeds of that kind; other identifier-like mentions (six or more digits, or an at sign) are candidates.
-* Patterns that precede seeds in ``min_docs`` documents or more are counted in all texts.  A pattern's
-  confidence is the share of its occurrences that a seed or a trusted candidate follows; a candidate's trust
-  is the noisy-or of its patterns' confidences; both are computed in turn on the pattern-instance graph.
-* Candidates after patterns of a confidence of ``confidence`` or more become spans of the pattern's kind.
+Base spans come from four patterns and their checks and stay as they are.  The bootstrap works on mentions
+(tokens with a digit, a plus or an at sign; what a phone or card pattern joins over spaces is one mention):
+
+* Seeds are mentions that hold a base span, and hexadecimal strings of 32 or more places (kind ``secret``,
+  which has no base pattern: a secret is reported only where its context says so).
+* Every mention has up to three lexical patterns: the words before it (the last where that is a word ending
+  in ``:``, ``=`` or ``#``, else the last two), the two words after it, and the word on either side.
+* Patterns and the distinct values seen in them form a graph.  A pattern's confidence in a kind is the lower
+  end of Wilson's interval for the share of its values that are seeds or trusted finds of that kind (each
+  counts by its trust), so copies of one passage count once and few values prove little at any corpus size.
+  Patterns of ``confidence`` or more are trusted; a candidate's trust is the noisy-or of its trusted
+  patterns; trusted finds then count for the other patterns they stand in, and rounds go on until no pattern
+  and no find is new.
+* Candidates (mentions without a base span, of ``min_chars`` characters or more) in a trusted pattern become
+  spans of its kind.  A number that has a base pattern's form and fails its check is never of that kind.
 
 Regular expressions are possessive and start only where a match can start, so a text's length costs linear
-time and no stack.  Positions are code points, ends exclusive.
+time and no stack.  Positions are code points, ends exclusive.  Context words are looked for in the
+``context_chars`` characters beside a mention.
 
 Defined results: null text is empty and has no spans; repeated rows are reported each; base spans of
-different kinds may overlap (redaction merges them); columns other than doc_id and text are passed on by
-``redact`` as they are.
+different kinds may overlap (redaction merges them), added ones overlap nothing; no rows give no rows;
+columns other than doc_id and text are passed on by ``redact`` as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import _store
@@ -34,7 +41,11 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_MENTION = r"(?<!\S)[^\s0-9@+]*+(?:\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9])++|[0-9@+])\S*+"
+#: Long hexadecimal strings are the seeds of a fifth kind.
+_SECRET = r"(?<![A-Za-z0-9])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"
+KINDS = [*PATTERNS, "secret"]
+MENTION = "struct<patterns:array<string>,value:string,start:int,end:int,rank:int,refuted:int,candidate:boolean>"
 SPAN = "struct<rank:int,kind:string,start:int,end:int>"
 
 
@@ -64,13 +75,22 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
+def _sums(sizes: Column, block: int = 256) -> Column:
+    """Sums of all numbers before each one: within blocks, then over the blocks' totals, so a long array is cheap."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+    run = lambda xs: F.aggregate(xs, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums")))
+    inner = F.transform(blocks, run)
+    outer = run(F.transform(inner, lambda x: x["at"]))["sums"]
+    return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(inner, outer, lambda x, base: F.transform(x["sums"], lambda y: y + base)))).otherwise(F.array().cast("array<int>"))
+
+
 def _placed(text: Column, pattern: str) -> tuple[Column, Column, Column]:
     """(matches, texts between them, start of each match)."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    gaps = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(gaps, zero, lambda s, g: F.struct((s["at"] + g["b"] + g["m"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + g["b"])).alias("starts")))["starts"]
-    return found, between, starts
+    gaps = F.slice(between, 1, F.size(found))
+    steps = F.zip_with(found, gaps, lambda m, b: F.length(b) + F.length(m))
+    return found, between, F.zip_with(_sums(steps), gaps, lambda at, b: at + F.length(b))
 
 
 def _kind_spans(text: Column, rank: int, kind: str) -> Column:
@@ -86,81 +106,115 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[_kind_spans(text, rank, kind) for rank, kind in enumerate(PATTERNS)])
 
 
-def _pattern_of(before: Column) -> Column:
-    """The lexical pattern that ends a text; null where there is none."""
-    last = F.regexp_extract(before, r"(\S++)\s++$", 1)
-    two = F.regexp_extract(before, r"(\S++\s++\S++)\s++$", 1)
-    key = F.when(last.rlike("[:=#]$"), last).otherwise(F.regexp_replace(two, r"\s+", " "))
-    return F.nullif(F.lower(key), F.lit(""))
+def _contexts(before: Column, after: Column) -> Column:
+    """array<string>: the lexical patterns of a place between two texts."""
+    clean = lambda words: F.nullif(F.regexp_replace(F.lower(words), r"\s+", " "), F.lit(""))
+    one = clean(F.regexp_extract(before, r"(?<!\S)(\S++)\s++$", 1))
+    two = clean(F.regexp_extract(before, r"(?<!\S)(\S++\s++\S++)\s++$", 1))
+    left = F.when(one.rlike(r"\p{L}.*[:=#]$"), one).otherwise(two)
+    next_ = clean(F.regexp_extract(after, r"^\s++(\S++)(?!\S)", 1))
+    right = clean(F.regexp_extract(after, r"^\s++(\S++\s++\S++)(?!\S)", 1))
+    return F.filter(F.array(F.concat(left, F.lit(" _")), F.concat(F.lit("_ "), right), F.concat(one, F.lit(" _ "), next_)), lambda p: p.isNotNull())
 
 
-def mentions(text: Column, base: Column) -> Column:
-    """array<struct<pattern, value, start, end, kind, candidate>> of a text's identifier mentions."""
+def mentions(text: Column, min_chars: int = 6, context_chars: int = 200) -> Column:
+    """array of ``MENTION``: a text's mentions with their patterns; ``rank`` is the kind of a seed, else null."""
     found, between, starts = _placed(text, _MENTION)
-    rows = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"), starts.alias("s"))
+    # only what stands right beside a mention is looked at
+    before = F.transform(F.slice(between, 1, F.size(found)), lambda b: F.substr(b, F.greatest(F.length(b) - context_chars, F.lit(0)) + 1))
+    after = F.transform(F.slice(between, 2, F.size(found)), lambda b: F.substr(b, F.lit(1), F.lit(context_chars)))
+    rows = F.arrays_zip(found.alias("m"), before.alias("b"), after.alias("a"), starts.alias("s"))
 
     def describe(x: Column) -> Column:
-        token = F.regexp_extract(x["m"], r"^[\"'(<\[{]*+(\S*?)[.,;:!?)\"'\]}>]*$", 1)
-        start = x["s"] + F.length(x["m"]) - F.length(F.regexp_replace(x["m"], r"^[\"'(<\[{]++", ""))
-        end = start + F.length(token)
-        whole_end = x["s"] + F.length(x["m"])
-        seeds = F.filter(base, lambda y: (y["start"] >= x["s"]) & (y["start"] < whole_end))
-        touched = F.exists(base, lambda y: (y["start"] < whole_end) & (y["end"] > x["s"]))
-        like = (F.length(_digits(token)) >= 6) | token.rlike(r"^\S+@\S+$")
-        # only the end of what stands before is looked at
-        tail = F.substr(x["b"], F.greatest(F.length(x["b"]) - 200, F.lit(0)) + 1)
-        return F.struct(_pattern_of(tail).alias("pattern"), token.alias("value"), start.alias("start"), end.alias("end"), F.get(seeds, F.lit(0))["rank"].alias("rank"), (like & ~touched).alias("candidate"))
-
-    described = F.filter(F.transform(rows, describe), lambda m: m["pattern"].isNotNull() & (m["rank"].isNotNull() | m["candidate"]))
-    return F.when(text.rlike("[0-9@]"), described).otherwise(F.array().cast("array<struct<pattern:string,value:string,start:int,end:int,rank:int,candidate:boolean>>"))
-
-
-def score_patterns(edges: DataFrame, patterns: DataFrame, space: _store.Workspace, rounds: int = 3) -> DataFrame:
-    """(pattern, rank, confidence): ``patterns`` has (pattern, rank, seeds, total), ``edges`` (pattern, value, n)."""
-    state = patterns.withColumn("confidence", F.col("seeds") / F.col("total"))
-    for _ in range(rounds):
-        state = space.table(state, "confidence")
-        joined = edges.join(state.select("pattern", "rank", "confidence"), "pattern")
-        trust = joined.groupBy("value", "rank").agg((1 - F.exp(F.sum(F.col("n") * F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("trust"))
-        trust = space.table(trust, "trust")
-        gained = space.table(joined.join(trust, ["value", "rank"]).groupBy("pattern", "rank").agg(F.sum(F.col("n") * F.col("trust")).alias("gained")), "gained")
-        state = state.drop("confidence").join(gained, ["pattern", "rank"], "left").withColumn("confidence", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("total"))).drop("gained")
-    return space.table(state, "scored")
-
-
-def detect(docs: DataFrame, space: _store.Workspace, min_docs: int = 5, confidence: float = 0.6, keep: bool = False) -> DataFrame:
-    """The columns of ``docs`` that were asked for, with ``base`` and ``spans`` (arrays of ``SPAN``).
-
-    ``docs`` may have any columns; ``text`` is read.  Helper columns start with ``_pii``.
+        m = x["m"]
+        inner = F.regexp_replace(m, r"^[^\p{L}\p{N}@+]++", "")
+        value = F.regexp_replace(inner, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+        start = x["s"] + F.length(m) - F.length(inner)
+        rank, seed = F.lit(None).cast("int"), F.lit(None).cast("string")
+        for k, (kind, pattern) in reversed(list(enumerate([*PATTERNS.items(), ("secret", _SECRET)]))):
+            own = F.regexp_extract(m, pattern, 0)
+            good = (own != "") & (F.lit(True) if kind == "secret" else _valid(kind, own))
+            rank, seed = F.when(good, F.lit(k)).otherwise(rank), F.when(good, own).otherwise(seed)
+        refuted = F.when(value.rlike(r"^[0-9]++(?:\.[0-9]++){3}+$"), 1).when(value.rlike(r"^[0-9](?:[\x20-]?[0-9])++$") & F.length(_digits(value)).between(13, 19), 2).when(value.rlike(r"^\+[0-9]"), 3)
+        # a secret needs a context, so its seeds may be found themselves
+        candidate = (rank.isNull() | (rank == len(PATTERNS))) & (F.length(value) >= min_chars) & value.rlike(r"^\S+$")
+        return F.struct(_contexts(x["b"], x["a"]).alias("patterns"), F.coalesce(seed, value).alias("value"), start.alias("start"), (start + F.length(value)).alias("end"), rank.alias("rank"), refuted.alias("refuted"), candidate.alias("candidate"))
+
+    described = F.filter(F.transform(rows, describe), lambda m: F.size(m["patterns"]) > 0)
+    return F.when(text.rlike("[0-9@+]"), described).otherwise(F.array().cast(f"array<{MENTION}>"))
+
+
+def graph(found: DataFrame) -> DataFrame:
+    """(pattern, value, rank, refuted, candidate): the distinct edges of a table with ``_pii_mentions``."""
+    each = found.select(F.explode("_pii_mentions").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.value", "m.rank", "m.refuted", "m.candidate")
+    return each.groupBy("pattern", "value").agg(F.min("rank").alias("rank"), F.min("refuted").alias("refuted"), F.max("candidate").alias("candidate"))
+
+
+def wilson(hits: Column, total: Column, z: float) -> Column:
+    """Lower end of Wilson's interval for ``hits`` of ``total``."""
+    p, zz = hits / total, z * z
+    return (p + zz / (2 * total) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / total + zz / (4 * total * total))) / (1 + zz / total)
+
+
+def score_patterns(edges: DataFrame, space: _store.Workspace, confidence: float = 0.6, z: float = 2.576) -> DataFrame:
+    """(pattern, rank, confidence) of the trusted patterns of a written ``graph``, at the fixed point of the rounds."""
+    # a pattern of fewer values cannot be trusted, whatever they are
+    least = z * z * confidence / (1 - confidence)
+    totals = space.table(edges.groupBy("pattern").agg(F.count("*").alias("total")).where(F.col("total") >= least), "totals")
+    seeds = space.table(edges.where("rank IS NOT NULL").groupBy("pattern", "rank").agg(F.count("*").cast("double").alias("hits")).join(totals.select("pattern"), "pattern", "left_semi"), "seeds")
+    open_ = space.table(edges.where("rank IS NULL AND candidate").select("pattern", "value", "refuted").join(totals.select("pattern"), "pattern", "left_semi"), "open")
+    hits, before = seeds, None
+    while True:
+        scored = hits.groupBy("pattern", "rank").agg(F.sum("hits").alias("hits")).join(totals, "pattern")
+        scored = scored.select("pattern", "rank", wilson(F.least("hits", "total"), F.col("total"), z).alias("confidence")).where(F.col("confidence") >= confidence)
+        trusted = space.table(scored, "trusted")
+        finds = open_.join(trusted, "pattern").where("refuted IS NULL OR refuted <> rank")
+        finds = space.table(finds.groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("hits")), "finds")
+        now = trusted.count(), finds.count()
+        if now == before or not now[1]:
+            return trusted
+        before = now
+        gained = open_.join(finds, "value").where("refuted IS NULL OR refuted <> rank").groupBy("pattern", "rank").agg(F.sum("hits").alias("hits"))
+        hits = seeds.unionByName(gained)
+
+
+def _added(stage: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(_pii_row, start, end, rank): candidates in trusted patterns that overlap no base span."""
+    each = stage.select("_pii_row", F.explode("_pii_mentions").alias("m")).where("m.candidate").select("_pii_row", "m.start", "m.end", "m.refuted", F.explode("m.patterns").alias("pattern"))
+    hits = each.join(trusted, "pattern").where("refuted IS NULL OR refuted <> rank")
+    return hits.groupBy("_pii_row", "start", "end").agg(F.max_by("rank", F.struct("confidence", -F.col("rank"))).alias("rank"))
+
+
+def _apart(stage: DataFrame, added: DataFrame) -> DataFrame:
+    """The rows of ``added`` that overlap no base span of their text."""
+    base = stage.select("_pii_row", "_pii_base").join(added.select("_pii_row").distinct(), "_pii_row", "left_semi").select("_pii_row", F.explode("_pii_base").alias("s")).select("_pii_row", "s.start", "s.end")
+    both = added.unionByName(base.withColumn("rank", F.lit(None).cast("int")))
+    order = Window.partitionBy("_pii_row").orderBy("start", "end")
+    is_base = F.col("rank").isNull()
+    last = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    placed = both.withColumn("_last", last).withColumn("_first", first)
+    return placed.where("rank IS NOT NULL AND coalesce(_last <= start, true) AND coalesce(_first >= end, true)").drop("_last", "_first")
+
+
+def detect(docs: DataFrame, space: _store.Workspace, confidence: float = 0.6, z: float = 2.576, min_chars: int = 6, context_chars: int = 200, keep: bool = False) -> DataFrame:
+    """The columns of ``docs`` (``text`` only where ``keep``), with ``_pii_base`` and ``_pii_spans`` (arrays of ``SPAN``).
+
+    ``docs`` may have any columns; ``text`` is read.  Helper columns start with ``_pii``.  The result reads
+    tables of ``space``.
     """
     text = F.coalesce("text", F.lit(""))
-    found = docs.withColumn("_pii_base", base_spans(text))
-    found = found.withColumn("_pii_mentions", mentions(text, F.col("_pii_base"))).withColumn("_pii_row", F.monotonically_increasing_id())
+    found = docs.withColumn("_pii_base", base_spans(text)).withColumn("_pii_mentions", mentions(text, min_chars, context_chars)).withColumn("_pii_row", F.monotonically_increasing_id())
     if not keep:
         found = found.drop("text")
-    stage = space.table(found, "found", keep=True)
-    mention = stage.where(F.size("_pii_mentions") > 0).select("_pii_row", F.explode("_pii_mentions").alias("m")).select("_pii_row", "m.*")
-    seeded = mention.where("rank IS NOT NULL").groupBy("pattern", "rank").agg(F.count("*").alias("seeds"), F.approx_count_distinct("_pii_row").alias("docs")).where(F.col("docs") >= min_docs)
-    seeded = space.table(seeded, "seeded")
-    # only patterns that also precede candidates can find anything
-    candidates = space.table(mention.where("candidate").select("_pii_row", "pattern", "value", "start", "end"), "candidates")
-    useful = space.table(seeded.join(candidates.select("pattern").distinct(), "pattern", "left_semi"), "useful")
-    if useful.isEmpty():
+    stage = space.table(found, "found")
+    trusted = score_patterns(space.table(graph(stage), "graph"), space, confidence, z)
+    if trusted.isEmpty():
         return stage.withColumn("_pii_spans", F.col("_pii_base"))
-    keys = useful.select("pattern").distinct()
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    # each word with the one before it; the arrays are built once, outside of the function of a pair
-    every = F.zip_with(words, F.concat(F.array(F.lit(None).cast("string")), words), lambda w, before: F.when(w.rlike("[:=#]$"), w).otherwise(F.concat_ws(" ", before, w)))
-    counted = docs.select(F.explode(every).alias("pattern")).where("pattern IS NOT NULL")
-    small = keys.count() <= 100_000
-    counted = counted.join(F.broadcast(keys) if small else keys, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
-    patterns = space.table(useful.join(counted, "pattern"), "patterns")
-    edges = space.table(candidates.groupBy("pattern", "value").agg(F.count("*").alias("n")).join(keys, "pattern", "left_semi"), "edges")
-    trusted = score_patterns(edges, patterns, space).where(F.col("confidence") >= confidence)
-    best = space.table(trusted.groupBy("pattern").agg(F.max_by("rank", F.struct("confidence", -F.col("rank"))).alias("rank")), "best")
-    kinds = F.array(*[F.lit(k) for k in PATTERNS])
-    added = candidates.join(best, "pattern").select("_pii_row", F.struct("rank", F.element_at(kinds, F.col("rank") + 1).alias("kind"), "start", "end").alias("s"))
-    added = space.table(added.groupBy("_pii_row").agg(F.collect_set("s").alias("_pii_added")), "added", keep=True)
+    added = space.table(_added(stage, trusted), "candidates")
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    span = F.struct("rank", F.element_at(kinds, F.col("rank") + 1).alias("kind"), "start", "end")
+    added = space.table(_apart(stage, added).groupBy("_pii_row").agg(F.collect_list(span).alias("_pii_added")), "added")
     joined = stage.join(added, "_pii_row", "left")
     return joined.withColumn("_pii_spans", F.array_sort(F.concat("_pii_base", F.coalesce("_pii_added", F.array().cast(f"array<{SPAN}>"))))).drop("_pii_added")
 
@@ -179,21 +233,28 @@ def report(docs: DataFrame, **options) -> DataFrame:
     with _store.Workspace(docs.sparkSession, "pii") as space:
         found = detect(docs.select("doc_id", "text"), space, **options)
         counts = [_count("_pii_base", kind).alias(f"n_{kind}") for kind in PATTERNS]
-        return found.select("doc_id", *counts, F.sha2(listed(F.col("_pii_base")), 256).alias("base_sha256"), listed(F.col("_pii_spans")).alias("spans"))
+        result = found.select("doc_id", *counts, F.sha2(listed(F.col("_pii_base")), 256).alias("base_sha256"), listed(F.col("_pii_spans")).alias("spans"))
+        return space.table(result, "report", keep=True)
 
 
-def redact(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every span replaced by ``<KIND>``; where spans overlap, the first kind stands for all."""
-    with _store.Workspace(docs.sparkSession, "pii") as space:
-        found = detect(docs, space, keep=True, **options)
-        ordered = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind"))))
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-        def step(a: Column, s: Column) -> Column:
-            end = -s["minus"]
-            piece = F.concat(a["out"], F.substr("text", a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-            return F.when(s["start"] >= a["at"], F.struct(end.alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(a["at"], end).alias("at"), a["out"].alias("out")))
-
-        done = F.aggregate(ordered, zero, step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1)))
-        text = F.when(F.size("_pii_spans") > 0, done).otherwise(F.col("text"))
-        return found.withColumn("text", text).select(*docs.columns)
+def redact(docs: DataFrame, space: _store.Workspace | None = None, **options) -> DataFrame:
+    """``docs`` with every span replaced by ``<KIND>``; where spans overlap, the first kind stands for all.
+
+    With a ``space`` the result reads its tables, which its owner frees once the result is written;
+    without one, only a table of the result is left.
+    """
+    if space is None:
+        with _store.Workspace(docs.sparkSession, "pii") as own:
+            return own.table(redact(docs, own, **options), "redacted", keep=True)
+    found = detect(docs, space, keep=True, **options)
+    ordered = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind"))))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        end = -s["minus"]
+        piece = F.concat(a["out"], F.substr("text", a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return F.when(s["start"] >= a["at"], F.struct(end.alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(a["at"], end).alias("at"), a["out"].alias("out")))
+
+    done = F.aggregate(ordered, zero, step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1)))
+    text = F.when(F.size("_pii_spans") > 0, done).otherwise(F.col("text"))
+    return found.withColumn("text", text).select(*docs.columns)
