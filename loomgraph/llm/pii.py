@@ -45,7 +45,6 @@ _MENTION = r"(?<!\S)[^\s0-9@+]*+(?:\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0
 #: Long hexadecimal strings are the seeds of a fifth kind.
 _SECRET = r"(?<![A-Za-z0-9])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"
 KINDS = [*PATTERNS, "secret"]
-MENTION = "struct<patterns:array<string>,value:string,start:int,end:int,rank:int,refuted:int,candidate:boolean>"
 SPAN = "struct<rank:int,kind:string,start:int,end:int>"
 
 
@@ -85,25 +84,30 @@ def _sums(sizes: Column, block: int = 256) -> Column:
     return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(inner, outer, lambda x, base: F.transform(x["sums"], lambda y: y + base)))).otherwise(F.array().cast("array<int>"))
 
 
-def _placed(text: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """(matches, texts between them, start of each match)."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def _starts(found: Column, between: Column) -> Column:
+    """Start of each match; ``between`` are the texts around them."""
     gaps = F.slice(between, 1, F.size(found))
     steps = F.zip_with(found, gaps, lambda m, b: F.length(b) + F.length(m))
-    return found, between, F.zip_with(_sums(steps), gaps, lambda at, b: at + F.length(b))
+    return F.zip_with(_sums(steps), gaps, lambda at, b: at + F.length(b))
 
 
-def _kind_spans(text: Column, rank: int, kind: str) -> Column:
-    found, _, starts = _placed(text, PATTERNS[kind])
-    spans = F.zip_with(found, starts, lambda m, s: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s.alias("start"), (s + F.length(m)).alias("end"), m.alias("value")))
-    kept = F.transform(F.filter(spans, lambda x: _valid(kind, x["value"])), lambda x: F.struct(*[x[c].alias(c) for c in ("rank", "kind", "start", "end")]))
-    may = F.contains(text, F.lit("@")) if kind == "email" else F.contains(text, F.lit("+")) if kind == "phone" else F.lit(True)
-    return F.when(may, kept).otherwise(F.array().cast(f"array<{SPAN}>"))
+def _matched(docs: DataFrame) -> DataFrame:
+    """``docs`` with (_pii_m, _pii_t, _pii_s)_<kind>: matches, texts around them and starts, of base patterns and mentions.
+
+    Each step is a projection of its own: an expression that later steps use many times is computed once.
+    """
+    text, none = F.coalesce("text", F.lit("")), F.array().cast("array<string>")
+    digit = text.rlike("[0-9]")
+    may = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+")), "mention": text.rlike("[0-9@+]")}
+    patterns = PATTERNS | {"mention": _MENTION}
+    docs = docs.withColumns({f"_pii_m_{k}": F.when(may[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, p in patterns.items()})
+    docs = docs.withColumns({f"_pii_t_{k}": F.when(F.size(f"_pii_m_{k}") > 0, F.split(text, p, -1)).otherwise(none) for k, p in patterns.items()})
+    return docs.withColumns({f"_pii_s_{k}": _starts(F.col(f"_pii_m_{k}"), F.col(f"_pii_t_{k}")) for k in patterns})
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<rank, kind, start, end>> of the base patterns, by kind, then start."""
-    return F.concat(*[_kind_spans(text, rank, kind) for rank, kind in enumerate(PATTERNS)])
+def _kind_spans(rank: int, kind: str) -> Column:
+    spans = F.zip_with(f"_pii_m_{kind}", f"_pii_s_{kind}", lambda m, s: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s.alias("start"), (s + F.length(m)).alias("end"), m.alias("value")))
+    return F.transform(F.filter(spans, lambda x: _valid(kind, x["value"])), lambda x: F.struct(*[x[c].alias(c) for c in ("rank", "kind", "start", "end")]))
 
 
 def _contexts(before: Column, after: Column) -> Column:
@@ -117,13 +121,13 @@ def _contexts(before: Column, after: Column) -> Column:
     return F.filter(F.array(F.concat(left, F.lit(" _")), F.concat(F.lit("_ "), right), F.concat(one, F.lit(" _ "), next_)), lambda p: p.isNotNull())
 
 
-def mentions(text: Column, min_chars: int = 6, context_chars: int = 200) -> Column:
-    """array of ``MENTION``: a text's mentions with their patterns; ``rank`` is the kind of a seed, else null."""
-    found, between, starts = _placed(text, _MENTION)
+def _mentions(min_chars: int, context_chars: int) -> Column:
+    """array<struct<patterns, value, start, end, rank, refuted, candidate>>: a text's mentions with their patterns; ``rank`` is the kind of a seed, else null."""
+    found, between = F.col("_pii_m_mention"), F.col("_pii_t_mention")
     # only what stands right beside a mention is looked at
     before = F.transform(F.slice(between, 1, F.size(found)), lambda b: F.substr(b, F.greatest(F.length(b) - context_chars, F.lit(0)) + 1))
     after = F.transform(F.slice(between, 2, F.size(found)), lambda b: F.substr(b, F.lit(1), F.lit(context_chars)))
-    rows = F.arrays_zip(found.alias("m"), before.alias("b"), after.alias("a"), starts.alias("s"))
+    rows = F.arrays_zip(found.alias("m"), before.alias("b"), after.alias("a"), F.col("_pii_s_mention").alias("s"))
 
     def describe(x: Column) -> Column:
         m = x["m"]
@@ -140,8 +144,7 @@ def mentions(text: Column, min_chars: int = 6, context_chars: int = 200) -> Colu
         candidate = (rank.isNull() | (rank == len(PATTERNS))) & (F.length(value) >= min_chars) & value.rlike(r"^\S+$")
         return F.struct(_contexts(x["b"], x["a"]).alias("patterns"), F.coalesce(seed, value).alias("value"), start.alias("start"), (start + F.length(value)).alias("end"), rank.alias("rank"), refuted.alias("refuted"), candidate.alias("candidate"))
 
-    described = F.filter(F.transform(rows, describe), lambda m: F.size(m["patterns"]) > 0)
-    return F.when(text.rlike("[0-9@+]"), described).otherwise(F.array().cast(f"array<{MENTION}>"))
+    return F.filter(F.transform(rows, describe), lambda m: F.size(m["patterns"]) > 0)
 
 
 def graph(found: DataFrame) -> DataFrame:
@@ -203,10 +206,9 @@ def detect(docs: DataFrame, space: _store.Workspace, confidence: float = 0.6, z:
     ``docs`` may have any columns; ``text`` is read.  Helper columns start with ``_pii``.  The result reads
     tables of ``space``.
     """
-    text = F.coalesce("text", F.lit(""))
-    found = docs.withColumn("_pii_base", base_spans(text)).withColumn("_pii_mentions", mentions(text, min_chars, context_chars)).withColumn("_pii_row", F.monotonically_increasing_id())
-    if not keep:
-        found = found.drop("text")
+    base = F.concat(*[_kind_spans(rank, kind) for rank, kind in enumerate(PATTERNS)])
+    own = docs.columns if keep else [c for c in docs.columns if c != "text"]
+    found = _matched(docs).select(*own, base.alias("_pii_base"), _mentions(min_chars, context_chars).alias("_pii_mentions"), F.monotonically_increasing_id().alias("_pii_row"))
     stage = space.table(found, "found")
     trusted = score_patterns(space.table(graph(stage), "graph"), space, confidence, z)
     if trusted.isEmpty():
