@@ -1,11 +1,12 @@
 """Token ids in Parquet: list columns, dictionary or delta encoded, with row groups and pages of set sizes.
 
 A token data set is a folder of Parquet files in ascending document order.  Columns: ``doc_id``, ``shard``
-(the range partition), ``n_tokens``, ``ids`` (list of int).  Small row groups with page indexes let a reader
-take a few documents, or only the metadata columns, without decoding the rest.
+(the range partition), ``place`` (ascending in file order), ``n_tokens``, ``ids`` (list of int).  Small row
+groups with page indexes let a reader take a few documents, or only the metadata columns, without decoding the
+rest.  The number of shards comes from the size of the table; rows that share a doc_id may lie in several.
 
-Defined results: null text is the empty text (the end id alone); rows that share a doc_id are ordered by
-their text; a null doc_id comes first; no rows give a data set without rows.
+Defined results: null text is the empty text (the end id alone); rows that share a doc_id are ordered by a
+hash of their text; a null doc_id comes first; no rows give a data set without rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,17 +99,33 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitions: int | None = None, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
+def shards(docs: DataFrame, shard_bytes: int, least_bytes: int = 4 << 20) -> int:
+    """How many shards a table makes: of ``shard_bytes``, or smaller ones for a small table to use the session's partitions.
+
+    The size is the stored one or, where a plan has no statistics, the bytes of the texts.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # what a plan without statistics states
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // shard_bytes), min(session, -(-size // least_bytes)))
+
+
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitions: int | None = None, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, shard_bytes: int = 128 << 20) -> None:
     """Write the token data set of (doc_id, text).
 
     ``encoding``: "dictionary" (ids as bit-packed codes) or "delta" (delta binary packing, for vocabularies
     far beyond a page's dictionary).  Texts, not ids, are sorted: they are the smaller side of the exchange.
+    ``partitions`` sets the number of shards; else it follows from the table's size (``shards``).
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding}")
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    tokens = tokenize(ordered, tokenizer_path, end_id).select("doc_id", F.spark_partition_id().alias("shard"), "n_tokens", "ids")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = partitions or shards(docs, shard_bytes)
+    # equal rows may go to any shard, so the row's place in the input parts even a third of all rows of one id
+    keys = ["doc_id", "_hash", "_row"]
+    ordered = own.select("*", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row")).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tokens = tokenize(ordered, tokenizer_path, end_id).select("doc_id", F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("place"), "n_tokens", "ids")
     options = {
         "compression": "zstd",
         "parquet.block.size": row_group_bytes,
@@ -122,13 +139,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitio
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """Rows of a data set; only the pages of ``columns`` that ``where`` can match are decoded."""
-    df = spark.read.schema("doc_id long, shard int, n_tokens long, ids array<int>").parquet(path)
+    df = spark.read.schema("doc_id long, shard int, place long, n_tokens long, ids array<int>").parquet(path)
     df = df if where is None else df.where(where)
     return df if columns is None else df.select(*columns)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, shard, n_tokens, ids_crc32) of the ids as they stand in the files."""
+    """(doc_id, shard, place, n_tokens, ids_crc32) of the ids as they stand in the files."""
     _store.prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +155,9 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
             offsets = lists.offsets.to_numpy()
             view = memoryview(flat).cast("B")
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), part.column("place"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "place", "n_tokens", "ids_crc32"])
 
-    return read(spark, path, ["doc_id", "shard", "ids"]).mapInArrow(run, "doc_id long, shard int, n_tokens long, ids_crc32 long")
+    return read(spark, path, ["doc_id", "shard", "place", "ids"]).mapInArrow(run, "doc_id long, shard int, place long, n_tokens long, ids_crc32 long")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
@@ -151,5 +168,5 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     rows = checksums(spark, path)
     each = read(spark, path, ["shard", "n_tokens"]).groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     before = each.select("shard", (F.sum("shard_tokens").over(Window.orderBy("shard")) - F.col("shard_tokens")).alias("base"))
-    within = Window.partitionBy("shard").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.join(before, "shard").select("doc_id", (F.col("base") + F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
