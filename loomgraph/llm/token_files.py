@@ -29,6 +29,8 @@ SCHEMA = "doc_id long, ids array<int>, n_tokens long"
 
 #: A word in Western letters and marks after it: two words of a pre-tokenizer that parts letters and marks.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)")
+#: A letter, marks and white space: there the marks become a chunk of their own, so a word has one form, not many.
+_MARKS = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:#$%&*]+)([ \\n])"
 
 
 class ChunkEncoder:
@@ -75,7 +77,8 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's number of ids."""
-        return self.table.expand(pc.split_pattern(pc.replace_substring(_chunks.texts_of(texts), "\n", " "), " "))
+        apart = pc.replace_substring_regex(_chunks.texts_of(texts), _MARKS, r"\1 \2\3")
+        return self.table.expand(pc.split_pattern(pc.replace_substring(apart, "\n", " "), " "))
 
 
 def _encoder(path: str) -> ChunkEncoder:
