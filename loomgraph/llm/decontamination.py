@@ -9,7 +9,8 @@ one item at one offset are lined up, and the slots under them are compared: with
 must stand for equal values.  Each offset, each run of near offsets and all together are judged, also without the
 readings that take every capitalised word for a name; a text repeats an item if one of them passes, and that one is reported: "verbatim" if all slots agree, "filled anew" if
 slots differ consistently.  ``running`` literal tokens in a row always count; matches whose slots contradict each other count only where ``window`` or more
-literal tokens in a row agree.
+literal tokens in a row agree.  A window of placeholders alone is compared as it literally stands: it would match any
+row of numbers, and such matches grow with the product of two tables of numbers.
 
 The item side of the join is bounded: items go to the executors in blocks of at most ``block_windows``
 windows, one pass over the texts for each block; a pair of document and item lies in one block.
@@ -35,8 +36,14 @@ from loomgraph.llm import _chunks, _store
 from loomgraph.llm._words import _G, mix
 
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,/:]*(?:st|nd|rd|th)?%?")
-#: Units that may follow a number.
-UNITS = frozenset("km m cm mm mi miles mile feet ft inches inch kg g mg lb lbs pounds pound tons ton l ml liters litres gallons hours hour hrs minutes minute min seconds second sec days day weeks week months month years year dollars dollar cents cent euros euro percent degrees mph kph kmh".split())
+#: Units that may follow a number, in the corpus's four languages.
+UNITS = frozenset(
+    "km m cm mm mi miles mile feet ft inches inch kg g mg lb lbs pounds pound tons ton l ml liters litres gallons hours hour hrs minutes minute min seconds second sec "
+    "days day weeks week months month years year dollars dollar cents cent euros euro percent degrees mph kph kmh "
+    "meter kilometer gramm kilogramm liter stunden stunde minuten sekunden tage tag wochen woche monate monat jahre jahr prozent grad "
+    "mètres mètre kilomètres grammes kilogrammes litre heures heure secondes jours jour semaines semaine mois ans an pourcent degrés "
+    "metros metro kilómetros gramos kilos litros litro horas hora minutos segundos días día semanas semana meses mes años año grados".split()
+)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NUM, UNIT, NAME = (np.uint64(xxhash.xxh3_64_intdigest(p)) for p in ("<num>", "<unit>", "<name>"))
 #: Sets of readings (bits) that are judged together: all, all but names at sentence starts, and names inside sentences.
@@ -125,9 +132,14 @@ class Index:
             w = min(window, len(plain))
             if w:
                 table = self.by_size.setdefault(w, {})
-                hashes = [window_hashes(r, np.array([len(plain)]), w)[: len(plain) - w + 1].tolist() for r in own]
+                hashes = []
+                for r in own:
+                    h = window_hashes(r, np.array([len(plain)]), w)[: len(plain) - w + 1]
+                    words = np.concatenate([[0], np.cumsum(r == plain)])
+                    # placeholders alone say nothing of an item: such windows are looked up as they literally stand
+                    hashes.append(np.where(words[w:] > words[:-w], h, np.uint64(0)).tolist())
                 for at, there in enumerate(zip(*hashes, strict=True)):
-                    for h in set(there):
+                    for h in set(there) - {0}:
                         table.setdefault(h, []).append((k, at, sum(1 << r for r, other in enumerate(there) if other == h)))
         self.sorted = {w: np.array(sorted(t), np.uint64) for w, t in self.by_size.items()}
         self.bits = {}
@@ -160,7 +172,7 @@ class Index:
                 chosen = {o: places for o, places in chosen.items() if places}
                 for offsets in _occurrences(chosen, self.window):
                     one = tuple((o, chosen[o]) for o in offsets)
-                    if one and one not in seen:
+                    if one and self._may_leak(k, one, coverage, running) and one not in seen:
                         seen.add(one)
                         m = self._judged(d, k, dict(one), literal, wanted)
                         if _leaks(m, self.window, coverage, running):
@@ -169,6 +181,14 @@ class Index:
                 out.append(max(leaks, key=lambda m: (m[6] != "inconsistent", m[2], -m[5], m[4])))
         return out
 
+    def _may_leak(self, k: int, one: tuple, coverage: float, running: int) -> bool:
+        """Whether the windows are enough, were all of them literal and consistent."""
+        total = len(self.items[k][2])
+        w = min(self.window, total)
+        if max(len({i for i, _ in places}) for _, places in one) + w - 1 >= running:
+            return True
+        return len({i for _, places in one for i, _ in places}) >= coverage * (total - w + 1)
+
     def _judged(self, d: int, k: int, lines: dict[int, frozenset[tuple[int, int]]], literal: np.ndarray, wanted: int) -> tuple[int, int, int, int, int, int, str]:
         """What the windows of one occurrence amount to."""
         item, readings, own_literal = self.items[k]
