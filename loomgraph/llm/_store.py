@@ -26,9 +26,13 @@ BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it was not installed on them, and bound Arrow batches."""
+    """Bound Arrow batches, and let Python workers of this machine import this package where it is not installed.
+
+    The bound is a session setting and only ever lowered.  Workers of other machines get the package by
+    ``--py-files`` or an installation; a path that they do not have does them no harm.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key, "67108864b").rstrip("b") if spark.conf.get(key, "67108864b").rstrip("b").isdigit() else BATCH_BYTES + 1)
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
     if not 0 < now <= BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
     env = spark.sparkContext.environment
@@ -55,11 +59,13 @@ def cached(key: str, make: Callable[[], object]):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, local mode) a local one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a local one for a local master and an error elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "loomgraph-work")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
@@ -100,6 +106,20 @@ class Workspace:
         self.free()
 
 
+_HELD: list[Workspace] = []
+
+
+def hold(space: Workspace) -> None:
+    """Keep the tables that a lazy result still reads until ``release``."""
+    _HELD.append(space)
+
+
+def release() -> None:
+    """Delete the tables of results that have been written by now."""
+    while _HELD:
+        _HELD.pop().free()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, target_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``target_bytes`` in each piece."""
     for batch in batches:

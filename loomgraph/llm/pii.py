@@ -242,12 +242,11 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, space: _store.Workspace | None = None, **options) -> DataFrame:
     """``docs`` with every span replaced by ``<KIND>``; where spans overlap, the first kind stands for all.
 
-    With a ``space`` the result reads its tables, which its owner frees once the result is written;
-    without one, only a table of the result is left.
+    The result reads tables of ``space``, which its owner frees once the result is written; without one,
+    ``_store.release`` does.
     """
     if space is None:
-        with _store.Workspace(docs.sparkSession, "pii") as own:
-            return own.table(redact(docs, own, **options), "redacted", keep=True)
+        _store.hold(space := _store.Workspace(docs.sparkSession, "pii"))
     found = detect(docs, space, keep=True, **options)
     ordered = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
