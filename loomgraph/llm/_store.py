@@ -8,6 +8,8 @@ split when one key is hot.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -54,6 +56,8 @@ def cached(key: str, make: Callable[[], object]):
         _CACHED.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
         _CACHED[key] = make()
     return _CACHED[key]
 

@@ -138,14 +138,20 @@ def _labelled(docs: DataFrame, labels: DataFrame, usable: Column | None, max_lab
 def _count(train: DataFrame, min_docs: int):
     """Document counts of tokens for each fold and label, and numbers of documents; equal texts count once."""
 
+    def rows(seen: Counter) -> pa.RecordBatch:
+        keys = list(seen)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["token", "toxic", "fold", "docs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for part in _store.slices(batches, "text"):
             for text, toxic, fold in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), part.column("fold").to_pylist(), strict=True):
                 seen[("", toxic, fold)] += 1
                 seen.update((f, toxic, fold) for f in {f for w in {token(c) for c in text.split()} for f in features(w)})
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["token", "toxic", "fold", "docs"])
+                if len(seen) > 100_000:  # partial counts go on; the aggregate after this adds them up
+                    yield rows(seen)
+                    seen = Counter()
+        yield rows(seen)
 
     counted = train.mapInArrow(run, "token string, toxic int, fold int, docs long")
     cell = lambda t, f: F.sum(F.when((F.col("toxic") == t) & (F.col("fold") == f), F.col("docs")).otherwise(0)).alias(f"c{t}{f}")
