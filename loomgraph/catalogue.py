@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vec as V
@@ -29,12 +29,13 @@ def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str |
 
 
 def _add_knn(name: str, make: Callable, sql: str | None = None) -> None:
-    """A query of neighbours by the prefix that its SQL has, and ``.._whole`` of neighbours by whole embeddings."""
-    if sql is not None:
-        _add(name, make(X.knn), sql)
-        _add(f"{name}_whole", make(X.knn_whole), sql.replace(X.KNN, X.KNN_WHOLE))
-    else:
-        _add(name, make(X.knn_whole))
+    """A query over neighbours by whole embeddings."""
+    _add(name, make(X.knn), sql)
+
+
+def draw(seed: int, *keys: str) -> str:
+    """The DuckDB form of ``vec.uniform``."""
+    return f"(('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(keys)})), 1, 12))::BIGINT / {float(1 << 48)})"
 
 
 def wide(rows: DataFrame, n: int, keys: tuple[str, ...] = ("graph_id", "node_id"), column: str = "x") -> DataFrame:
@@ -151,13 +152,20 @@ def _trade(f: Callable[[GraphSet], DataFrame]) -> Callable[[SparkSession, str],
 _D = lambda df: df.select("graph_id", "node_id", F.round("d", 6).alias("d"))
 _add("degree", _trade(lambda g: _D(filters.degrees(g.edges, g.nodes))), q(X.TRADE, deg(), select="SELECT graph_id, node_id, round(d, 6) AS d FROM deg"))
 _add("degree_power", _trade(lambda g: _D(filters.degree_power(g.edges, g.nodes, -0.5))), q(X.TRADE, deg(), select="SELECT graph_id, node_id, round(CASE WHEN d = 0 THEN 0.0 ELSE power(d, -0.5) END, 6) AS d FROM deg"))
-_add("norm_adj_sym", _trade(lambda g: coo(filters.normalized_adjacency(g.edges, g.nodes))), q(X.TRADE, deg(), norm("na"), select=OUT_W.format("na")))
-_add("norm_adj_rw", _trade(lambda g: coo(filters.normalized_adjacency(g.edges, g.nodes, False))), q(X.TRADE, deg(), norm("na", sym=False), select=OUT_W.format("na")))
-_add("normalize_a", _trade(lambda g: coo(filters.normalize_a(g.edges, g.nodes))), q(X.TRADE, deg(), norm_eps("na", "edges", "deg"), select=OUT_W.format("na")))
+def per_node(edges: DataFrame) -> DataFrame:
+    """What a node's row of a matrix amounts to: cells, their sum, and a sum that tells columns apart."""
+    sums = [F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("w"), F.round(F.sum(F.col("w") * (F.col("dst") % 97)), 5).alias("mixed")]
+    return edges.groupBy("graph_id", F.col("src").alias("node_id")).agg(*sums)
+
+
+PER_NODE = "SELECT graph_id, src AS node_id, count(*) AS n, round(sum(w), 6) AS w, round(sum(w * (dst % 97)), 5) AS mixed FROM {} GROUP BY ALL"
+_add("norm_adj_sym", _trade(lambda g: per_node(filters.normalized_adjacency(g.edges, g.nodes))), q(X.TRADE, deg(), norm("na"), select=PER_NODE.format("na")))
+_add("norm_adj_rw", _trade(lambda g: per_node(filters.normalized_adjacency(g.edges, g.nodes, False))), q(X.TRADE, deg(), norm("na", sym=False), select=PER_NODE.format("na")))
+_add("normalize_a", _trade(lambda g: per_node(filters.normalize_a(g.edges, g.nodes))), q(X.TRADE, deg(), norm_eps("na", "edges", "deg"), select=PER_NODE.format("na")))
 _add("laplacian", _trade(lambda g: coo(filters.laplacian(g.edges, g.nodes))), q(X.TRADE, deg(), LAP.format(diag="d", of="deg", a="edges"), select=OUT_W.format("lap")))
 _add("norm_laplacian", _trade(lambda g: coo(filters.normalized_laplacian(g.edges, g.nodes))), q(X.TRADE, NORMLAP, select=OUT_W.format("lap")))
 _add("rescale_laplacian_lmax2", _trade(lambda g: coo(filters.rescale_laplacian(filters.normalized_laplacian(g.edges, g.nodes), g.nodes, 2.0))), q(X.TRADE, NORMLAP, RESC, select=OUT_W.format("resc")))
-_add("gcn_filter", _trade(lambda g: coo(filters.gcn_filter(g.edges, g.nodes))), q(X.TRADE, GCN, select=OUT_W.format("ahat")))
+_add("gcn_filter", _trade(lambda g: per_node(filters.gcn_filter(g.edges, g.nodes))), q(X.TRADE, GCN, select=PER_NODE.format("ahat")))
 _add("self_loops_fill_missing", _trade(lambda g: coo(filters.fill_self_loops(g.edges, g.nodes))), q(X.TRADE, EYE, select="SELECT graph_id, src, dst, w FROM edges UNION ALL SELECT * FROM eye WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = eye.graph_id AND e.src = eye.src AND e.dst = eye.src)"))
 _S = lambda f: lambda s, d: f(X.sessions(s, d)[0])
 _add("self_loops_set", _S(lambda g: coo(filters.set_self_loops(g.edges, g.nodes, 2.0))), q(X.SESSIONS, select="SELECT graph_id, src, dst, w FROM edges WHERE src <> dst UNION ALL SELECT graph_id, node_id, node_id, 2.0 FROM nodes"))
@@ -221,18 +229,23 @@ _add("mask_square", _trade(lambda g: coo(linalg.induced(g.edges, _even(g)))), q(
 _add("mask_axis", _trade(lambda g: coo(linalg.masked_axis(g.edges, _even(g), "src"))), q(X.TRADE, NUM, select="SELECT e.graph_id, a.new_id AS src, e.dst, w FROM edges e JOIN num a ON a.node_id = e.src"))
 _add("gather_square", _S(lambda g: coo(linalg.induced(g.edges, g.nodes.select("graph_id", "node_id", (4 - F.col("node_id")).alias("new_id"))))), q(X.SESSIONS, select="SELECT graph_id, 4 - src AS src, 4 - dst AS dst, w FROM edges"))
 _add("indices_to_mask", _S(lambda g: linalg.indices_to_mask(g.nodes.select("graph_id", "node_id"), g.nodes.where("node_id IN (1, 3)"))), q(X.SESSIONS, select="SELECT graph_id, node_id, node_id IN (1, 3) AS mask FROM nodes"))
-_P = lambda g: g.nodes.where("node_id % 5 = 0")  # noqa: E731  # the SQL of these two names has this cut; the _whole queries have none
 _DOT = " + ".join(f"a.x{i} * b.x{i}" for i in range(3))
-_add("inner_product", lambda s, d: coo(linalg.inner_product(_P(X.knn(s, d)), 3)), q(X.KNN, select=f"SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, round({_DOT}, 6) AS w FROM nodes a JOIN nodes b USING (graph_id) WHERE a.node_id % 5 = 0 AND b.node_id % 5 = 0"))
-_add("minkowski_product", lambda s, d: coo(linalg.minkowski_product(_P(X.knn(s, d)), 3)), q(X.KNN, select="SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, round(greatest(-1e10, least(-1.0, a.x0 * b.x0 + a.x1 * b.x1 - a.x2 * b.x2)), 6) AS w FROM nodes a JOIN nodes b USING (graph_id) WHERE a.node_id % 5 = 0 AND b.node_id % 5 = 0"))
-_add("inner_product_whole", lambda s, d: coo(linalg.inner_product(X.vectors(s, d), 3)), q(X.KNN, select=f"SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, round({_DOT}, 6) AS w FROM nodes a JOIN nodes b USING (graph_id)"))
-_add("minkowski_product_whole", lambda s, d: coo(linalg.minkowski_product(X.vectors(s, d), 3)), q(X.KNN, select="SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, round(greatest(-1e10, least(-1.0, a.x0 * b.x0 + a.x1 * b.x1 - a.x2 * b.x2)), 6) AS w FROM nodes a JOIN nodes b USING (graph_id)"))
+_add("inner_product", lambda s, d: coo(linalg.inner_product(X.vectors(s, d), 3)), q(X.KNN, select=f"SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, round({_DOT}, 6) AS w FROM nodes a JOIN nodes b USING (graph_id)"))
+_add("minkowski_product", lambda s, d: coo(linalg.minkowski_product(X.vectors(s, d), 3)), q(X.KNN, select="SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, round(greatest(-1e10, least(-1.0, a.x0 * b.x0 + a.x1 * b.x1 - a.x2 * b.x2)), 6) AS w FROM nodes a JOIN nodes b USING (graph_id)"))
 
 # -- building edges ------------------------------------------------------------------------------------------
 
 _add_knn("knn_graph", lambda x: lambda s, d: x(s, d).edges.select("graph_id", "src", "dst", F.round(F.col("e")[0], 6).alias("d2")), q(X.KNN, select="SELECT graph_id, src, dst, round(e0, 6) AS d2 FROM edges"))
 _add_knn("symmetrize_clip", lambda x: lambda s, d: coo(T.symmetrised(x(s, d).edges)), q(X.KNN, select="SELECT graph_id, src, dst, 1.0::DOUBLE AS w FROM edges UNION SELECT graph_id, dst, src, 1.0 FROM edges"))
-_add("edge_reorder", _S(lambda g: coo(T.reordered(g.edges))), q(X.SESSIONS, select="SELECT graph_id, src, dst, w FROM edges ORDER BY 1, 2, 3"))
+
+
+def _reordered(g: GraphSet) -> DataFrame:
+    """The rows numbered as they come out of the operator."""
+    placed = coo(T.reordered(g.edges)).withColumn("_at", F.monotonically_increasing_id())
+    return placed.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
+_add("edge_reorder", _S(_reordered), q(X.SESSIONS, select="SELECT graph_id, src, dst, w, row_number() OVER (ORDER BY graph_id, src, dst) AS place FROM edges"))
 _add("coo_dedup", lambda s, d: coo(filters.summed(X.table(s, d, "lineitem").select(F.lit(0).cast("long").alias("graph_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("w")))), "SELECT 0 AS graph_id, l_suppkey AS src, l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY ALL HAVING sum(l_quantity) <> 0")
 
 # -- transforms ------------------------------------------------------------------------------------------------
@@ -258,17 +271,17 @@ _O = lambda f: lambda s, d: f(X.orders(s, d))
 _add("ds_counts", _O(lambda g: g.counts()), q(X.ORDERS, select="SELECT graph_id, n AS n_nodes, 2 * (n - 1) AS n_edges FROM sizes"))
 _add("ds_map_reduce", _O(lambda g: g.map(T.max_degree, F.max("max_degree").alias("top"))), q(X.ORDERS, deg(), select="SELECT max(d) AS top FROM deg"))
 _add("ds_filter", _O(lambda g: g.filter(lambda h: h.counts().where("n_nodes >= 5")).nodes.groupBy("graph_id").agg(F.count("*").alias("n"))), q(X.ORDERS, select="SELECT graph_id, n FROM sizes WHERE n >= 5"))
-_add("ds_concat", lambda s, d: (lambda g: g.concat(g, 10_000_000).counts())(X.orders(s, d)), q(X.ORDERS, select="SELECT graph_id + o AS graph_id, n AS n_nodes, 2 * (n - 1) AS n_edges FROM sizes, (VALUES (0), (10000000)) t(o)"))
+_add("ds_concat", lambda s, d: (lambda g: g.concat(g).counts())(X.orders(s, d)), q(X.ORDERS, select="SELECT graph_id + o AS graph_id, n AS n_nodes, 2 * (n - 1) AS n_edges FROM sizes, (SELECT 0 AS o UNION ALL SELECT max(o_orderkey) + 1 FROM orders)"))
 _add("ds_index", lambda s, d: X.turns(s, d).take_ids([3, 1, 3, 0]).counts(), q(X.TURNS, select="SELECT k AS graph_id, n AS n_nodes, 2 * (n - 1) AS n_edges FROM (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1) JOIN (VALUES (0::BIGINT, 3), (1, 1), (2, 3), (3, 0)) t(k, g) ON g = graph_id"))
 _add("ds_slice", lambda s, d: X.turns(s, d).between(10, 20).counts(), q(X.TURNS, select="SELECT graph_id, count(*) AS n_nodes, 2 * (count(*) - 1) AS n_edges FROM nodes WHERE graph_id >= 10 AND graph_id < 20 GROUP BY 1"))
 
 
 def _split(s: SparkSession, d: str) -> DataFrame:
     a, b = X.orders(s, d).split(0.8)
-    return a.counts().unionByName(b.counts())
+    return a.counts().withColumn("first", F.lit(True)).unionByName(b.counts().withColumn("first", F.lit(False)))
 
 
-_add("ds_split", _split, q(X.ORDERS, select="SELECT graph_id, n AS n_nodes, 2 * (n - 1) AS n_edges FROM sizes"))
+_add("ds_split", _split, q(X.ORDERS, select=f"SELECT graph_id, n AS n_nodes, 2 * (n - 1) AS n_edges, {draw(0, 'graph_id')} < 0.8 AS first FROM sizes"))
 
 # -- layouts ---------------------------------------------------------------------------------------------------------
 
@@ -283,11 +296,10 @@ _add("batch_mask", lambda s, d: wide(layouts.padded_nodes(X.turns(s, d), True),
 def _packed(s: SparkSession, d: str) -> DataFrame:
     g = X.turns(s, d)
     largest = g.nodes.groupBy("graph_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    # nine places at least, as in the SQL; more where a conversation is longer
-    return wide(layouts.padded_nodes(g, n_max=max(9, largest)), 2, ("graph_id", "pos"))
+    return wide(layouts.padded_nodes(g, n_max=largest), 2, ("graph_id", "pos"))
 
 
-_add("packed_pad", _packed, q(X.TURNS, "frame AS (SELECT graph_id, unnest(range(9)) AS pos FROM (SELECT DISTINCT graph_id FROM nodes))", select="SELECT f.graph_id, f.pos, coalesce(x0, 0.0) AS x0, coalesce(x1, 0.0) AS x1 FROM frame f LEFT JOIN nodes n ON n.graph_id = f.graph_id AND n.node_id = f.pos"))
+_add("packed_pad", _packed, q(X.TURNS, FRAME, select="SELECT f.graph_id, f.pos, coalesce(x0, 0.0) AS x0, coalesce(x1, 0.0) AS x1 FROM frame f LEFT JOIN nodes n ON n.graph_id = f.graph_id AND n.node_id = f.pos"))
 _add("batch_adjacency", lambda s, d: layouts.padded_adjacency(X.turns(s, d)), q(X.TURNS, select="SELECT graph_id, src AS i, dst AS j, w FROM edges"))
 _add("mixed_layout", lambda s, d: (lambda g: wide(layouts.mixed(g[1], g[0].edges, 2), 2))(X.sessions(s, d)), q(X.SESSIONS, select="SELECT s.graph_id, e.src AS node_id, sum(e.w * s.x0) AS x0, sum(e.w * s.x1) AS x1 FROM edges e JOIN signals s ON s.node_id = e.dst GROUP BY ALL"))
 _add("loader_batches", _O(lambda g: layouts.batches(g.nodes.select("graph_id").distinct(), 32, 2)), q(X.ORDERS, select="SELECT epoch, (row_number() OVER (PARTITION BY epoch ORDER BY graph_id) - 1) // 32 AS batch_id, graph_id FROM sizes, (VALUES (0), (1)) t(epoch)"))
@@ -365,33 +377,72 @@ def weighed(score: str, src: str = "pr", out: str = "wt") -> str:
 _add_knn("conv_agnn", lambda x: _conv("agnn", lambda g: conv.agnn_conv(g), 3, x), q(X.KNN, PAIR, weighed(_COS), gathered("h", [f"alpha * s{i}" for i in range(3)], "wt"), select=out_x("h", 3)))
 
 
-def _gat_sql() -> str:
+def _gat_sql(select: str) -> str:
     parts = [X.KNN, "le AS (SELECT graph_id, src, dst FROM edges UNION ALL SELECT graph_id, node_id, node_id FROM nodes)"]
     for h in range(2):
         a, b = ([r[0] for r in W(2, 1, 3 * h + i)] for i in (1, 2))
         score = act("(" + " + ".join([f"t{i} * ({a[i]})" for i in range(2)] + [f"s{i} * ({b[i]})" for i in range(2)]) + ")", "leaky")
         parts += [proj(f"p{h}", "nodes", lin(xs(3), W(3, 2, 3 * h))), f"g{h} AS (SELECT e.graph_id, e.src, e.dst, " + ", ".join(f"s.x{i} AS s{i}, t.x{i} AS t{i}" for i in range(2)) + f" FROM le e JOIN p{h} s ON s.graph_id = e.graph_id AND s.node_id = e.src JOIN p{h} t ON t.graph_id = e.graph_id AND t.node_id = e.dst)", weighed(score, f"g{h}", f"w{h}"), gathered(f"h{h}", [f"alpha * s{i}" for i in range(2)], f"w{h}")]
-    return q(*parts, select="SELECT graph_id, node_id, round(a.x0, 6) AS x0, round(a.x1, 6) AS x1, round(b.x0, 6) AS x2, round(b.x1, 6) AS x3 FROM h0 a JOIN h1 b USING (graph_id, node_id)")
+    return q(*parts, select=select)
 
 
-_add_knn("conv_gat", lambda x: _conv("gat", lambda g: conv.gat_conv(g, 2, 2), 4, x), _gat_sql())
+_add_knn("conv_gat", lambda x: _conv("gat", lambda g: conv.gat_conv(g, 2, 2), 4, x), _gat_sql("SELECT graph_id, node_id, round(a.x0, 6) AS x0, round(a.x1, 6) AS x1, round(b.x0, 6) AS x2, round(b.x1, 6) AS x3 FROM h0 a JOIN h1 b USING (graph_id, node_id)"))
 _PRELU = lambda c: f"greatest({c}, 0.0)"
 _add_knn("conv_general", lambda x: _conv("general", lambda g: conv.general_conv(g, 2), 2, x), q(X.KNN, PAIR, gathered("h", [_PRELU(c) for c in lin(xs(3, "s"), W(3, 2))]), select=out_x("h", 2)))
 _ECCK = W(1, 6)
 _add_knn("conv_ecc", lambda x: _conv("ecc", lambda g: conv.ecc_conv(g, 2), 2, x), q(X.KNN, PAIR, gathered("h", [" + ".join(f"s{i} * e0 * ({_ECCK[0][i * 2 + j]})" for i in range(3)) for j in range(2)]), proj("r", both("h", "nodes", 2, 3), _add2(xs(2), lin(xs(3, "y"), W(3, 2, 1)))), select=out_x("r", 2)))
-_add("conv_gated", lambda s, d: wide(conv.gated_conv(X.turns(s, d), 3, 2), 3))
-_add("conv_xenet", lambda s, d: wide(conv.xenet_conv(X.turns(s, d), 3, 2, 2)[0], 2))
-_add("conv_xenet_edges", lambda s, d: conv.xenet_conv(X.turns(s, d), 3, 2, 2)[1].select("graph_id", "src", "dst", F.round(F.col("e")[0], 6).alias("x0"), F.round(F.col("e")[1], 6).alias("x1")))
 
 
-def _censnet(s: SparkSession, d: str) -> DataFrame:
-    g = X.turns(s, d)
-    upper = g.edges.where("src < dst").withColumn("node_id", F.col("src"))
-    edge_nodes = upper.select("graph_id", "node_id", F.col("e").alias("x"))
-    return wide(conv.censnet_conv(g, edge_nodes, 2, 2)[0], 2)
+def _gated_sql(c: int = 3, layers: int = 2) -> str:
+    parts = [X.TURNS, "h0 AS (SELECT graph_id, node_id, x0, x1, 0.0::DOUBLE AS x2 FROM nodes)"]
+    for k in range(layers):
+        gate = [(lin(xs(c), W(c, c, 20 + i)), lin(xs(c, "y"), W(c, c, 30 + i))) for i in range(3)]
+        z, r = ([act(f"({a} + {b})", "sigmoid") for a, b in zip(*gate[i], strict=True)] for i in (0, 1))
+        new = [f"tanh({a} + {g} * {b})" for a, b, g in zip(*gate[2], r, strict=True)]
+        parts += [proj(f"p{k}", f"h{k}", lin(xs(c), W(c, c, k))), spmm(f"m{k}", "edges", f"p{k}", c, "dst", "")]
+        parts += [proj(f"h{k + 1}", both(f"m{k}", f"h{k}", c, c), [f"({u} * y{i} + (1 - {u}) * {v})" for i, (u, v) in enumerate(zip(z, new, strict=True))])]
+    return q(*parts, select=out_x(f"h{layers}", c))
+
+
+_add("conv_gated", lambda s, d: wide(conv.gated_conv(X.turns(s, d), 3, 2), 3), _gated_sql())
+_XEIN = [f"s.x{i}" for i in range(2)] + [f"t.x{i}" for i in range(2)] + ["e.e0", "e.e1"] + [f"coalesce(r.e{i}, 0.0)" for i in range(2)]
+_XEK = "k AS (SELECT e.graph_id, e.src, e.dst, " + ", ".join(f"greatest({c}, 0.0) AS k{i}" for i, c in enumerate(lin(_XEIN, W(8, 3)))) + " FROM edges e JOIN nodes s ON s.graph_id = e.graph_id AND s.node_id = e.src JOIN nodes t ON t.graph_id = e.graph_id AND t.node_id = e.dst LEFT JOIN edges r ON r.graph_id = e.graph_id AND r.src = e.dst AND r.dst = e.src)"
+
+
+def _xenet_sum(out: str, into: str, layer: int) -> str:
+    gate = act(lin(xs(3, "k"), W(3, 1, layer))[0], "sigmoid")
+    sums = ", ".join(f"sum({gate} * k{i}) AS a{i}" for i in range(3))
+    return f"{out} AS (SELECT u.graph_id, u.node_id, " + ", ".join(f"coalesce(a{i}, 0.0) AS x{i}" for i in range(3)) + f" FROM nodes u LEFT JOIN (SELECT graph_id, {into} AS node_id, {sums} FROM k GROUP BY ALL) t USING (graph_id, node_id))"
 
 
-_add("conv_censnet", _censnet)
+_XEOUT = lin(xs(2, "n.x") + xs(3, "i.x") + xs(3, "o.x"), W(8, 2, 3))
+_add("conv_xenet", lambda s, d: wide(conv.xenet_conv(X.turns(s, d), 3, 2, 2)[0], 2), q(X.TURNS, _XEK, _xenet_sum("i", "dst", 1), _xenet_sum("o", "src", 2), select="SELECT n.graph_id, n.node_id, " + ", ".join(f"round({c}, 6) AS x{j}" for j, c in enumerate(_XEOUT)) + " FROM nodes n JOIN i USING (graph_id, node_id) JOIN o USING (graph_id, node_id)"))
+_add("conv_xenet_edges", lambda s, d: conv.xenet_conv(X.turns(s, d), 3, 2, 2)[1].select("graph_id", "src", "dst", F.round(F.col("e")[0], 6).alias("x0"), F.round(F.col("e")[1], 6).alias("x1")), q(X.TURNS, _XEK, select="SELECT graph_id, src, dst, " + ", ".join(f"round({c}, 6) AS x{j}" for j, c in enumerate(lin(xs(3, "k"), W(3, 2, 4)))) + " FROM k"))
+
+
+def _censnet(which: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        g = X.turns(s, d)
+        upper = g.edges.where("src < dst").withColumn("node_id", F.col("src"))
+        return wide(conv.censnet_conv(g, upper.select("graph_id", "node_id", F.col("e").alias("x")), 2, 2)[which], 2)
+
+    return run
+
+
+def _censnet_sql(nodes_out: bool) -> str:
+    line_ = "lg AS (SELECT graph_id, src, dst, n - (CASE WHEN src = dst THEN 2 ELSE 0 END) AS w FROM (SELECT a.graph_id, a.edge_id AS src, b.edge_id AS dst, count(*)::DOUBLE AS n FROM inc a JOIN inc b USING (graph_id, node_id) GROUP BY ALL) WHERE n - (CASE WHEN src = dst THEN 2 ELSE 0 END) <> 0)"
+    parts = [X.TURNS, INC, line_, "en AS (SELECT graph_id, src AS node_id, e0 AS x0, e1 AS x1 FROM edges WHERE src < dst)"]
+    a, b, own, other, edges, layer = ("node_id", "edge_id", "nodes", "en", "edges", 0) if nodes_out else ("edge_id", "node_id", "en", "nodes", "lg", 5)
+    parts += [f"fe AS (SELECT graph_id, src, dst, w FROM {edges} WHERE src <> dst OR {not nodes_out} UNION ALL SELECT graph_id, node_id, node_id, 1.0 FROM {own})", "fl AS (SELECT graph_id, src, dst, sum(w) AS w FROM fe GROUP BY ALL)"]
+    parts += [f"fd AS (SELECT n.graph_id, n.node_id, coalesce(sum(e.w), 0.0) AS d FROM {own} n LEFT JOIN fl e ON e.graph_id = n.graph_id AND e.src = n.node_id GROUP BY ALL)", norm("lap", "fl", "fd")]
+    parts += [f"wt AS (SELECT graph_id, node_id AS k, {lin(xs(2), W(2, 1, layer))[0]} AS p FROM {other})"]
+    parts += [f"cells AS (SELECT x.graph_id, x.{a} AS src, y.{a} AS dst, sum(p) AS c FROM inc x JOIN inc y ON x.graph_id = y.graph_id AND x.{b} = y.{b} JOIN wt ON wt.graph_id = x.graph_id AND wt.k = x.{b} GROUP BY ALL)"]
+    parts += ["jn AS (SELECT l.graph_id, l.src, l.dst, l.w * c.c AS w FROM lap l JOIN cells c USING (graph_id, src, dst))", proj("pj", own, lin(xs(2), W(2, 2, layer + 1))), spmm("h", "jn", "pj", 2, universe=own)]
+    return q(*parts, select=out_x("h", 2))
+
+
+_add("conv_censnet", _censnet(0), _censnet_sql(True))
+_add("conv_censnet_edges", _censnet(1), _censnet_sql(False))
 
 # -- pools -----------------------------------------------------------------------------------------------------------------
 
@@ -439,13 +490,34 @@ def _pool_edges(f: Callable[[GraphSet], pool.Pooled]) -> Callable[[SparkSession,
 
 _add("pool_dmon_connect", _pool_edges(lambda g: pool.dmon_pool(g, 2)), q(TS, SOFT, ES, select=" UNION ALL ".join(f"SELECT graph_id, {i} AS src, {j} AS dst, round(sum(a{i} * w * b{j}), 6) AS w FROM es GROUP BY 1" for i in range(2) for j in range(2))))
 _add("pool_mincut_reduce", lambda s, d: wide(pool.mincut_pool(_scaled(X.turns(s, d)), 2).nodes, 2), q(TS, SOFT, select=" UNION ALL ".join(f"SELECT graph_id, {i} AS node_id, round(sum(s{i} * x0), 6) AS x0, round(sum(s{i} * x1), 6) AS x1 FROM so GROUP BY 1" for i in range(2))))
-_add("pool_diff", _loss(lambda g: pool.diff_pool(g, 2, 2), "link_loss", "entropy_loss"))
-_add("pool_la", lambda s, d: wide(pool.la_pool(_scaled(X.turns(s, d))).nodes, 2))
+_DSO = f"so AS (SELECT graph_id, node_id, {named(softmax(xs(2)), 's')} FROM h)"
+_add("pool_diff", _loss(lambda g: pool.diff_pool(g, 2, 2), "link_loss", "entropy_loss"), q(TS, EYE, PLUS, deg("looped", "ldeg"), norm_eps("aa", "looped", "ldeg"), proj("p", "nodes", lin(xs(2), W(2, 2))), spmm("h", "aa", "p", 2), _DSO, ES, ESUM, GRAM, "en AS (SELECT graph_id, avg(-s0 * ln(s0 + 1e-7) - s1 * ln(s1 + 1e-7)) AS entropy FROM so GROUP BY 1)", select="SELECT graph_id, round(sqrt(greatest(0.0, ww - 2 * ab + g00 * g00 + 2 * g01 * g01 + g11 * g11)), 6) AS link_loss, round(entropy, 6) AS entropy_loss FROM eg JOIN gr USING (graph_id) JOIN en USING (graph_id)"))
+_LAV = "lv AS (SELECT n.graph_id, n.node_id, n.x0, n.x1, sqrt(power(d.d * n.x0 - h.x0, 2) + power(d.d * n.x1 - h.x1, 2)) AS v FROM nodes n JOIN deg d USING (graph_id, node_id) JOIN h USING (graph_id, node_id))"
+_LAL = "ld AS (SELECT l.graph_id, l.node_id, l.x0, l.x1, row_number() OVER (PARTITION BY l.graph_id ORDER BY l.node_id) - 1 AS cluster FROM lv l LEFT JOIN (SELECT e.graph_id, e.src AS node_id, max(o.v) AS o FROM edges e JOIN lv o ON o.graph_id = e.graph_id AND o.node_id = e.dst GROUP BY ALL) b USING (graph_id, node_id) WHERE b.o IS NULL OR l.v >= b.o)"
+_LAC = f"cs AS (SELECT n.graph_id, n.node_id AS src, l.node_id AS dst, l.cluster, n.x0, n.x1, (n.x0 * l.x0 + n.x1 * l.x1) / {l2(['n.x0', 'n.x1'])} / {l2(['l.x0', 'l.x1'])} AS sc FROM nodes n JOIN ld l USING (graph_id))"
+_LAP = "sm AS (SELECT *, exp(sc - m) / (sum(exp(sc - m)) OVER (PARTITION BY graph_id, src) + 1e-9) AS p FROM (SELECT *, max(sc) OVER (PARTITION BY graph_id, src) AS m FROM cs))"
+#: Turns stand in chains of edges of weight 1, so the distance of two of them is the difference of their places.
+_LAS = "sf AS (SELECT s.*, CASE WHEN l.node_id IS NOT NULL THEN (s.src = s.dst)::INT::DOUBLE WHEN s.src = s.dst THEN 0.0 ELSE s.p / abs(s.src - s.dst) END AS s FROM sm s LEFT JOIN ld l ON l.graph_id = s.graph_id AND l.node_id = s.src)"
+_add("pool_la", lambda s, d: wide(pool.la_pool(_scaled(X.turns(s, d))).nodes, 2), q(TS, deg(), spmm("h", "edges", "nodes", 2), _LAV, _LAL, _LAC, _LAP, _LAS, select="SELECT graph_id, cluster AS node_id, round(sum(s * x0), 6) AS x0, round(sum(s * x1), 6) AS x1 FROM sf GROUP BY ALL"))
 
 # -- models and measures ----------------------------------------------------------------------------------------------------
 
 _add("model_gcn", lambda s, d: wide(models.gcn_model(conv.preprocess("gcn", _scaled(X.turns(s, d))), 2, 3), 2), q(TS, GCN, proj("p", "nodes", lin(xs(2), W(2, 3))), spmm("h", "ahat", "p", 3), proj("r", "h", [act(c, "relu") for c in xs(3)]), proj("p2", "r", lin(xs(3), W(3, 2, 1))), spmm("h2", "ahat", "p2", 2), proj("z", "h2", softmax(xs(2))), select=out_x("z", 2)))
-_add("model_general_gnn", lambda s, d: wide(models.general_gnn(_scaled(X.turns(s, d)), 2, 4), 2))
+
+
+def _general_sql(hidden: int = 4) -> str:
+    relu = lambda cols: [act(c, "relu") for c in cols]
+    parts, width = [TS, proj("c0", "nodes", relu(lin(xs(2), W(2, hidden))))], hidden
+    for k in range(2):
+        parts += [proj(f"p{k}", f"c{k}", relu(lin(xs(width), W(width, hidden, k + 1)))), spmm(f"z{k}", "edges", f"p{k}", hidden, "dst", "")]
+        parts += [proj(f"c{k + 1}", both(f"z{k}", f"c{k}", hidden, width), xs(hidden) + xs(width, "y"))]
+        width += hidden
+    parts += ["rd AS (SELECT graph_id, 0::BIGINT AS node_id, " + ", ".join(f"sum(x{i}) AS x{i}" for i in range(width)) + " FROM c2 GROUP BY 1)"]
+    parts += [proj("m1", "rd", relu(lin(xs(width), W(width, hidden, 7)))), proj("m2", "m1", lin(xs(hidden), W(hidden, 2, 8))), proj("out_", "m2", softmax(xs(2)))]
+    return q(*parts, select=out_x("out_", 2))
+
+
+_add("model_general_gnn", lambda s, d: wide(models.general_gnn(_scaled(X.turns(s, d)), 2, 4), 2), _general_sql())
 _add("sgc_features", lambda s, d: wide(models.sgc_features(conv.preprocess("gcn", X.trade(s, d)), 2), 3), q(X.TRADE, GCN, spmm("h1", "ahat", "nodes", 3), spmm("h2", "ahat", "h1", 3), select=out_x("h2", 3)))
 _add("khop_subgraph", lambda s, d: coo(models.k_hop_subgraph(X.trade(s, d).edges, 1, 2)), q(X.TRADE, "reached AS (SELECT 1::BIGINT AS n UNION SELECT dst FROM edges WHERE src = 1)", select="SELECT DISTINCT graph_id, src, dst, sign(w)::DOUBLE AS w FROM edges WHERE src IN (SELECT n FROM reached) OR dst IN (SELECT n FROM reached)"))
 _WALK = """, walk AS (SELECT graph_id, node_id, node_id AS component FROM nodes
@@ -459,10 +531,11 @@ _add("cluster_metrics", lambda s, d: models.cluster_metrics(X.table(s, d, "order
 _add("mask_weights", _S(lambda g: models.mask_weights(g.nodes.select("graph_id", "node_id", (F.col("node_id") < 2).alias("mask")))), q(X.SESSIONS, select="SELECT graph_id, node_id, node_id < 2 AS mask, (node_id < 2)::INT / 2.0 AS sample_weight FROM nodes"))
 
 _add("graph_masking", lambda s, d: wide(layouts.masked(layouts.padded_nodes(X.turns(s, d), True), 3), 2, ("graph_id", "pos")), q(X.TURNS, select="SELECT graph_id, node_id AS pos, x0, x1 FROM nodes"))
-_add("sparse_dropout", _trade(lambda g: coo(linalg.sparse_dropout(g.edges, 0.5, 3))))
-_add("flip_edges", lambda s, d: coo(T.flip_edges(X.turns(s, d).edges, X.turns(s, d).nodes, 0.1)))
-_add("random_graphs", lambda s, d: coo(T.random_graphs(s, 50, 20, 0.2).edges))
-_add("ds_shuffle", lambda s, d: X.turns(s, d).shuffled(1).counts())
-_add("loader_shuffled", _O(lambda g: layouts.batches(g.nodes.select("graph_id").distinct(), 32, 2, True, 7)))
-_add("largest_eigenvalue", lambda s, d: filters.largest_eigenvalue(filters.normalized_laplacian(X.turns(s, d).edges, X.turns(s, d).nodes)).select("graph_id", F.round("lmax", 6).alias("lmax")))
-_add_knn("gat_attention", lambda x: lambda s, d: conv.gat_conv(x(s, d), 2, return_attention=True)[1].select("graph_id", "src", "dst", F.round("alpha", 6).alias("alpha")))
+_add("sparse_dropout", _trade(lambda g: coo(linalg.sparse_dropout(g.edges, 0.5, 3))), q(X.TRADE, select=f"SELECT graph_id, src, dst, round(w / 0.5, 6) AS w FROM edges WHERE {draw(3, 'graph_id', 'src', 'dst')} >= 0.5"))
+_add("flip_edges", lambda s, d: coo(T.flip_edges(X.turns(s, d).edges, X.turns(s, d).nodes, 0.1)), q(X.TURNS, f"fl AS (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst FROM nodes a JOIN nodes b USING (graph_id) WHERE {draw(0, 'a.graph_id', 'a.node_id', 'b.node_id')} < 0.1)", select="SELECT graph_id, src, dst, w FROM edges e WHERE NOT EXISTS (SELECT 1 FROM fl WHERE fl.graph_id = e.graph_id AND fl.src = e.src AND fl.dst = e.dst) UNION ALL SELECT graph_id, src, dst, 1.0 FROM fl WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE fl.graph_id = e.graph_id AND fl.src = e.src AND fl.dst = e.dst)"))
+_add("random_graphs", lambda s, d: coo(T.random_graphs(s, 50, 20, 0.2).edges), f"WITH u AS (SELECT g AS graph_id, i AS src, j AS dst FROM range(50) a(g), range(20) b(i), range(20) c(j) WHERE i < j AND {draw(0, 'g', 'i', 'j', '1')} < 0.2) SELECT graph_id, src, dst, 1.0::DOUBLE AS w FROM u UNION ALL SELECT graph_id, dst, src, 1.0 FROM u")
+_add("ds_shuffle", lambda s, d: X.turns(s, d).shuffled(1).counts(), q(X.TURNS, select=f"SELECT row_number() OVER (ORDER BY {draw(1, 'graph_id')}, graph_id) - 1 AS graph_id, n AS n_nodes, 2 * (n - 1) AS n_edges FROM (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1)"))
+_add("loader_shuffled", _O(lambda g: layouts.batches(g.nodes.select("graph_id").distinct(), 32, 2, True, 7)), q(X.ORDERS, select=f"SELECT epoch, (row_number() OVER (PARTITION BY epoch ORDER BY {draw(7, 'epoch', 'graph_id')}, graph_id) - 1) // 32 AS batch_id, graph_id FROM sizes, (VALUES (0), (1)) t(epoch)"))
+#: Chains are bipartite: the largest eigenvalue of their normalised Laplacian is 2 (1 for a single node).
+_add("largest_eigenvalue", lambda s, d: filters.largest_eigenvalue(filters.normalized_laplacian(X.turns(s, d).edges, X.turns(s, d).nodes)).select("graph_id", F.round("lmax", 6).alias("lmax")), q(X.TURNS, select="SELECT graph_id, CASE WHEN count(*) > 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS lmax FROM nodes GROUP BY 1"))
+_add_knn("gat_attention", lambda x: lambda s, d: conv.gat_conv(x(s, d), 2, return_attention=True)[1].select("graph_id", "src", "dst", F.round("alpha", 6).alias("alpha")), _gat_sql("SELECT graph_id, src, dst, round(alpha, 6) AS alpha FROM w0"))

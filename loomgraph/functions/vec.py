@@ -20,6 +20,12 @@ def dyadic(n_in: int, n_out: int, layer: int = 0) -> list[list[float]]:
     return [[((7 * i + 13 * j + 3 * layer) % 11 - 5) / 8 for j in range(n_out)] for i in range(n_in)]
 
 
+def uniform(seed: int, *keys: Column | str | int) -> Column:
+    """A number in [0, 1) that only the seed and the keys decide: the first 48 bits of an MD5 digest."""
+    text = F.concat_ws("|", *[(F.lit(k) if isinstance(k, int) else F.col(k) if isinstance(k, str) else k).cast("string") for k in (seed, *keys)])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def items(x: Column | str, n: int) -> list[Column]:
     c = F.col(x) if isinstance(x, str) else x
     return [c[i] for i in range(n)]

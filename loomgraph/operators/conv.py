@@ -235,26 +235,23 @@ def gat_conv(g: GraphSet, channels: int, heads: int = 1, concat: bool = True, ad
     n = g.n_features
     edges = g.edges.select(*filters.COO)
     edges = filters.fill_self_loops(edges, g.nodes) if add_loops else edges
-    outs, attention = [], []
-    for h in range(heads):
-        x = project(g.nodes, n, V.dyadic(n, channels, 3 * h))
-        a_self, a_near = ([r[0] for r in V.dyadic(channels, 1, 3 * h + i)] for i in (1, 2))
-        rows = linalg.gather(linalg.gather(edges, x, "src", "_s"), x, "dst", "_t")
-        weight = lambda v, a: V.total([p * F.lit(float(c)) for p, c in zip(V.items(v, channels), a, strict=True)])
-        weighed = linalg.segment_softmax(rows, "dst", V.ACTIVATIONS["leaky_relu"](weight("_t", a_self) + weight("_s", a_near)))
-        attention.append(weighed.select("graph_id", "src", "dst", F.lit(h).alias("head"), "alpha"))
-        outs.append(linalg.scatter(weighed, "dst", [F.col("alpha") * p for p in V.items("_s", channels)], g.nodes))
-    rows = outs[0].select("graph_id", "node_id", F.col("x").alias("_h0"))
-    for h, o in enumerate(outs[1:], 1):
-        rows = rows.join(o.select("graph_id", "node_id", F.col("x").alias(f"_h{h}")), ["graph_id", "node_id"])
-    parts = [c for h in range(heads) for c in V.items(f"_h{h}", channels)] if concat else [V.total(c) / float(heads) for c in zip(*[V.items(f"_h{h}", channels) for h in range(heads)], strict=True)]
-    out = _done(rows, V.activate([p + (b[j] if b else 0.0) for j, p in enumerate(parts)], activation))
+    # all heads stand in one row: two gathers, one softmax and one scatter, however many there are
+    w = [sum((V.dyadic(n, channels, 3 * h)[i] for h in range(heads)), []) for i in range(n)]
+    x = project(g.nodes, n, w)
+    rows = linalg.gather(linalg.gather(edges, x, "src", "_s"), x, "dst", "_t")
+    own, near = V.items("_t", heads * channels), V.items("_s", heads * channels)
+    head = lambda parts, h: parts[h * channels : (h + 1) * channels]
+    weight = lambda parts, layer: V.total([p * F.lit(float(r[0])) for p, r in zip(parts, V.dyadic(channels, 1, layer), strict=True)])
+    scores = [V.ACTIVATIONS["leaky_relu"](weight(head(own, h), 3 * h + 1) + weight(head(near, h), 3 * h + 2)) for h in range(heads)]
+    weighed = linalg.segment_softmaxes(rows, "dst", scores)
+    messages = [F.col("alphas")[h] * p for h in range(heads) for p in head(near, h)]
+    gathered = linalg.scatter(weighed, "dst", messages, g.nodes)
+    parts = V.items("x", heads * channels)
+    parts = parts if concat else [V.total([head(parts, h)[j] for h in range(heads)]) / float(heads) for j in range(channels)]
+    out = _done(gathered, V.activate([p + (b[j] if b else 0.0) for j, p in enumerate(parts)], activation))
     if not return_attention:
         return out
-    coefficients = attention[0]
-    for a in attention[1:]:
-        coefficients = coefficients.unionByName(a)
-    return out, coefficients
+    return out, weighed.select("graph_id", "src", "dst", F.posexplode("alphas").alias("head", "alpha"))
 
 
 def ecc_conv(g: GraphSet, channels: int, kernel=None, root=None, b=None, activation=None) -> DataFrame:

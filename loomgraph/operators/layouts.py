@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import vec as V
 from loomgraph.operators import linalg
 from loomgraph.operators.model import GraphSet
 
 
 def batches(ids: DataFrame, batch_size: int, epochs: int = 1, shuffle: bool = False, seed: int = 0) -> DataFrame:
     """(epoch, batch_id, graph_id): the last batch of an epoch may be short; shuffling is by hash."""
-    order = [F.xxhash64(F.lit(seed), "epoch", "graph_id"), "graph_id"] if shuffle else ["graph_id"]
+    order = [V.uniform(seed, "epoch", "graph_id"), "graph_id"] if shuffle else ["graph_id"]
     rows = ids.select("graph_id").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     n = F.row_number().over(Window.partitionBy("epoch").orderBy(*order))
     return rows.withColumn("batch_id", F.floor((n - 1) / batch_size).cast("long")).select("epoch", "batch_id", "graph_id")

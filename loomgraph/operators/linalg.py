@@ -76,6 +76,16 @@ def matrix_power(a: DataFrame, k: int) -> DataFrame:
     return out
 
 
+def segment_softmaxes(rows: DataFrame, key: str, scores: list[Column], alias: str = "alphas") -> DataFrame:
+    """Softmax of several scores over the rows of each (graph, key) as one array; two aggregates, whatever their number."""
+    n = range(len(scores))
+    scored = rows.withColumn("_e", V.vec(scores))
+    top = scored.groupBy("graph_id", key).agg(*[F.max(F.col("_e")[i]).alias(f"_m{i}") for i in n])
+    raised = scored.join(top, ["graph_id", key]).withColumn("_e", V.vec([F.exp(F.col("_e")[i] - F.col(f"_m{i}")) for i in n])).drop(*[f"_m{i}" for i in n])
+    total = raised.groupBy("graph_id", key).agg(*[F.sum(F.col("_e")[i]).alias(f"_z{i}") for i in n])
+    return raised.join(total, ["graph_id", key]).withColumn(alias, V.vec([F.col("_e")[i] / (F.col(f"_z{i}") + 1e-9) for i in n])).drop("_e", *[f"_z{i}" for i in n])
+
+
 def segment_softmax(edges: DataFrame, key: str, score: Column, name: str = "alpha") -> DataFrame:
     """exp(s - max) / (sum + 1e-9) over the rows of a key.
 
@@ -141,5 +151,4 @@ def minkowski_product(nodes: DataFrame, n: int) -> DataFrame:
 
 def sparse_dropout(edges: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     """Drops edges by a hash of their ends; the others grow by 1 / (1 - rate)."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), "graph_id", "src", "dst"), F.lit(1_000_000)) / 1_000_000
-    return edges.where(draw >= rate).withColumn("w", F.col("w") / (1 - rate))
+    return edges.where(V.uniform(seed, "graph_id", "src", "dst") >= rate).withColumn("w", F.col("w") / (1 - rate))

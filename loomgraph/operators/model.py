@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import vec as V
+
 
 @dataclass(frozen=True)
 class GraphSet:
@@ -119,20 +121,25 @@ class GraphSet:
         swap = lambda a, b: None if a is None or b is None else a.join(gone, "graph_id", "left_anti").unionByName(b, allowMissingColumns=True)
         return replace(self, nodes=swap(self.nodes, other.nodes), edges=swap(self.edges, other.edges), graphs=swap(self.graphs, other.graphs))
 
-    def concat(self, other: GraphSet, offset: int) -> GraphSet:
-        """All graphs of both; those of ``other`` are numbered from ``offset`` on."""
+    def concat(self, other: GraphSet, offset: int | None = None) -> GraphSet:
+        """All graphs of both; those of ``other`` are numbered from ``offset`` on, by default behind the last of these."""
+        last = self.ids().agg(F.max("graph_id")).first()[0]
+        least = 0 if last is None else last + 1
+        offset = least if offset is None else offset
+        if (other.ids().agg(F.min("graph_id")).first()[0] or 0) + offset < least:
+            raise ValueError(f"an offset under {least} would merge graphs")
         move = lambda df: df.withColumn("graph_id", F.col("graph_id") + offset)
         both = lambda a, b: None if a is None or b is None else a.unionByName(move(b), allowMissingColumns=True)
         return replace(self, nodes=both(self.nodes, other.nodes), edges=both(self.edges, other.edges), graphs=both(self.graphs, other.graphs))
 
     def split(self, share: float, seed: int = 0) -> tuple[GraphSet, GraphSet]:
         """By a hash of the id, alike on every run and cluster."""
-        bucket = F.pmod(F.xxhash64(F.lit(seed), "graph_id"), F.lit(1_000_000))
-        first = lambda df, yes: None if df is None else df.where((bucket < int(share * 1_000_000)) == F.lit(yes))
+        draw = V.uniform(seed, "graph_id")
+        first = lambda df, yes: None if df is None else df.where((draw < share) == F.lit(yes))
         return tuple(replace(self, nodes=first(self.nodes, y), edges=first(self.edges, y), graphs=first(self.graphs, y)) for y in (True, False))  # type: ignore[return-value]
 
     def shuffled(self, seed: int = 0) -> GraphSet:
         """Graphs numbered anew from 0 in an order that only the seed decides."""
-        order = self.ids().withColumn("new_id", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "graph_id"), "graph_id")).cast("long") - 1)
+        order = self.ids().withColumn("new_id", F.row_number().over(Window.orderBy(V.uniform(seed, "graph_id"), "graph_id")).cast("long") - 1)
         move = lambda df: None if df is None else df.join(order, "graph_id").drop("graph_id").withColumnRenamed("new_id", "graph_id")
         return replace(self, nodes=move(self.nodes), edges=move(self.edges), graphs=move(self.graphs))

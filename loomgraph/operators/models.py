@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vec as V
+from loomgraph.functions.shared import Rounds
 from loomgraph.operators import conv, linalg, pool
 from loomgraph.operators.model import GraphSet
 
@@ -64,13 +65,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph_id, node_id, component): the smallest node reachable over edges of either direction.
 
     Each round takes the smallest label among neighbours, hands it to the node whose label is replaced as well
-    (so long paths take few rounds), and then takes the label's own label, until no label changes.  Lineage is
-    cut in every round, by checkpoint() where a checkpoint folder is set.
+    (so long paths take few rounds), and then takes the label's own label, until no label changes.  Every
+    round's table is written and read again, and goes when the next one is written.
     """
-    e = edges.select("graph_id", "src", "dst").unionByName(linalg.transpose(edges.select("graph_id", "src", "dst"))).distinct().cache()
-    sc = nodes.sparkSession.sparkContext
-    saved = sc._jsc.sc().getCheckpointDir().isDefined()
-    state = nodes.select("graph_id", "node_id", F.col("node_id").alias("component"))
+    rounds = Rounds(nodes.sparkSession, "components")
+    e, e_path = rounds.table(edges.select("graph_id", "src", "dst").unionByName(linalg.transpose(edges.select("graph_id", "src", "dst"))).where("src <> dst").distinct(), "edges")
+    state, path = rounds.table(nodes.select("graph_id", "node_id", F.col("node_id").alias("component")), "state")
     before = None
     while True:
         near = e.join(state.select("graph_id", F.col("node_id").alias("dst"), "component"), ["graph_id", "dst"]).select("graph_id", F.col("src").alias("node_id"), "component", F.lit(None).cast("long").alias("_old"))
@@ -79,12 +79,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         state = low.drop("_old").unionByName(roots).groupBy("graph_id", "node_id").agg(F.min("component").alias("component"))
         over = state.select("graph_id", F.col("node_id").alias("component"), F.col("component").alias("_c"))
         state = state.join(over, ["graph_id", "component"]).select("graph_id", "node_id", F.least("component", "_c").alias("component"))
-        state = state.checkpoint() if saved else state.localCheckpoint()
+        state, now_path = rounds.table(state, "state")
+        rounds.drop(path)
+        path = now_path
         now = state.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
-    e.unpersist()
+    rounds.drop(e_path)
     return state
 
 

@@ -179,20 +179,21 @@ def grid_nodes(spark, side: int) -> DataFrame:
 def flip_edges(edges: DataFrame, nodes: DataFrame, p: float, seed: int = 0) -> DataFrame:
     """Toggles a share ``p`` of all cells of each graph's matrix, chosen by hash."""
     cells = nodes.select("graph_id", F.col("node_id").alias("src")).join(nodes.select("graph_id", F.col("node_id").alias("dst")), "graph_id")
-    flip = cells.where(F.pmod(F.xxhash64(F.lit(seed), "graph_id", "src", "dst"), F.lit(1_000_000)) < int(p * 1_000_000)).withColumn("_f", F.lit(True))
+    flip = cells.where(V.uniform(seed, "graph_id", "src", "dst") < p).withColumn("_f", F.lit(True))
     both = edges.select(*filters.COO).join(flip, ["graph_id", "src", "dst"], "full")
     return both.withColumn("w", F.when(F.col("_f").isNotNull() & F.col("w").isNotNull(), 0.0).when(F.col("w").isNotNull(), F.col("w")).otherwise(1.0)).drop("_f").where("w <> 0")
 
 
 def random_graphs(spark, n_graphs: int, n_nodes: int, p: float, seed: int = 0) -> GraphSet:
     """Undirected random graphs with a one-hot colour of three as features; hashes make them reproducible."""
-    h = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1_000_000)) / 1_000_000
+    h = lambda *c: V.uniform(seed, *c)
     nodes = spark.range(n_graphs * n_nodes).select(F.floor(F.col("id") / n_nodes).alias("graph_id"), F.pmod("id", F.lit(n_nodes)).alias("node_id"))
     nodes = nodes.withColumn("x", V.one_hot(F.floor(h("graph_id", "node_id") * 3).cast("int"), 3))
     a, b = nodes.select("graph_id", F.col("node_id").alias("src")), nodes.select("graph_id", F.col("node_id").alias("dst"))
-    upper = a.join(b, "graph_id").where("src < dst").where(h("graph_id", "src", "dst", F.lit(1)) < p)
+    upper = a.join(b, "graph_id").where("src < dst").where(h("graph_id", "src", "dst", 1) < p)
     return GraphSet(nodes, symmetrised(upper), None, 3)
 
 
 def reordered(edges: DataFrame) -> DataFrame:
+    """Edges in row order; a range-partitioned sort, so the order holds over all partitions."""
     return edges.orderBy("graph_id", "src", "dst")

@@ -54,16 +54,10 @@ def vectors(spark: SparkSession, d: str, dims: int = 3) -> DataFrame:
 
 
 def knn(spark: SparkSession, d: str, dims: int = 3, k: int = 5) -> GraphSet:
-    """Directed edges to the k nearest vectors of the same label; e = (squared distance)."""
-    from loomgraph.operators.transforms import knn_edges
-
-    nodes = vectors(spark, d, dims)
-    edges = knn_edges(nodes, dims, k).select("graph_id", "src", "dst", "w", F.array("d2").alias("e"))
-    return GraphSet(nodes, edges, None, dims, 1)
-
+    """Directed edges to the k nearest whole embeddings of the same label; e = (squared distance).
 
-def knn_whole(spark: SparkSession, d: str, dims: int = 3, k: int = 5) -> GraphSet:
-    """Like ``knn``, with distances over whole embeddings; the first ``dims`` components stay as features."""
+    The first ``dims`` components are the features of layers.
+    """
     from loomgraph.operators.transforms import knn_edges
 
     e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("graph_id"), F.col("vec_id").alias("node_id"), "embedding")
@@ -73,18 +67,6 @@ def knn_whole(spark: SparkSession, d: str, dims: int = 3, k: int = 5) -> GraphSe
 
 
 def knn_sql(dims: int = 3, k: int = 5) -> str:
-    xs = ", ".join(f"floor(embedding[{i + 1}]::DOUBLE * 64 + 0.5) / 64 AS x{i}" for i in range(dims))
-    d2 = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(dims))
-    return f"""nodes AS (SELECT label::BIGINT AS graph_id, vec_id AS node_id, {xs} FROM embeddings),
-edges AS (SELECT graph_id, src, dst, 1.0::DOUBLE AS w, d2 AS e0 FROM (
-  SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, {d2} AS d2, row_number() OVER (PARTITION BY a.graph_id, a.node_id ORDER BY {d2}, b.node_id) AS r
-  FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id AND a.node_id <> b.node_id) WHERE r <= {k})"""
-
-
-KNN = knn_sql()
-
-
-def knn_whole_sql(dims: int = 3, k: int = 5) -> str:
     xs = ", ".join(f"v[{i + 1}] AS x{i}" for i in range(dims))
     return f"""whole AS (SELECT label::BIGINT AS graph_id, vec_id AS node_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 64 + 0.5) / 64) AS v FROM embeddings),
 nodes AS (SELECT graph_id, node_id, {xs} FROM whole),
@@ -93,7 +75,7 @@ apart AS (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, list_sum(list_t
 edges AS (SELECT graph_id, src, dst, 1.0::DOUBLE AS w, d2 AS e0 FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY d2, dst) AS r FROM apart) WHERE r <= {k})"""
 
 
-KNN_WHOLE = knn_whole_sql()
+KNN = knn_sql()
 
 
 def sessions(spark: SparkSession, d: str) -> tuple[GraphSet, DataFrame]:

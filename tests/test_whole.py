@@ -19,7 +19,7 @@ def stored(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name, last, least", [("inner_product_whole", 1, None), ("minkowski_product_whole", -1, -1.0)])
+@pytest.mark.parametrize("name, last, least", [("inner_product", 1, None), ("minkowski_product", -1, -1.0)])
 def test_products_of_all_nodes(spark, name, last, least):
     rows = stored(spark)
     want = {(g, a, b): float(x[:3] * [1, 1, last] @ y[:3]) for g, a, x in rows for h, b, y in rows if g == h}
@@ -32,7 +32,7 @@ def test_products_of_all_nodes(spark, name, last, least):
 def test_neighbours_by_whole_embeddings(spark):
     rows = stored(spark)
     want = {(g, a, b) for g, a, x in rows for _, b in sorted((float(((x - y) ** 2).sum()), b) for h, b, y in rows if g == h and a != b)[:5]}
-    assert {(r["graph_id"], r["src"], r["dst"]) for r in catalogue.QUERIES["knn_graph_whole"](spark, DATA).collect()} == want
+    assert {(r["graph_id"], r["src"], r["dst"]) for r in catalogue.QUERIES["knn_graph"](spark, DATA).collect()} == want
     ends = {(r["graph_id"], r["src"], r["dst"]) for r in catalogue.QUERIES["gat_attention"](spark, DATA).where("src <> dst").collect()}
     assert ends == want
 
