@@ -14,6 +14,7 @@ from loomgraph.functions import vec as V
 from loomgraph.operators import conv, filters, layouts, linalg, models, pool
 from loomgraph.operators import transforms as T
 from loomgraph.operators.model import GraphSet
+from loomgraph.plans import file_queries
 from loomgraph.plans import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,3 +540,10 @@ _add("loader_shuffled", _O(lambda g: layouts.batches(g.nodes.select("graph_id").
 #: Chains are bipartite: the largest eigenvalue of their normalised Laplacian is 2 (1 for a single node).
 _add("largest_eigenvalue", lambda s, d: filters.largest_eigenvalue(filters.normalized_laplacian(X.turns(s, d).edges, X.turns(s, d).nodes)).select("graph_id", F.round("lmax", 6).alias("lmax")), q(X.TURNS, select="SELECT graph_id, CASE WHEN count(*) > 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS lmax FROM nodes GROUP BY 1"))
 _add_knn("gat_attention", lambda x: lambda s, d: conv.gat_conv(x(s, d), 2, return_attention=True)[1].select("graph_id", "src", "dst", F.round("alpha", 6).alias("alpha")), _gat_sql("SELECT graph_id, src, dst, round(alpha, 6) AS alpha FROM w0"))
+
+_WIDTHS = [3, 4, 2]
+_add("mlp_model", _trade(lambda g: wide(models.mlp_model(g.nodes, 3, _WIDTHS[1:]), 2)), q(X.TRADE, proj("a", "nodes", [act(c, "relu") for c in lin(xs(3), W(3, 4))]), proj("b", "a", lin(xs(4), W(4, 2, 1))), select=out_x("b", 2)))
+_add("binary_adjacency", _S(lambda g: coo(models.binary_adjacency(g.edges))), q(X.SESSIONS, select="SELECT graph_id, src, dst, 1.0::DOUBLE AS w FROM edges WHERE src <> dst"))
+
+QUERIES |= file_queries.QUERIES
+ORACLE |= file_queries.ORACLE

@@ -34,11 +34,25 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",") ->
     df.write.mode("overwrite").option("header", header).option("sep", sep).csv(path)
 
 
-def read_txt(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """(line, x): a row of numbers for each line, numbered from 0 within its file."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "t")).where(F.trim("t") != "")
-    parts = F.split(F.trim("t"), r"\s+" if sep is None else re.escape(sep))
-    return text.select("file", "line", F.transform(parts, lambda p: F.trim(p).try_cast("double")).alias("x"))
+def _records(spark: SparkSession, path: str, sep: str = "\n", across: bool = False) -> DataFrame:
+    """(file, ordinal, value): records of text files between ``sep``, numbered from 0 in each file or ``across`` all.
+
+    Files are split and read in parallel.  A row's number is the number of rows in the blocks before its own, which
+    only (file, block) counts decide, and its distance from the first row of its block; contents are not exchanged.
+    """
+    text = spark.read.option("lineSep", sep).text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
+    blocks = rows.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    order = Window.orderBy("file", "_block") if across else Window.partitionBy("file").orderBy("_block")
+    blocks = blocks.select("file", "_block", "_first", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    return rows.join(blocks, ["file", "_block"]).select("file", (F.col("_before") + F.col("_row") - F.col("_first")).alias("ordinal"), "value")
+
+
+def read_txt(spark: SparkSession, path: str, sep: str | None = None, across: bool = False) -> DataFrame:
+    """(file, line, x): a row of numbers for each line, numbered from 0 within its file, or ``across`` files in the order of their names."""
+    t = F.trim(F.regexp_replace("value", "\r$", ""))
+    parts = F.split(t, r"\s+" if sep is None else re.escape(sep))
+    return _records(spark, path, across=across).where(t != "").select("file", F.col("ordinal").alias("line"), F.transform(parts, lambda p: F.trim(p).try_cast("double")).alias("x"))
 
 
 def write_txt(rows: DataFrame, path: str, order: Sequence[str], column: str = "x", sep: str = " ") -> None:
@@ -69,24 +83,52 @@ def write_npy(rows: DataFrame, key: str, column: str = "x") -> DataFrame:
     return rows.select(key, "node_id", column).groupBy(key).applyInPandas(dump, f"{key} long, content binary")
 
 
-def csr_edges(arrays: DataFrame, prefix: str = "adj_") -> DataFrame:
-    """(graph_id, src, dst, w) of a CSR matrix stored as data, indices and indptr in ``read_npy`` rows."""
+def save_arrays(contents: DataFrame, key: str, path: str) -> None:
+    """Write (key, content) as one file for each key below ``path``/key=..; readers of arrays ignore the line end behind them."""
+    contents.select(key, F.col("content").cast("string").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def write_npz(edges: DataFrame, nodes: DataFrame, key: str = "graph_id") -> DataFrame:
+    """(key, content): each graph's matrix as the data, indices and indptr of a compressed-rows .npz file."""
+
+    def dump(k: tuple, e: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
+        e = e.sort_values(["src", "dst"])
+        size = int(n["node_id"].max()) + 1 if len(n) else 0
+        out = io.BytesIO()
+        np.savez(out, adj_data=e["w"].to_numpy(float), adj_indices=e["dst"].to_numpy(np.int64), adj_indptr=np.searchsorted(e["src"].to_numpy(np.int64), np.arange(size + 1)))
+        return pd.DataFrame({key: [k[0]], "content": [out.getvalue()]})
+
+    pairs = edges.select(key, "src", "dst", "w").toDF(key, "src", "dst", "w").groupBy(key).cogroup(nodes.select(key, "node_id").toDF(key, "node_id").groupBy(key))
+    return pairs.applyInPandas(dump, f"{key} long, content binary")
+
+
+def numbered_files(rows: DataFrame) -> DataFrame:
+    """(file, graph_id): distinct values of ``file``, numbered in their order; names alone meet in one task."""
+    return rows.select("file").distinct().withColumn("graph_id", F.row_number().over(Window.orderBy("file")).cast("long") - 1)
+
+
+def csr_edges(arrays: DataFrame, prefix: str = "adj_", graph_id: Column | None = None) -> DataFrame:
+    """(graph_id, src, dst, w) of CSR matrices stored as data, indices and indptr in ``read_npy`` rows.
+
+    A file is a graph; ``graph_id`` is an expression over ``file``, else files are numbered in their order.
+    """
     one = lambda n: F.max(F.when(F.col("name") == prefix + n, F.col("data")))
     m = arrays.groupBy("file").agg(one("data").alias("d"), one("indices").alias("i"), one("indptr").alias("p"))
-    rows = m.select("d", "i", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 2)).alias("src"))
+    m = m.join(numbered_files(arrays), "file") if graph_id is None else m.withColumn("graph_id", graph_id)
+    rows = m.where(F.size("p") > 1).select("graph_id", "d", "i", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 2)).alias("src"))
     n = (F.col("p")[F.col("src") + 1] - F.col("p")[F.col("src")]).cast("int")
     at = (F.col("p")[F.col("src")] + 1).cast("int")
     cells = F.arrays_zip(F.slice("i", at, n).alias("dst"), F.slice("d", at, n).alias("w"))
-    return rows.select("src", F.explode(cells).alias("c")).select(F.lit(0).cast("long").alias("graph_id"), F.col("src").cast("long").alias("src"), F.col("c.dst").cast("long").alias("dst"), F.col("c.w").alias("w"))
+    return rows.select("graph_id", "src", F.explode(cells).alias("c")).select("graph_id", F.col("src").cast("long").alias("src"), F.col("c.dst").cast("long").alias("dst"), F.col("c.w").alias("w"))
 
 
 # -- meshes and molecules ---------------------------------------------------------------------------
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(graph_id, file, value): whole text files, numbered in the order of their paths."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return rows.withColumn("graph_id", F.row_number().over(Window.orderBy("file")).cast("long") - 1)
+    """(graph_id, file, value): whole text files, numbered in the order of their paths; contents stay where they are read."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return rows.join(numbered_files(rows), "file")
 
 
 def read_off(spark: SparkSession, path: str) -> GraphSet:
@@ -114,12 +156,17 @@ def read_off(spark: SparkSession, path: str) -> GraphSet:
 
 
 def read_sdf(spark: SparkSession, path: str, amount: int | None = None) -> DataFrame:
-    """(file, ordinal, name, atoms, bonds, data) of every molecule; bonds count atoms from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\r", ""), r"\$\$\$\$[^\n]*\n?")).alias("ordinal", "record"))
-    rows = whole.where(F.trim("record") != "")
+    """(file, ordinal, name, atoms, bonds, properties, data) of every molecule; bonds count atoms from 0.
+
+    Records are read by their end mark, so large files are split.  ``properties`` are the lines between bonds and
+    ``M  END``.
+    """
+    record = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^[ \t]*\n", F.lit(""))
+    whole = _records(spark, path, "$$$$").withColumn("record", F.when(F.col("ordinal") > 0, record).otherwise(F.regexp_replace("value", "\r", "")))
+    rows = whole.where(F.trim(F.regexp_replace("record", r"\s", "")) != "")
     rows = rows if amount is None else rows.where(F.col("ordinal") < amount)
     lines = F.split("record", "\n")
-    rows = rows.withColumn("lines", lines).withColumn("na", F.trim(F.substring(F.col("lines")[3], 1, 3)).cast("int")).withColumn("nb", F.trim(F.substring(F.col("lines")[3], 4, 3)).cast("int"))
+    rows = rows.withColumn("lines", lines).withColumn("na", F.trim(F.substring(F.get("lines", F.lit(3)), 1, 3)).cast("int")).withColumn("nb", F.trim(F.substring(F.get("lines", F.lit(3)), 4, 3)).cast("int"))
     number = F.array(*[F.lit(s) for s in SYMBOLS])
     cut = lambda s, a, n: F.trim(F.substring(s, a, n))
 
@@ -138,12 +185,13 @@ def read_sdf(spark: SparkSession, path: str, amount: int | None = None) -> DataF
     found = F.regexp_extract_all("record", F.lit(r"(?m)^> *<([^>\n]+)>[^\n]*\n[^\n]*"), F.lit(0))
     key = lambda s: F.regexp_extract(s, r"^> *<([^>\n]+)>", 1)
     data = F.map_from_entries(F.transform(found, lambda s: F.struct(key(s).alias("k"), F.substring_index(s, "\n", -1).alias("v"))))
-    return rows.select("file", "ordinal", F.trim(F.col("lines")[0]).alias("name"), F.transform(F.slice("lines", F.lit(5), F.col("na")), atom).alias("atoms"), F.transform(F.slice("lines", F.col("na") + 5, F.col("nb")), bond).alias("bonds"), data.alias("data"))
+    return rows.select("file", "ordinal", F.trim(F.get("lines", F.lit(0))).alias("name"), F.transform(F.slice("lines", F.lit(5), F.col("na")), atom).alias("atoms"), F.transform(F.slice("lines", F.col("na") + 5, F.col("nb")), bond).alias("bonds"), F.slice("lines", F.col("na") + F.col("nb") + 5, F.greatest(F.array_position("lines", F.lit("M  END")).cast("int") - F.col("na") - F.col("nb") - 5, F.lit(0))).alias("properties"), data.alias("data"))
 
 
 def molecules(sdf: DataFrame, atom_types: Sequence[int] = (1, 6, 7, 8, 9), bond_types: int = 4) -> GraphSet:
     """Molecules as graphs: x = one-hot atom, coordinates, charge, iso; e = one-hot bond, both directions."""
-    ids = sdf.withColumn("graph_id", F.row_number().over(Window.orderBy("file", "ordinal")).cast("long") - 1)
+    keys = sdf.select("file", "ordinal").withColumn("graph_id", F.row_number().over(Window.orderBy("file", "ordinal")).cast("long") - 1)
+    ids = sdf.join(keys, ["file", "ordinal"])
     a = ids.select("graph_id", F.posexplode("atoms").alias("node_id", "a"))
     types = F.array(*[(F.col("a.atomic_num") == t).cast("double") for t in atom_types])
     nodes = a.select("graph_id", F.col("node_id").cast("long").alias("node_id"), F.concat(types, F.col("a.coords"), F.array(F.col("a.charge").cast("double"), F.col("a.iso").cast("double"))).alias("x"))
@@ -222,13 +270,13 @@ def read_dot(spark: SparkSession, path: str) -> GraphSet:
 
 
 def write_dot(g: GraphSet, path: str, directed: bool = True) -> None:
-    """One DOT text for each graph."""
+    """One DOT file for each graph, below ``path``/graph_id=..."""
     arrow = "->" if directed else "--"
     nodes = g.nodes.select("graph_id", F.lit(0).alias("k"), F.concat(F.lit("  "), F.col("node_id").cast("string"), F.lit(' [x="['), F.array_join(F.transform("x", lambda v: v.cast("string")), " "), F.lit(']"];')).alias("s"))
     edges = g.edges if directed else g.edges.where("src <= dst")
     edges = edges.select("graph_id", F.lit(1).alias("k"), F.concat(F.lit("  "), F.col("src").cast("string"), F.lit(f" {arrow} "), F.col("dst").cast("string"), F.lit(" [weight="), F.col("w").cast("string"), F.lit("];")).alias("s"))
     lines = nodes.unionByName(edges).groupBy("graph_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda r: r["s"]), "\n").alias("b"))
-    lines.select(F.concat(F.lit("digraph {\n" if directed else "graph {\n"), "b", F.lit("\n}\n")).alias("value")).write.mode("overwrite").text(path)
+    lines.select("graph_id", F.concat(F.lit("digraph {\n" if directed else "graph {\n"), "b", F.lit("\n}\n")).alias("value")).write.mode("overwrite").partitionBy("graph_id").text(path)
 
 
 # -- collections -------------------------------------------------------------------------------------------
@@ -245,7 +293,7 @@ def read_tu(spark: SparkSession, folder: str, name: str) -> GraphSet:
 
     def table(suffix: str) -> DataFrame | None:
         p = f"{folder}/{name}_{suffix}.txt"
-        return read_txt(spark, p, ",").select((F.col("line") + 1).cast("long").alias("row"), "x") if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p)) else None
+        return read_txt(spark, p, ",", across=True).select((F.col("line") + 1).cast("long").alias("row"), "x") if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p)) else None
 
     def hot(rows: DataFrame) -> tuple[DataFrame, int]:
         values = sorted(r[0] for r in rows.select(F.col("x")[0]).distinct().collect())
@@ -306,7 +354,7 @@ def role_masks(nodes: DataFrame, roles: DataFrame) -> DataFrame:
 
 def citation_masks(nodes: DataFrame, label: str, per_class: int = 20, n_validation: int = 500, seed: int = 0) -> DataFrame:
     """A stratified split: ``per_class`` nodes of each label train, ``n_validation`` of the rest validate, others test."""
-    h = F.xxhash64(F.lit(seed), "node_id")
+    h = V.uniform(seed, "node_id")
     own = nodes.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(h, "node_id")))
     own = own.withColumn("mask_tr", F.col("_r") <= per_class)
     rest = own.where(~F.col("mask_tr")).orderBy(h, "node_id").limit(n_validation).select("node_id").withColumn("_v", F.lit(True))
