@@ -1,21 +1,25 @@
 """Quality by co-training of two views.
 
-The text view sees numbers taken from the whole text (kinds of words, repetition, marks, lines); the
-metadata view sees language, source and stated length.  Each is a logistic regression.  In every round each
-view labels the unlabelled documents that it is surest of, for the other view to learn from.  Then both are
-calibrated on a fold of labelled documents that neither learned from, and a third regression joins the two
-calibrated views.  All documents are scored.
-
-Both the labelled rows (``max_labelled``) and the unlabelled pool of the rounds (``max_pool``) are bounded,
-those with the smallest hash of doc_id; scoring covers every document and whole texts.
-
-Defined results: null text is empty, null metadata a value of its own; repeated rows are scored each;
-without labels of both kinds every score is the share of good labels (1/2 without any).
+The text view sees the whole text: kinds of words, repetition, marks and lines, and its distinct words hashed
+into ``CONTENT`` signed counts.  The metadata view sees language, source and stated length.  Each is a logistic
+regression, fitted at first on labelled documents.  In every round each view labels the unlabelled documents it is
+sure of, for the other view to learn from: all unlabelled documents take part.  A round is one pass over a table
+of features, written once: every partition hands in the gradient and the curvature of both views' likelihoods on
+the pseudo-labels (sums, whose size the number of features decides), the driver adds those of the labelled rows
+and takes a Newton step.  Pseudo-labels together weigh at most as much as the labelled rows.  Before every round
+both views are calibrated on a fold of labelled documents that neither learned from, so being sure means being
+right there; at last a third regression joins the two calibrated views.  All documents are scored.
+
+Only the labelled rows are bounded (``max_labelled``, those with the smallest hash of doc_id).
+
+Defined results: null text is empty, null metadata a value of its own; repeated rows are scored each, and a row
+counts as labelled if its doc_id is; without labels of both kinds every score is the share of good labels (1/2
+without any); no documents give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +32,9 @@ from pyspark.sql import functions as F
 from loomgraph.llm import _chunks, _store
 
 _LANGS, _SOURCES = 16, 64
+#: Signed hashed counts of distinct words in the text view.
+CONTENT = 64
+TEXT, META = 11 + CONTENT, _LANGS + _SOURCES + 2
 
 
 def _word(chunk: str) -> tuple[int, float, float, float, float, float, float]:
@@ -65,10 +72,14 @@ class Views:
         fresh = np.ones(len(order), bool)
         fresh[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])
         distinct = np.bincount(owner[order], fresh, minlength=len(counts)) / n
+        word, text = key[order][fresh], owner[order][fresh]
+        sign = np.where((word >> 6) & 1, 1.0, -1.0)
+        content = np.bincount(text * CONTENT + (word & (CONTENT - 1)), sign, minlength=len(counts) * CONTENT).reshape(len(counts), CONTENT)
+        content /= np.sqrt(np.maximum(np.bincount(text, minlength=len(counts)), 1))[:, None]
         lines = [t.split("\n") for t in texts.to_pylist()]
         repeated = [1 - len(set(x)) / len(x) for x in lines]
         long = np.log1p(counts)
-        return np.column_stack([*mean, distinct, repeated, [np.log1p(len(x)) for x in lines], long, distinct * long])
+        return np.column_stack([*mean, distinct, repeated, [np.log1p(len(x)) for x in lines], long, distinct * long, content])
 
     def meta(self, lang: list, source: list, n_chars: list) -> np.ndarray:
         out = np.zeros((len(lang), _LANGS + _SOURCES + 2))
@@ -79,18 +90,28 @@ class Views:
         return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 4.0, start: np.ndarray | None = None) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
-    w, penalty = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+    w = np.zeros(x.shape[1]) if start is None else start
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
+        step = _newton(w, *_sums(x, y, w), ridge)
+        w = w + step
         if np.abs(step).max() < 1e-7:
             break
     return w
 
 
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the likelihood of ``y`` at ``w``; ``x`` has a column of ones."""
+    p = _sigmoid(x @ w)
+    return x.T @ (y - p), (x * (p * (1 - p))[:, None]).T @ x
+
+
+def _newton(w: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, ridge: float) -> np.ndarray:
+    penalty = np.diag([1e-6, *[ridge] * (len(w) - 1)])
+    return np.linalg.solve(curvature + penalty, gradient - penalty @ w)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -102,6 +123,8 @@ class CoTrained:
     weights: list[np.ndarray]
     calibration: list[np.ndarray]
     joint: np.ndarray
+    #: Shares of the calibration fold that each view gets wrong, before the first round and after each.
+    errors: list[tuple[float, float]]
 
     def margins(self, view: int, x: np.ndarray) -> np.ndarray:
         w = self.weights[view]
@@ -112,78 +135,165 @@ class CoTrained:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(self.joint[0] + np.column_stack(z) @ self.joint[1:])
 
 
-def _matrix(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of both views, label and fold of a bounded number of rows, on the driver."""
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, m, more columns): both views' features, as bytes of floats, of every row of a table with texts."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    kept = ["doc_id", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views = Views()
         for part in _store.slices(batches, "text"):
-            t = views.text(part.column("text"))
-            m = views.meta(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(t), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64())), part.column("quality"), part.column("fold")], ["t", "m", "quality", "fold"])
+            t = views.text(part.column("text")).astype(np.float32)
+            m = views.meta(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars"))).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (t, m))], [*kept, "t", "m"])
+
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return docs.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in kept), "t binary", "m binary"]))
+
+
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), width).astype(float)
+
+
+def exchanged(model: CoTrained, views: tuple[np.ndarray, np.ndarray], confident: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each view: rows that the other view is sure of, with their gradient and curvature under its labels."""
+    x = [np.column_stack([np.ones(len(v)), (v - c) / s]) for v, c, s in zip(views, model.centre, model.scale, strict=True)]
+    p = [_sigmoid(c[0] + c[1] * np.clip(a @ w, -30, 30)) for a, w, c in zip(x, model.weights, model.calibration, strict=True)]
+    out = []
+    for v in (0, 1):
+        other = p[1 - v]
+        sure = np.maximum(other, 1 - other) >= confident
+        out.append((int(sure.sum()), *_sums(x[v][sure], (other[sure] >= 0.5).astype(float), model.weights[v])))
+    return out
+
 
-    rows = docs.mapInArrow(run, "t array<double>, m array<double>, quality int, fold int").toPandas()
-    stack = lambda c: np.stack(rows[c]) if len(rows) else np.zeros((0, 1))
-    return stack("t"), stack("m"), rows["quality"].to_numpy(float), rows["fold"].to_numpy(int)
+def _added_up(free: DataFrame, model: CoTrained, confident: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """``exchanged`` over all unlabelled rows; a bounded number of sums reaches the driver."""
+    broadcast = free.sparkSession.sparkContext.broadcast(model)
+    widths = [TEXT + 1, META + 1]
 
+    def add(total: list, more: list) -> list:
+        return more if total is None else [(a + d, b + e, c + f) for (a, b, c), (d, e, f) in zip(total, more, strict=True)]
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_labelled: int = 20_000, max_pool: int = 10_000, rounds: int = 4, confident: float = 0.95, share: float = 0.1) -> CoTrained:
-    spark = _store.prepare(docs.sparkSession)
+    def packed(total: list | None) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            rows = [(v, n, g.tobytes(), h.tobytes()) for v, (n, g, h) in enumerate(total)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["view", "n", "g", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                total = add(total, exchanged(broadcast.value, (_rows(b.column("t"), TEXT), _rows(b.column("m"), META)), confident))
+        yield from packed(total)
+
+    def unpacked(rows: list[dict]) -> list:
+        zero = [(0, np.zeros(w), np.zeros((w, w))) for w in widths]
+        for r in rows:
+            w = widths[r["view"]]
+            n, g, h = zero[r["view"]]
+            zero[r["view"]] = (n + r["n"], g + np.frombuffer(r["g"]), h + np.frombuffer(r["h"]).reshape(w, w))
+        return zero
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [unpacked(b.to_pylist()) for b in batches if b.num_rows]
+        total = None
+        for r in rows:
+            total = add(total, r)
+        yield from packed(total)
+
+    schema = "view int, n long, g binary, h binary"
+    sums = free.select("t", "m").mapInArrow(run, schema).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(16)))
+    merged = sums.repartition(16, "_part").drop("_part").mapInArrow(merge, schema)
+    found = unpacked([r.asDict() for r in merged.collect()])
+    broadcast.unpersist()
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, **options) -> CoTrained:
+    """``options``: ``max_labelled``, ``rounds`` and ``confident``, the probability from which a view is sure."""
+    with _store.Workspace(docs.sparkSession, "quality") as space:
+        return _fitted(docs, labels, space, usable, **options)[0]
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, space: _store.Workspace, usable: Column | None = None, max_labelled: int = 20_000, rounds: int = 4, confident: float = 0.95) -> tuple[CoTrained, DataFrame]:
+    """The model, and the written features (doc_id, t, m, ..) of all documents."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
     known = (known if usable is None else known.where(usable)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    named = labels.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    pool = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(named, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
-    # both sides of this union are bounded, so their ids can be sent to the texts
-    wanted = chosen.unionByName(pool.withColumn("quality", F.lit(None).cast("int")))
-    with _store.Workspace(spark, "quality") as space:
-        wanted = space.table(wanted.select("doc_id", F.col("quality").cast("int").alias("quality")), "wanted")
-        own = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(wanted), "doc_id").withColumn("fold", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)).cast("int"))
-        text, meta, y, fold = _matrix(own)
-    have = ~np.isnan(y)
+    chosen = space.table(chosen.select("doc_id", F.col("quality").cast("int").alias("_quality")), "chosen")
+    # the labelled side is bounded, so it is sent to the texts
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id", "left").withColumn("_fold", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)).cast("int"))
+    table = space.table(features(own), "features")
+    # one row of each labelled id, however often it is repeated
+    least = table.where("_quality IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("t", "m", "_quality", "_fold")).alias("r"))
+    rows = least.orderBy("doc_id").select("r.*").toPandas()
+    views = tuple(np.stack([np.frombuffer(b, np.float32) for b in rows[c]]).astype(float) if len(rows) else np.zeros((0, w)) for c, w in (("t", TEXT), ("m", META)))
+    return train(views, rows["_quality"].to_numpy(float), rows["_fold"].to_numpy(int), lambda model: _added_up(table.where("_quality IS NULL"), model, confident), rounds), table
+
+
+def train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, exchange: Callable[[CoTrained], list], rounds: int) -> CoTrained:
+    """From labelled rows on the driver, and a function that sums the pseudo-labels of all others."""
     y = np.where(y > 0, 1.0, 0.0)
-    views = (text, meta)
-    if not have.any() or len(set(y[have])) < 2:
-        rate = (y[have].sum() + 0.5) / (have.sum() + 1)
-        width = [text.shape[1] if have.any() else 11, meta.shape[1] if have.any() else _LANGS + _SOURCES + 2]
+    if len(set(y)) < 2:
+        rate = (y.sum() + 0.5) / (len(y) + 1)
         flat = [np.array([np.log(rate / (1 - rate)), 0.0])] * 2
-        return CoTrained([np.zeros(w) for w in width], [np.ones(w) for w in width], [np.zeros(w + 1) for w in width], flat, np.array([0.0, 0.5, 0.5]))
-    learn, check = have & (fold != 0), have & (fold == 0)
-    learn, check = (learn, check) if len(set(y[learn])) == 2 and len(set(y[check])) == 2 else (have, have)
+        return CoTrained([np.zeros(w) for w in (TEXT, META)], [np.ones(w) for w in (TEXT, META)], [np.zeros(w + 1) for w in (TEXT, META)], flat, np.array([0.0, 0.5, 0.5]), [])
+    learn = fold != 0
+    if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
+        learn = np.ones(len(y), bool)
+    check = ~learn if not learn.all() else learn
     centre = [v[learn].mean(axis=0) for v in views]
-    scale = [np.where(v[learn].std(axis=0) > 1e-9, v[learn].std(axis=0), 1.0) for v in views]
-    model = CoTrained(centre, scale, [np.zeros(0)] * 2, [np.array([0.0, 1.0])] * 2, np.array([0.0, 0.5, 0.5]))
-    given = [np.full(len(y), np.nan), np.full(len(y), np.nan)]  # pseudo-labels for each view
-    free = np.flatnonzero(~have)
-    for turn in range(rounds + 1):
-        for v, x in enumerate(views):
-            rows = learn | ~np.isnan(given[v])
-            model.weights[v] = _logistic(((x - centre[v]) / scale[v])[rows], np.where(learn, y, given[v])[rows])
-        if turn == rounds or not len(free):
-            break
-        for v, x in enumerate(views):
-            p = _sigmoid(model.margins(v, x[free]))
-            for sure, label in ((p, 1.0), (1 - p, 0.0)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(share * len(free)))]
-                best = best[sure[best] >= confident]
-                other = given[1 - v]
-                other[free[best]] = np.where(np.isnan(other[free[best]]), label, other[free[best]])
-    for v, x in enumerate(views):
-        model.calibration[v] = _logistic(np.clip(model.margins(v, x[check]), -30, 30)[:, None], y[check], 0.01)
-    z = np.column_stack([c[0] + c[1] * np.clip(model.margins(v, x[check]), -30, 30) for v, (x, c) in enumerate(zip(views, model.calibration, strict=True))])
+    scale = [np.where(v[learn].std(axis=0) > 1e-6, v[learn].std(axis=0), 1.0) for v in views]
+    model = CoTrained(centre, scale, [_logistic(((v - c) / s)[learn], y[learn]) for v, c, s in zip(views, centre, scale, strict=True)], [np.array([0.0, 1.0])] * 2, np.array([0.0, 0.5, 0.5]), [])
+    x = [np.column_stack([np.ones(len(v)), (v - c) / s]) for v, c, s in zip(views, centre, scale, strict=True)]
+
+    def errors() -> tuple[float, float]:
+        return tuple(float(((a @ w >= 0) != (y > 0))[check].mean()) for a, w in zip(x, model.weights, strict=True))
+
+    def calibrate() -> None:
+        for v, a in enumerate(views):
+            model.calibration[v] = _logistic(np.clip(model.margins(v, a[check]), -30, 30)[:, None], y[check], 0.01)
+
+    model.errors.append(errors())
+    calibrate()
+    for _ in range(rounds):
+        for v, (n, gradient, curvature) in enumerate(exchange(model)):
+            weight = min(1.0, learn.sum() / n) if n else 0.0
+            g, h = _sums(x[v][learn], y[learn], model.weights[v])
+            step = _newton(model.weights[v], g + weight * gradient, h + weight * curvature, 4.0)
+            # far from the optimum a Newton step may be too long: it moves at most by half of the weights, and one
+            most = 1 + np.linalg.norm(model.weights[v]) / 2
+            model.weights[v] = model.weights[v] + step * min(1.0, most / max(np.linalg.norm(step), 1e-12))
+        model.errors.append(errors())
+        calibrate()
+    z = np.column_stack([c[0] + c[1] * np.clip(model.margins(v, a[check]), -30, 30) for v, (a, c) in enumerate(zip(views, model.calibration, strict=True))])
     model.joint = _logistic(z, y[check], 0.01)
     return model
 
 
+def rated(table: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, text_score, meta_score, score, keep) of every row of a table of features."""
+    broadcast = _store.prepare(table.sparkSession).sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                a, b, s = broadcast.value.scores(_rows(part.column("t"), TEXT), _rows(part.column("m"), META))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a), pa.array(b), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "text_score", "meta_score", "score", "keep"])
+
+    kind = table.schema["doc_id"].dataType.simpleString()
+    return table.select("doc_id", "t", "m").mapInArrow(run, f"doc_id {kind}, text_score double, meta_score double, score double, keep int")
+
+
 def score(docs: DataFrame, model: CoTrained, threshold: float = 0.5) -> DataFrame:
     """(doc_id, text_score, meta_score, score, keep) of every row of (doc_id, text, lang, source, n_chars)."""
-    broadcast = _store.prepare(docs.sparkSession).sparkContext.broadcast(model)
+    _store.prepare(docs.sparkSession)
+    return rated(features(docs.select("doc_id", "text", "lang", "source", "n_chars")), model, threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        views = Views()
-        for part in _store.slices(batches, "text"):
-            a, b, s = broadcast.value.scores(views.text(part.column("text")), views.meta(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars"))))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a), pa.array(b), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, f"doc_id {kind}, text_score double, meta_score double, score double, keep int")
+def assess(docs: DataFrame, labels: DataFrame, usable: Column | None = None, **options) -> DataFrame:
+    """Fit on labelled rows and score all documents; texts are read once, for the table of features."""
+    with _store.Workspace(docs.sparkSession, "quality") as space:
+        model, table = _fitted(docs, labels, space, usable, **options)
+        return space.table(rated(table, model), "scores", keep=True)

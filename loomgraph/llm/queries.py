@@ -97,8 +97,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
-    model = quality.fit(docs, _table(spark, sf_dir, "labels"), usable=third != 1)
-    return quality.score(docs, model).withColumn("held_out", F.coalesce(third == 1, F.lit(False)))
+    scored = quality.assess(docs, _table(spark, sf_dir, "labels"), usable=third != 1)
+    return scored.withColumn("held_out", F.coalesce(third == 1, F.lit(False)))
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
