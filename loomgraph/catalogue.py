@@ -545,5 +545,51 @@ _WIDTHS = [3, 4, 2]
 _add("mlp_model", _trade(lambda g: wide(models.mlp_model(g.nodes, 3, _WIDTHS[1:]), 2)), q(X.TRADE, proj("a", "nodes", [act(c, "relu") for c in lin(xs(3), W(3, 4))]), proj("b", "a", lin(xs(4), W(4, 2, 1))), select=out_x("b", 2)))
 _add("binary_adjacency", _S(lambda g: coo(models.binary_adjacency(g.edges))), q(X.SESSIONS, select="SELECT graph_id, src, dst, 1.0::DOUBLE AS w FROM edges WHERE src <> dst"))
 
+# -- hidden layers inside layers, and more layouts ------------------------------------------------------------------------------
+
+_H = (4, 3)
+
+
+def hidden(out: str, src: str, n: int, activation: str = "relu", first: int = 40) -> list[str]:
+    """Hidden layers of the widths ``_H`` over x0 .. of ``src``."""
+    parts, width = [], n
+    for k, m in enumerate(_H):
+        parts.append(proj(f"{out}{k}" if k < len(_H) - 1 else out, src if k == 0 else f"{out}{k - 1}", [act(c, activation) for c in lin(xs(width), W(width, m, first + k))]))
+        width = m
+    return parts
+
+
+_HSOFT = f"so AS (SELECT hh.graph_id, hh.node_id, {named(softmax(lin(xs(3, 'hh.x'), W(3, 2))), 's')} FROM hh)"
+_add("pool_mincut_mlp", _loss(lambda g: pool.mincut_pool(g, 2, mlp_hidden=_H), "cut_loss", "ortho_loss"), q(TS, *hidden("hh", "nodes", 2), _HSOFT, ES, ESUM, GRAM, select=f"SELECT graph_id, round(-ab / aa, 6) AS cut_loss, round(sqrt(power(g00 / {_SG} - {_R2}, 2) + 2 * power(g01 / {_SG}, 2) + power(g11 / {_SG} - {_R2}, 2)), 6) AS ortho_loss FROM eg JOIN gr USING (graph_id)"))
+_add("pool_dmon_mlp", _loss(lambda g: pool.dmon_pool(g, 2, mlp_hidden=_H, mlp_activation="tanh"), "spectral_loss", "collapse_loss"), q(TS, *hidden("hh", "nodes", 2, "tanh"), _HSOFT, ES, ESUM, GRAM, select="SELECT graph_id, round(-(ab - (d0 * d0 + d1 * d1) / (2 * m)) / (2 * m), 6) AS spectral_loss, round(0.1 * (sqrt(c0 * c0 + c1 * c1) / n * sqrt(2.0) - 1), 6) AS collapse_loss FROM eg JOIN gr USING (graph_id)"))
+_add("pool_justbalance_mlp", _loss(lambda g: pool.just_balance_pool(g, 2, mlp_hidden=_H), "balance_loss"), q(TS, *hidden("hh", "nodes", 2), _HSOFT, GRAM, select="SELECT graph_id, round(-(sqrt(g00) + sqrt(g11)), 6) AS balance_loss FROM gr"))
+_add("pool_cheeger_mlp", _loss(lambda g: pool.cheeger_pool(g, 2, mlp_hidden=_H), "variation_loss"), q(TS, *hidden("hh", "nodes", 2), _HSOFT, ES, ESUM, select="SELECT graph_id, round(tv / (2 * m), 6) AS variation_loss FROM eg"))
+_add("conv_appnp_mlp", _conv("appnp", lambda g: conv.appnp_conv(g, 2, 0.25, 1, mlp_hidden=_H), 2, lambda s, d: _scaled(X.turns(s, d))), q(TS, GCN, *hidden("hh", "nodes", 2), proj("z0", "hh", lin(xs(3), W(3, 2))), spmm("p1", "ahat", "z0", 2), proj("z1", both("p1", "z0", 2, 2), [f"(0.75 * x{i} + 0.25 * y{i})" for i in range(2)]), select=out_x("z1", 2)))
+_EH = "eh AS (SELECT graph_id, src, dst, " + ", ".join(f"{c} AS h{i}" for i, c in enumerate([act(c, "relu") for c in lin(["e0", "e1"], W(2, 3, 40))])) + " FROM edges)"
+_EK = W(3, 4)
+_EM = [" + ".join(f"s.x{i} * (" + " + ".join(f"h{c} * ({_EK[c][i * 2 + j]})" for c in range(3)) + ")" for i in range(2)) for j in range(2)]
+_add("conv_ecc_network", lambda s, d: wide(conv.ecc_conv(X.turns(s, d), 2, kernel_network=[3]), 2), q(X.TURNS, _EH, "m AS (SELECT e.graph_id, e.dst AS node_id, " + ", ".join(f"sum({c}) AS a{j}" for j, c in enumerate(_EM)) + " FROM eh e JOIN nodes s ON s.graph_id = e.graph_id AND s.node_id = e.src GROUP BY ALL)", select="SELECT n.graph_id, n.node_id, " + ", ".join(f"round(coalesce(a{j}, 0.0) + {c}, 6) AS x{j}" for j, c in enumerate(lin(xs(2, "n.x"), W(2, 2, 1)))) + " FROM nodes n LEFT JOIN m USING (graph_id, node_id)"))
+_XEK2 = _XEK.replace("k AS (", "k1 AS (", 1) + ", k AS (SELECT graph_id, src, dst, " + ", ".join(f"greatest({c}, 0.0) AS k{i}" for i, c in enumerate(lin(xs(3, "k"), W(3, 3, 50)))) + " FROM k1)"
+_XEQ = [X.TURNS, _XEK2, _xenet_sum("i", "dst", 1), _xenet_sum("o", "src", 2)]
+_add("conv_xenet_stacks", lambda s, d: wide(conv.xenet_conv(X.turns(s, d), [3, 3], 2, 2)[0], 2), q(*_XEQ, select="SELECT n.graph_id, n.node_id, " + ", ".join(f"round({c}, 6) AS x{j}" for j, c in enumerate(_XEOUT)) + " FROM nodes n JOIN i USING (graph_id, node_id) JOIN o USING (graph_id, node_id)"))
+_add("conv_xenet_batch", lambda s, d: wide(conv.xenet_conv_batch(X.turns(s, d), [3, 3], 2, 2)[0], 2, ("graph_id", "pos")), q(*_XEQ, FRAME, select="SELECT f.graph_id, f.pos, " + ", ".join(f"coalesce(round({c}, 6), 0.0) AS x{j}" for j, c in enumerate(_XEOUT)) + " FROM frame f LEFT JOIN nodes n ON n.graph_id = f.graph_id AND n.node_id = f.pos LEFT JOIN i ON i.graph_id = f.graph_id AND i.node_id = f.pos LEFT JOIN o ON o.graph_id = f.graph_id AND o.node_id = f.pos"))
+_add("conv_xenet_batch_edges", lambda s, d: wide(conv.xenet_conv_batch(X.turns(s, d), 3, 2, 2)[1], 2, ("graph_id", "i", "j"), "e"), q(X.TURNS, _XEK, select="SELECT graph_id, src AS i, dst AS j, " + ", ".join(f"round({c}, 6) AS x{j}" for j, c in enumerate(lin(xs(3, "k"), W(3, 2, 4)))) + " FROM k"))
+_add("batch_edge_features", lambda s, d: wide(layouts.padded_edges(X.turns(s, d)), 2, ("graph_id", "i", "j"), "e"), q(X.TURNS, select="SELECT graph_id, src AS i, dst AS j, e0 AS x0, e1 AS x1 FROM edges"))
+
+
+def _labels(s: SparkSession, d: str, nodes: bool) -> DataFrame:
+    g = X.turns(s, d)
+    if nodes:
+        return wide(layouts.disjoint_labels(g.nodes.select("graph_id", "node_id", F.col("x").alias("y")), g), 2, ("row",), "y")
+    return wide(layouts.disjoint_labels(g.nodes.groupBy("graph_id").agg(F.array(F.count("*").cast("double")).alias("y"))), 1, ("row",), "y")
+
+
+_add("labels_disjoint_nodes", lambda s, d: _labels(s, d, True), q(X.TURNS, select="SELECT row_number() OVER (ORDER BY graph_id, node_id) - 1 AS row, x0, x1 FROM nodes"))
+_add("labels_disjoint_graphs", lambda s, d: _labels(s, d, False), q(X.TURNS, select="SELECT row_number() OVER (ORDER BY graph_id) - 1 AS row, n AS x0 FROM (SELECT graph_id, count(*)::DOUBLE AS n FROM nodes GROUP BY 1)"))
+_add("repeat_rows", _S(lambda g: linalg.repeat(g.nodes, F.col("node_id")).select("graph_id", "node_id", "copy", "place")), q(X.SESSIONS, select="SELECT graph_id, node_id, copy, row_number() OVER (ORDER BY graph_id, node_id, copy) - 1 AS place FROM (SELECT graph_id, node_id, unnest(range(node_id)) AS copy FROM nodes)"))
+_add("reshape_cells", _S(lambda g: coo(linalg.reshape(g.edges, 5, 25))), q(X.SESSIONS, select="SELECT graph_id, (src * 5 + dst) // 25 AS src, (src * 5 + dst) % 25 AS dst, w FROM edges"))
+_add("indices_to_mask_cells", _S(lambda g: linalg.indices_to_mask(g.edges.select("graph_id", "src", "dst"), g.edges.where("src < dst"), "graph_id", "src", "dst")), q(X.SESSIONS, select="SELECT graph_id, src, dst, src < dst AS mask FROM edges"))
+_add("degree_matrix", _trade(lambda g: coo(filters.degree_matrix(g.edges, g.nodes))), q(X.TRADE, deg(), select="SELECT graph_id, node_id AS src, node_id AS dst, round(d, 6) AS w FROM deg WHERE d <> 0"))
+
 QUERIES |= file_queries.QUERIES
 ORACLE |= file_queries.ORACLE

@@ -96,6 +96,14 @@ def mlp(parts: Sequence[Column], layers: Sequence[tuple[Matrix, Sequence[float]
     return list(parts)
 
 
+def dense(parts: Sequence[Column], widths: Sequence[int], layer: int = 0, activation: object = "relu") -> tuple[list[Column], int]:
+    """Hidden layers of reproducible weights, numbered from ``layer`` on, and the width that comes out."""
+    parts = list(parts)
+    for i, m in enumerate(widths):
+        parts = activate(affine(parts, dyadic(len(parts), m, layer + i)), activation)
+    return parts, len(parts)
+
+
 def batch_norm(parts: Sequence[Column], mean, var, gamma=None, beta=None, epsilon: float = 1e-3) -> list[Column]:
     """Inference form with given statistics."""
     n = len(list(parts))

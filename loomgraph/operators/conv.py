@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vec as V
-from loomgraph.operators import filters, linalg
+from loomgraph.operators import filters, layouts, linalg
 from loomgraph.operators.model import GraphSet
 
 Parts = list[Column]
@@ -112,9 +112,10 @@ def arma_conv(g: GraphSet, channels: int, order: int = 1, iterations: int = 1, s
     return _done(out, V.activate([x / float(order) for x in V.items("x", channels)], activation))
 
 
-def appnp_conv(g: GraphSet, channels: int, alpha: float = 0.2, propagations: int = 1, w=None, activation=None) -> DataFrame:
-    """Z <- (1 - alpha) A Z + alpha X W, ``propagations`` times from Z = X W."""
-    z0 = project(g.nodes, g.n_features, w or V.dyadic(g.n_features, channels))
+def appnp_conv(g: GraphSet, channels: int, alpha: float = 0.2, propagations: int = 1, w=None, activation=None, mlp_hidden: Sequence[int] = (), mlp_activation="relu") -> DataFrame:
+    """Z <- (1 - alpha) A Z + alpha Z0, ``propagations`` times from Z0 = H W; H is X behind hidden layers."""
+    parts, n = V.dense(V.items("x", g.n_features), mlp_hidden, 40, mlp_activation)
+    z0 = project(_done(g.nodes, parts) if mlp_hidden else g.nodes, n, w or V.dyadic(n, channels))
     z = z0
     for _ in range(propagations):
         both = _paired(linalg.spmm(g.edges, z, channels), z0)
@@ -254,9 +255,13 @@ def gat_conv(g: GraphSet, channels: int, heads: int = 1, concat: bool = True, ad
     return out, weighed.select("graph_id", "src", "dst", F.posexplode("alphas").alias("head", "alpha"))
 
 
-def ecc_conv(g: GraphSet, channels: int, kernel=None, root=None, b=None, activation=None) -> DataFrame:
-    """sum over j of x_j K(e) + x W_root + b; ``kernel`` (edge width x F * channels, row by row) maps e to K."""
+def ecc_conv(g: GraphSet, channels: int, kernel=None, root=None, b=None, activation=None, kernel_network: Sequence[int] = (), kernel_activation="relu") -> DataFrame:
+    """sum over j of x_j K(e) + x W_root + b; e goes through hidden layers of ``kernel_network`` widths, and
+    ``kernel`` (their width x F * channels, row by row) maps them to K."""
     n, m = g.n_features, channels
+    if kernel_network:  # once for each edge, not for each of the kernel's cells
+        hidden, width = V.dense(V.items("e", g.n_edge_features), kernel_network, 40, kernel_activation)
+        g = GraphSet(g.nodes, g.edges.withColumn("e", V.vec(hidden)), g.graphs, n, width)
     kernel = kernel or V.dyadic(g.n_edge_features, n * m)
 
     def message(s: Parts, t: Parts, e: Parts) -> Parts:
@@ -294,17 +299,21 @@ def gated_conv(g: GraphSet, channels: int, n_layers: int = 1, activation=None) -
     return _done(h, V.activate(V.items("x", c), activation))
 
 
-def xenet_conv(g: GraphSet, stack: int, node_channels: int, edge_channels: int, attention: bool = True) -> tuple[DataFrame, DataFrame]:
+def xenet_conv(g: GraphSet, stack: int | Sequence[int], node_channels: int, edge_channels: int, attention: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): edge stacks PReLU([x_i | x_j | e_ij | e_ji] W), gated, gathered at both ends.
 
-    An edge without a reverse takes zeros for e_ji.
+    An edge without a reverse takes zeros for e_ji.  Several widths make several stack layers.
     """
     n, s = g.n_features, g.n_edge_features
+    stack, *more = [stack] if isinstance(stack, int) else stack
     back = g.edges.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("e").alias("_r"))
     rows = linalg.gather(linalg.gather(g.edges, g.nodes, "src", "_s"), g.nodes, "dst", "_t").join(back, ["graph_id", "src", "dst"], "left")
     reverse = [F.coalesce(c, F.lit(0.0)) for c in V.items("_r", s)]
     parts = V.activate(V.affine(V.items("_s", n) + V.items("_t", n) + V.items("e", s) + reverse, V.dyadic(2 * n + 2 * s, stack)), "prelu")
     rows = rows.withColumn("_k", V.vec(parts))
+    for i, width in enumerate(more):
+        rows = rows.withColumn("_k", V.vec(V.activate(V.affine(V.items("_k", stack), V.dyadic(stack, width, 50 + i)), "prelu")))
+        stack = width
     k = V.items("_k", stack)
     gate = lambda i: V.ACTIVATIONS["sigmoid"](V.affine(k, V.dyadic(stack, 1, i))[0]) if attention else F.lit(1.0)
     into = linalg.scatter(rows, "dst", [gate(1) * p for p in k], g.nodes)
@@ -314,6 +323,13 @@ def xenet_conv(g: GraphSet, stack: int, node_channels: int, edge_channels: int,
     return nodes, rows.select("graph_id", "src", "dst", "w", V.vec(V.affine(k, V.dyadic(stack, edge_channels, 4))).alias("e"))
 
 
+def xenet_conv_batch(g: GraphSet, stack: int | Sequence[int], node_channels: int, edge_channels: int, attention: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``xenet_conv`` in the padded layout: (graph_id, pos, x) with rows of zeros behind, (graph_id, i, j, e) of the cells that are edges."""
+    nodes, edges = xenet_conv(g, stack, node_channels, edge_channels, attention)
+    out = GraphSet(nodes, edges, g.graphs, node_channels, edge_channels)
+    return layouts.padded_nodes(out).select("graph_id", "pos", "x"), layouts.padded_edges(out)
+
+
 def censnet_conv(g: GraphSet, edge_nodes: DataFrame, node_channels: int, edge_channels: int, activation=None) -> tuple[DataFrame, DataFrame]:
     """Nodes: ((T diag(E p) T') o L_n) X W; edges: the same over the line graph.
 

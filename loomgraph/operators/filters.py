@@ -45,6 +45,11 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "node_id").join(d, ["graph_id", "node_id"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
 
 
+def degree_matrix(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, w): the diagonal matrix of degrees; nodes without edges have no cell."""
+    return degrees(edges, nodes).where("d <> 0").select("graph_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.col("d").alias("w"))
+
+
 def degree_power(edges: DataFrame, nodes: DataFrame, k: float) -> DataFrame:
     """(graph_id, node_id, d): row sums to the power k; infinities become 0."""
     p = F.pow("d", F.lit(float(k)))

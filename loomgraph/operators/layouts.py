@@ -63,6 +63,20 @@ def padded_adjacency(g: GraphSet) -> DataFrame:
     return linalg.induced(g.edges.select("graph_id", "src", "dst", "w"), _local(g)).select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j"), "w")
 
 
+def padded_edges(g: GraphSet) -> DataFrame:
+    """(graph_id, i, j, e): edge features by place in their own graph; those of all other cells are zeros."""
+    return linalg.induced(g.edges.select("graph_id", "src", "dst", "e"), _local(g)).select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j"), "e")
+
+
+def disjoint_labels(labels: DataFrame, g: GraphSet | None = None) -> DataFrame:
+    """(row, y): labels of graphs in the order of their ids or, where ``g`` is given, of its nodes as the disjoint union numbers them."""
+    if g is not None:
+        numbers = _local(g).join(offsets(g), "graph_id").select("graph_id", "node_id", (F.col("new_id") + F.col("offset")).alias("row"))
+        return labels.join(numbers, ["graph_id", "node_id"]).select("row", "y")
+    order = labels.select("graph_id").withColumn("row", F.row_number().over(Window.orderBy("graph_id")).cast("long") - 1)
+    return labels.join(order, "graph_id").select("row", "y")
+
+
 def mixed(signals: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """A X for signals (graph_id, node_id, x) of many graphs that share ``edges`` (src, dst, w)."""
     m = edges.select("src", F.col("dst").alias("node_id"), "w").join(signals, "node_id")

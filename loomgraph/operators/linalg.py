@@ -125,10 +125,25 @@ def masked_axis(edges: DataFrame, numbers: DataFrame, axis: str) -> DataFrame:
     return edges.join(n, ["graph_id", axis]).drop(axis).withColumnRenamed("_i", axis).select(*edges.columns)
 
 
-def indices_to_mask(universe: DataFrame, kept: DataFrame) -> DataFrame:
-    """``universe`` with ``mask``: whether the node is in ``kept``."""
-    k = kept.select("graph_id", "node_id").distinct().withColumn("_k", F.lit(True))
-    return universe.join(k, ["graph_id", "node_id"], "left").withColumn("mask", F.col("_k").isNotNull()).drop("_k")
+def indices_to_mask(universe: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
+    """``universe`` with ``mask``: whether the row's ``keys`` (the node; more for masks of higher rank) are in ``kept``."""
+    keys = keys or ("graph_id", "node_id")
+    k = kept.select(*keys).distinct().withColumn("_k", F.lit(True))
+    return universe.join(k, list(keys), "left").withColumn("mask", F.col("_k").isNotNull()).drop("_k")
+
+
+def repeat(rows: DataFrame, times: Column, order: tuple[str, ...] = ("graph_id", "node_id")) -> DataFrame:
+    """Every row ``times`` times (0: not at all), with ``copy`` from 0 and ``place``, its number in ``order``."""
+    many = rows.withColumn("_t", times.cast("int")).where(F.col("_t") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
+    ends = rows.select(*order, times.cast("long").alias("_n")).withColumn("_end", F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return many.join(ends, list(order)).withColumn("place", F.col("_end") - F.col("_n") + F.col("copy")).drop("_t", "_n", "_end")
+
+
+def reshape(edges: DataFrame, columns: int, new_columns: int) -> DataFrame:
+    """A matrix of ``columns`` columns with its cells, read row by row, laid out in ``new_columns`` columns."""
+    cell = F.col("src") * columns + F.col("dst")
+    out = edges.withColumn("_cell", cell).withColumn("src", F.floor(F.col("_cell") / new_columns)).withColumn("dst", F.pmod("_cell", F.lit(new_columns)))
+    return out.drop("_cell")
 
 
 def inner_product(nodes: DataFrame, n: int, kernel: V.Matrix | None = None, activation=None) -> DataFrame:

@@ -6,7 +6,7 @@ an N x N matrix: tr(S'AS) = sum a_ij <s_i, s_j>, |A - SS'|^2 = sum a^2 - 2 sum a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,6 +88,23 @@ def _assigned(g: GraphSet, parts: list[Column]) -> DataFrame:
     return g.nodes.select("graph_id", "node_id", "x", V.vec(V.softmax(parts)).alias("s"))
 
 
+def _soft(g: GraphSet, k: int, w, mlp_hidden: Sequence[int], mlp_activation) -> DataFrame:
+    """Assignments by an MLP of the features: hidden layers of ``mlp_hidden`` widths, then ``w``."""
+    parts, n = V.dense(V.items("x", g.n_features), mlp_hidden, 40, mlp_activation)
+    if mlp_hidden:  # hidden values are columns of their own, so the softmax does not repeat them
+        hidden = g.nodes.select("graph_id", "node_id", "x", V.vec(parts).alias("_h"))
+        return hidden.select("graph_id", "node_id", "x", V.vec(V.softmax(V.affine(V.items("_h", n), w or V.dyadic(n, k)))).alias("s"))
+    return _assigned(g, V.affine(parts, w or V.dyadic(n, k)))
+
+
+def _edge_dots(g: GraphSet, soft: DataFrame, k: int, **values: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
+    """(graph_id, ..): for each name the sum over edges of w value(s_i, s_j), all in one pass over the edges."""
+    s = soft.select("graph_id", F.col("node_id").alias("src"), F.col("s").alias("_a"))
+    d = soft.select("graph_id", F.col("node_id").alias("dst"), F.col("s").alias("_b"))
+    rows = g.edges.join(s, ["graph_id", "src"]).join(d, ["graph_id", "dst"])
+    return rows.groupBy("graph_id").agg(*[F.sum(F.col("w") * f(V.items("_a", k), V.items("_b", k))).alias(name) for name, f in values.items()])
+
+
 def _edge_dot(g: GraphSet, soft: DataFrame, k: int, value: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
     """(graph_id, v): sum over edges of w value(s_i, s_j)."""
     s = soft.select("graph_id", F.col("node_id").alias("src"), F.col("s").alias("_a"))
@@ -111,21 +128,20 @@ def _pooled(g: GraphSet, soft: DataFrame, k: int, losses: DataFrame, cleaned: bo
     return Pooled(nodes, edges, soft.select("graph_id", "node_id", "s"), losses)
 
 
-def mincut_pool(g: GraphSet, k: int, w=None) -> Pooled:
+def mincut_pool(g: GraphSet, k: int, w=None, mlp_hidden: Sequence[int] = (), mlp_activation="relu") -> Pooled:
     """Losses: cut = -tr(S'AS) / tr(S'DS), ortho = |S'S/|S'S| - I/sqrt(k)|."""
-    soft = _assigned(g, V.affine(V.items("x", g.n_features), w or V.dyadic(g.n_features, k)))
-    num = _edge_dot(g, soft, k, V.dot).withColumnRenamed("v", "num")
-    den = _edge_dot(g, soft, k, lambda a, b: V.dot(a, a)).withColumnRenamed("v", "den")
+    soft = _soft(g, k, w, mlp_hidden, mlp_activation)
+    sums = _edge_dots(g, soft, k, num=V.dot, den=lambda a, b: V.dot(a, a))
     gram = _gram(soft, k)
     norm = F.sqrt(V.total([F.col(f"g{i}") * F.col(f"g{i}") for i in range(k * k)]))
     gaps = [F.col(f"g{i * k + j}") / norm - (1 / k**0.5 if i == j else 0.0) for i in range(k) for j in range(k)]
-    losses = num.join(den, "graph_id").join(gram, "graph_id").select("graph_id", (-F.col("num") / F.col("den")).alias("cut_loss"), F.sqrt(V.dot(gaps, gaps)).alias("ortho_loss"))
+    losses = sums.join(gram, "graph_id").select("graph_id", (-F.col("num") / F.col("den")).alias("cut_loss"), F.sqrt(V.dot(gaps, gaps)).alias("ortho_loss"))
     return _pooled(g, soft, k, losses, True)
 
 
-def dmon_pool(g: GraphSet, k: int, w=None, collapse: float = 0.1) -> Pooled:
+def dmon_pool(g: GraphSet, k: int, w=None, collapse: float = 0.1, mlp_hidden: Sequence[int] = (), mlp_activation="relu") -> Pooled:
     """Losses: -modularity with 2m = number of stored edges, and collapse (|column sums| / n sqrt(k) - 1)."""
-    soft = _assigned(g, V.affine(V.items("x", g.n_features), w or V.dyadic(g.n_features, k)))
+    soft = _soft(g, k, w, mlp_hidden, mlp_activation)
     num = _edge_dot(g, soft, k, V.dot).withColumnRenamed("v", "num")
     m = g.edges.groupBy("graph_id").agg(F.count("*").cast("double").alias("m"))
     d = filters.degrees(g.edges, g.nodes).join(soft.select("graph_id", "node_id", "s"), ["graph_id", "node_id"])
@@ -138,17 +154,17 @@ def dmon_pool(g: GraphSet, k: int, w=None, collapse: float = 0.1) -> Pooled:
     return _pooled(g, soft, k, losses, False)
 
 
-def just_balance_pool(g: GraphSet, k: int, w=None, normalised: bool = False) -> Pooled:
+def just_balance_pool(g: GraphSet, k: int, w=None, normalised: bool = False, mlp_hidden: Sequence[int] = (), mlp_activation="relu") -> Pooled:
     """Loss: minus the sum of column norms of S, over sqrt(n k) if normalised."""
-    soft = _assigned(g, V.affine(V.items("x", g.n_features), w or V.dyadic(g.n_features, k)))
+    soft = _soft(g, k, w, mlp_hidden, mlp_activation)
     loss = -V.total([F.sqrt(F.col(f"g{i * k + i}")) for i in range(k)])
     losses = _gram(soft, k).select("graph_id", (loss / F.sqrt(F.col("n") * k) if normalised else loss).alias("balance_loss"))
     return _pooled(g, soft, k, losses, True)
 
 
-def cheeger_pool(g: GraphSet, k: int, w=None, total_variation: float = 1.0, balance: float = 1.0) -> Pooled:
+def cheeger_pool(g: GraphSet, k: int, w=None, total_variation: float = 1.0, balance: float = 1.0, mlp_hidden: Sequence[int] = (), mlp_activation="relu") -> Pooled:
     """Losses: sum a_ij |s_i - s_j|_1 / (2 edges), and balance by the (floor(n / k) + 1)-th largest of each column."""
-    soft = _assigned(g, V.affine(V.items("x", g.n_features), w or V.dyadic(g.n_features, k)))
+    soft = _soft(g, k, w, mlp_hidden, mlp_activation)
     tv = _edge_dot(g, soft, k, lambda a, b: V.total([F.abs(x - y) for x, y in zip(a, b, strict=True)])).withColumnRenamed("v", "tv")
     m = g.edges.groupBy("graph_id").agg(F.count("*").cast("double").alias("m"))
     each = long_form(soft, k)
