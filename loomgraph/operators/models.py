@@ -196,8 +196,8 @@ class NodeExplainer:
 
 
 def clean_explanation(spark, edges: Sequence[tuple[int, int, float]], node: int, n_hops: int, threshold: float = 0.1) -> DataFrame:
-    """Edges of a mask over the threshold, made symmetric by the mean, cut to the node's neighbourhood again."""
-    e = spark.createDataFrame([(0, s, d, w) for s, d, w in edges if w > threshold], "graph_id long, src long, dst long, w double")
+    """Edges of a mask at or over the threshold, made symmetric by the mean, cut to the node's neighbourhood again."""
+    e = spark.createDataFrame([(0, s, d, w) for s, d, w in edges if w >= threshold], "graph_id long, src long, dst long, w double")
     both = e.unionByName(linalg.transpose(e).select(*e.columns)).groupBy("graph_id", "src", "dst").agg((F.sum("w") / 2).alias("w"))
     near = k_hop_subgraph(both, node, n_hops).select("graph_id", "src", "dst")
     return both.join(near, ["graph_id", "src", "dst"], "left_semi")

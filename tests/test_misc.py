@@ -4,8 +4,8 @@ from loomgraph.functions import misc
 
 
 def test_helpers(spark, tmp_path):
-    assert misc.flatten([1, [2, 3], [[4]]]) == [1, 2, 3, 4]
-    assert misc.pad_jagged([[1, 2, 3], [4]]) == [[1, 2, 3], [4, 0, 0]]
+    assert misc.flatten([["b", [7]], [], 0, [[[None]], 2.5]]) == ["b", 7, 0, None, 2.5]
+    assert misc.pad_jagged([[5, 8], [], [6]]) == [[5, 8], [0, 0], [6, 0]]
     run = misc.init_logging("t", str(tmp_path))
     misc.log("hello", echo=False)
     assert (Path(run) / "log.txt").read_text() == "hello\n"

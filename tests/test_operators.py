@@ -1,5 +1,8 @@
 """Golden values and NumPy re-derivations on small graphs."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,26 +39,44 @@ def g(spark):
     return graph(spark, A.tolist(), XS.tolist(), ES.tolist())
 
 
-def test_scatter_golden(spark):
-    m = spark.createDataFrame([(0, i, 1.0) for i in (0, 1, 1, 2, 2, 2, 4, 4, 4, 4)], "graph_id long, dst long, v double")
-    u = spark.createDataFrame([(0, i) for i in range(5)], "graph_id long, node_id long")
-    got = {h: matrix(linalg.scatter(m, "dst", [F.col("v")], u, h)).ravel().tolist() for h in linalg.SEGMENT}
-    assert got["sum"] == [1, 2, 3, 0, 4]
-    assert got["mean"] == [1, 1, 1, 0, 1] and got["prod"] == [1, 1, 1, 1, 1]
-    assert got["max"][3] == linalg.LOWEST and got["min"][3] == linalg.HIGHEST
-
-
-def test_segment_top_k_golden(spark):
-    rows = spark.createDataFrame(list(zip([0, 0, 0, 0, 1, 1], range(6), [0.2, 0.5, 0.3, -0.1, -0.2, -0.1], strict=True)), "graph_id long, node_id long, s double")
-    got = [r["node_id"] for r in linalg.segment_top_k(rows, F.col("s"), 0.5).orderBy("graph_id", "rank").collect()]
-    assert got == [1, 2, 5]
-
-
-def test_incidence_and_line_graph_golden(spark):
-    path = [[0, 1, 0, 0], [1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0]]
-    inc = filters.incidence(graph(spark, path).edges)
-    assert sorted((r["node_id"], r["edge_id"]) for r in inc.collect()) == [(0, 0), (1, 0), (1, 1), (2, 1), (2, 2), (3, 2)]
-    assert dense(filters.line_graph(inc), 3).tolist() == [[0, 1, 0], [1, 0, 1], [0, 1, 0]]
+def test_scatters_are_numpy(spark):
+    rng = np.random.default_rng(21)
+    to, v = rng.integers(0, 9, 40), np.round(rng.normal(size=40), 3)
+    to[to == 6] = 7  # nothing goes to 6
+    m = spark.createDataFrame([(0, int(i), float(x)) for i, x in zip(to, v, strict=True)], "graph_id long, dst long, v double")
+    u = spark.createDataFrame([(0, i) for i in range(9)], "graph_id long, node_id long")
+    own = {"sum": (np.sum, 0), "mean": (np.mean, 0), "max": (np.max, linalg.LOWEST), "min": (np.min, linalg.HIGHEST), "prod": (np.prod, 1)}
+    assert set(own) == set(linalg.SEGMENT)
+    for how, (f, empty) in own.items():
+        got = matrix(linalg.scatter(m, "dst", [F.col("v")], u, how)).ravel()
+        assert np.allclose(got, [f(v[to == i]) if (to == i).any() else empty for i in range(9)]), how
+
+
+def test_segment_top_k_is_a_sort(spark):
+    rng = random.Random(8)
+    rows = [(g, i, rng.choice([0.25, 0.75, 1.5, -2.0])) for g, n in ((0, 7), (3, 1), (5, 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "graph_id long, node_id long, s double")
+    for ratio in (0.3, 0.5, 1.0):
+        got = [(r["graph_id"], r["node_id"], r["rank"]) for r in linalg.segment_top_k(df, F.col("s"), ratio).orderBy("graph_id", "rank").collect()]
+        want = []
+        for g in (0, 3, 5):
+            own = sorted(((-s, i) for h, i, s in rows if h == g))
+            want += [(g, i, k + 1) for k, (_, i) in enumerate(own[: math.ceil(ratio * len(own))])]
+        assert got == want
+
+
+def test_incidence_and_line_graph_are_numpy(spark):
+    # a ring of five with two chords and a node on a string
+    a = np.zeros((6, 6))
+    for i, j in ((0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (1, 3), (0, 2), (4, 5)):
+        a[i, j] = a[j, i] = 1
+    ends = [(i, j) for i in range(6) for j in range(i, 6) if a[i, j]]
+    b = np.zeros((6, len(ends)))
+    for k, (i, j) in enumerate(ends):
+        b[i, k] = b[j, k] = 1
+    inc = filters.incidence(graph(spark, a.tolist()).edges)
+    assert sorted((r["node_id"], r["edge_id"]) for r in inc.collect()) == [(i, k) for i, k in np.argwhere(b).tolist()]
+    assert np.allclose(dense(filters.line_graph(inc), len(ends)), b.T @ b - 2 * np.eye(len(ends)))
 
 
 def test_filters_match_numpy(g):
@@ -180,10 +201,54 @@ def test_labels_raise(spark):
             row.select(bad).collect()
 
 
-def test_explainer_points_at_the_edge_that_matters(spark):
-    a = [[0, 1, 0, 0], [1, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0]]
-    g = graph(spark, a, [[1.0, 0.0], [0.0, 1.0], [0.0, 1.0], [1.0, 1.0]])
-    edges, feats = models.NodeExplainer(epochs=60, rate=0.1).explain(g, 0, (V.dyadic(2, 3), V.dyadic(3, 2, 1)))
-    assert len(feats) == 2 and {(s, d) for s, d, _ in edges} <= {(i, j) for i in range(4) for j in range(4) if a[i][j]}
-    clean = models.clean_explanation(spark, edges, 0, 2, 0.0)
-    assert clean.count() == len(edges)
+def test_explainer_finds_the_edge_that_matters(spark):
+    # node 0 takes its class from node 5, two steps away behind node 4: the others' features are zero
+    n = 6
+    a = np.zeros((n, n))
+    for i, j in ((0, 1), (0, 2), (0, 3), (0, 4), (4, 5)):
+        a[i, j] = a[j, i] = 1
+    x = [[0.0, 0.0]] * n
+    x[5] = [3.0, 0.0]
+    g = graph(spark, a.tolist(), x)
+    weights = ([[1.0, 0.0], [0.0, 1.0]], [[1.0, -1.0], [-1.0, 1.0]])
+    edges, feats = models.NodeExplainer(n_hops=2, epochs=400, rate=0.05, a_size=0.03).explain(g, 0, weights)
+    assert {(i, j) for i, j, _ in edges} == {(int(i), int(j)) for i, j in np.argwhere(a)} and len(feats) == 2
+    # removing an edge changes the class's probability the more, the larger its mask
+
+    def probability(m):
+        z = (m @ np.maximum(m @ np.array(x) @ np.array(weights[0]), 0) @ np.array(weights[1]))[0]
+        return np.exp(z[0]) / np.exp(z).sum()
+
+    drop = {}
+    for i, j, _ in edges:
+        m = a.copy()
+        m[i, j] = 0
+        drop[i, j] = probability(a) - probability(m)
+    mask = {(i, j): w for i, j, w in edges}
+    needed = {e for e, v in drop.items() if v > 1e-6}
+    assert needed and min(mask[e] for e in needed) > max(mask[e] for e in mask if e not in needed)
+    least = min(w for *_, w in edges)
+    assert models.clean_explanation(spark, edges, 0, 2, least).count() == len(edges)
+
+
+def test_layers_of_layers_are_numpy(spark):
+    rng = np.random.default_rng(4)
+    a = (rng.random((5, 5)) < 0.6).astype(float)
+    a = np.maximum(a, a.T) * (1 - np.eye(5))
+    x = np.round(rng.normal(size=(5, 2)), 2)
+    g = graph(spark, a.tolist(), x.tolist())
+    relu = lambda v: np.maximum(v, 0)
+    w = lambda i, o, k: np.array(V.dyadic(i, o, k))
+    h = relu(relu(x @ w(2, 4, 40)) @ w(4, 3, 41))
+    e = np.exp(h @ w(3, 2, 0) - (h @ w(3, 2, 0)).max(axis=1, keepdims=True))
+    s = e / e.sum(axis=1, keepdims=True)
+    got = pool.mincut_pool(g, 2, mlp_hidden=[4, 3]).losses.first()["cut_loss"]
+    assert np.isclose(got, -np.trace(s.T @ a @ s) / np.trace(s.T @ np.diag(a.sum(axis=1)) @ s))
+    z = h @ w(3, 2, 0)
+    assert np.allclose(matrix(conv.appnp_conv(g, 2, 0.25, 1, mlp_hidden=[4, 3])), 0.75 * a @ z + 0.25 * z)
+
+
+def test_concat_keeps_graphs_apart(spark, g):
+    assert sorted(r["graph_id"] for r in g.concat(g).counts().collect()) == [0, 1]
+    with pytest.raises(ValueError, match="merge"):
+        g.concat(g, 0)
