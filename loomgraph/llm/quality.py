@@ -141,7 +141,7 @@ def features(docs: DataFrame) -> DataFrame:
     kept = ["doc_id", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        views = Views()
+        views = _store.cached("views", Views)
         for part in _store.slices(batches, "text"):
             t = views.text(part.column("text")).astype(np.float32)
             m = views.meta(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars"))).astype(np.float32)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -115,11 +116,19 @@ class _Scorer:
     def segments(self, texts: pa.Array) -> list[tuple[list[tuple[int, int, float]], int]]:
         """Each text's maximal segments, counted in its ``split()`` chunks, and its number of chunks."""
         texts = _chunks.texts_of(texts)
-        (score,), counts = self.table.lookup(pc.utf8_split_whitespace(texts))
+        cut = pc.utf8_split_whitespace(texts)
+        (score,), counts = self.table.lookup(cut)
+        size = pc.utf8_length(cut.flatten()).to_numpy(zero_copy_only=False)
         out: list = [([], int(n)) for n in counts]
-        hit = np.searchsorted(np.cumsum(counts), np.flatnonzero(score > 0), side="right")
+        ends = np.cumsum(counts)
+        hit = np.searchsorted(ends, np.flatnonzero(score > 0), side="right")
         for d in np.unique(hit).tolist():
-            own = np.array([self.value(token(c)) for c in texts[d].as_py().split()], np.float64)
+            here = slice(int(ends[d] - counts[d]), int(ends[d]))
+            full = size[here] > 0  # white space at the ends leaves empty pieces
+            own, words = score[here][full], texts[d].as_py().split()
+            if len(words) != len(own) or sum(map(len, words)) != int(size[here].sum()):
+                # white space that the two ways of cutting see differently
+                own = np.array([self.value(token(c)) for c in words], np.float64)
             out[d] = (_scan(own, self.model.drift), len(own))
         return out
 
@@ -234,10 +243,10 @@ def _calibrate(model: ToxicityModel, toxic: np.ndarray, tokens: np.ndarray, segm
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, passages): passages are array<struct<start, end, score, e_value>> in characters."""
     spark = _store.prepare(docs.sparkSession)
-    broadcast = spark.sparkContext.broadcast(model)
+    broadcast, key = spark.sparkContext.broadcast(model), f"toxicity {uuid.uuid4()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(broadcast.value)
+        scorer = _store.cached(key, lambda: _Scorer(broadcast.value))
         m = scorer.model
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
         for part in _store.slices(batches, "text"):
@@ -255,10 +264,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose text scores under ``threshold``, with all their columns; nothing is shuffled."""
     spark = _store.prepare(docs.sparkSession)
-    broadcast = spark.sparkContext.broadcast(model)
+    broadcast, key = spark.sparkContext.broadcast(model), f"toxicity {uuid.uuid4()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(broadcast.value)
+        scorer = _store.cached(key, lambda: _Scorer(broadcast.value))
         for part in _store.slices(batches, "text"):
             scores = scorer.score(part.column("text"))
             yield part.filter(pa.array([s < threshold for s in scores], pa.bool_()))
