@@ -45,7 +45,7 @@ def shingle_sets(texts: pa.Array, k: int, words: WordHashes) -> list[np.ndarray]
     flat = flat[real]
     ends = np.cumsum(counts)
     z = flat.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, len(z))):  # a batch may hold fewer words than a shingle
         z[: len(z) - j] = mix(z[: len(z) - j]) * _G + flat[j:]
     z = mix(z)
     out = []

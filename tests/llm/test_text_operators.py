@@ -141,6 +141,27 @@ def test_near_duplicates_edges(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(2, 2), (4, 2), (4, 2)]
 
 
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    """Beyond the bound of rows nothing is broadcast, and the result is the same."""
+    rng = random.Random(9)
+    base = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 9)) for _ in range(50)) for _ in range(6)]
+    texts = [b if k % 3 else " ".join([*b.split()[:-1], "z"]) for k in range(4) for b in base] + [None, "", "a b"]
+    sizes, label = components(texts, 5, 80)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    plan = jaccard._small(documents(spark, texts).groupBy("doc_id").count())._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
+    for few in (0, 8):
+        rows = {r["doc_id"]: r for r in jaccard.near_duplicates(documents(spark, texts), 5, 80, 100, few=few).collect()}
+        assert [rows[i]["n_shingles"] for i in range(len(texts))] == sizes and [rows[i]["component_id"] for i in range(len(texts))] == label
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id lie in the component of their text and are nobody's smallest id."""
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = jaccard.near_duplicates(documents(spark, [words, words, "other words here"], [5, None, None])).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows) == [("5", "5"), ("None", "5"), ("None", "None")]
+
+
 def test_partial_overlaps_add_up(spark):
     docs = documents(spark, ["a b c d e f g h i j", "a b c d e f g h i x"])
     rank, slot = jaccard.class_ranks(jaccard.summarise(docs.select("doc_id", "text"), 3))
@@ -337,6 +358,14 @@ def test_neighbours_recall(spark):
     assert ann.search(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_batches_shorter_than_a_shingle():
+    for texts in (["a"], ["a b", ""], ["a b c", None], [None], []):
+        for k in (1, 2, 3, 5):
+            got = _words.shingle_sets(pa.array(texts, pa.string()), k, _words.WordHashes())
+            want = [len({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}) if w else 0 for w in ((t or "").split() for t in texts)]
+            assert [len(s) for s in got] == want
+
+
 def test_words_are_as_stated():
     got = _words.shingle_sets(pa.array(["A b\x0bC  d", "a B c D", None, "x"]), 3, _words.WordHashes())
     assert got[0].tolist() == got[1].tolist() and [len(s) for s in got] == [2, 2, 0, 1]
