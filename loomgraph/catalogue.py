@@ -591,5 +591,14 @@ _add("reshape_cells", _S(lambda g: coo(linalg.reshape(g.edges, 5, 25))), q(X.SES
 _add("indices_to_mask_cells", _S(lambda g: linalg.indices_to_mask(g.edges.select("graph_id", "src", "dst"), g.edges.where("src < dst"), "graph_id", "src", "dst")), q(X.SESSIONS, select="SELECT graph_id, src, dst, src < dst AS mask FROM edges"))
 _add("degree_matrix", _trade(lambda g: coo(filters.degree_matrix(g.edges, g.nodes))), q(X.TRADE, deg(), select="SELECT graph_id, node_id AS src, node_id AS dst, round(d, 6) AS w FROM deg WHERE d <> 0"))
 
+#: The cells themselves of the four matrices that other queries sum up for each node.
+for _name, _f, _sql in (
+    ("norm_adj_sym", lambda g: filters.normalized_adjacency(g.edges, g.nodes), (deg(), norm("na"))),
+    ("norm_adj_rw", lambda g: filters.normalized_adjacency(g.edges, g.nodes, False), (deg(), norm("na", sym=False))),
+    ("normalize_a", lambda g: filters.normalize_a(g.edges, g.nodes), (deg(), norm_eps("na", "edges", "deg"))),
+    ("gcn_filter", lambda g: filters.gcn_filter(g.edges, g.nodes), (GCN,)),
+):
+    _add(f"{_name}_cells", _trade(lambda g, f=_f: coo(f(g))), q(X.TRADE, *_sql, select=OUT_W.format("ahat" if _name == "gcn_filter" else "na")))
+
 QUERIES |= file_queries.QUERIES
 ORACLE |= file_queries.ORACLE
