@@ -12,6 +12,7 @@ DATA = "/root/testdata/sf0.001"
 SOFTMAXES = {
     14: ("segment_softmax", 1),
     2: ("conv_agnn", 1),
+    6: ("conv_gat", 2),
 }
 
 
