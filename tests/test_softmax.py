@@ -13,6 +13,7 @@ SOFTMAXES = {
     14: ("segment_softmax", 1),
     2: ("conv_agnn", 1),
     6: ("conv_gat", 2),
+    12: ("gat_attention", 1),
 }
 
 
